@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
 from ..settings import BLANK
-from .sizing import small_side
+from .sizing import small_side, spread_over_cores
 
 # Where statements end, and what a word's key leaves out.
 STATEMENT_END = r"[.!?]+[ ]+|\n+"
@@ -57,6 +57,7 @@ def cloze_cards(documents: DataFrame) -> DataFrame:
     statement comes back as a number, and only then is the statement's text needed.
     Statement keys are unique, so one huge document spreads over all tasks.
     """
+    documents = spread_over_cores(documents)
     points = statements(documents)
     ranks = small_side(word_ranks(documents))
     best = (
@@ -68,7 +69,8 @@ def cloze_cards(documents: DataFrame) -> DataFrame:
     )
     words = F.split("point", " ")
     keys = _keys(F.col("point"))
-    return points.join(best, ["doc_id", "pos"]).withColumn(
+    # Statement text is never broadcast, however small its files look before they are unpacked.
+    return points.hint("merge").join(best, ["doc_id", "pos"]).withColumn(
         "_words", F.zip_with(words, keys, lambda w, k: F.struct(w.alias("word"), (k == F.col("blanked")).alias("out")))
     ).select(
         "doc_id", "pos",

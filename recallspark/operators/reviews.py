@@ -13,7 +13,7 @@ from ..functions import grading
 from ..functions.clock import moment_text
 from ..session import settled
 from ..settings import GRADE_AGAIN, MAX_MASTERY
-from .sizing import small_by_rows
+from .sizing import small_by_rows, small_side
 
 # A card with more reviews than this is not sorted in one task.
 HOT_REVIEWS = 5_000_000
@@ -85,8 +85,7 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
         hot = settled_hot_cards(reviews, hot_reviews)
     if hot is None:
         return _even_history(cards, reviews, max_mastery)
-    # At most (number of reviews / hot_reviews) ids, hence small.
-    ids = F.broadcast(hot.select("card_id"))
+    ids = small_side(hot.select("card_id"))
     parts = max(2, (hot.agg(F.sum("n")).first()[0] // hot_reviews) * 2)
     return _even_history(cards, reviews.join(ids, "card_id", "left_anti"), max_mastery).unionByName(
         _ranged_history(cards, reviews.join(ids, "card_id", "left_semi"), parts, max_mastery)
@@ -136,8 +135,8 @@ def _ranged_history(cards, reviews, parts, max_mastery):
             (F.col("count_before") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("count_before"),
         )
     )
-    # One row per (card, range): as few as the ranges, each card adding one at most.
-    return _with_prefix(running.join(F.broadcast(chained), ["card_id", "part"]), max_mastery)
+    # The window has already partitioned the reviews by (card, range); only the short side moves.
+    return _with_prefix(running.join(chained, ["card_id", "part"]), max_mastery)
 
 
 def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Broadcast only what has been measured to be small."""
+"""Strategy choices that rest on a measurement: what to broadcast, what to spread."""
 
 from __future__ import annotations
 
@@ -30,3 +30,15 @@ def small_by_rows(df: DataFrame, rows: DataFrame, row_bytes: int = 96, max_bytes
     """As ``small_side``, for a ``df`` that is costly to compute but has at most as many
     rows, of fixed width, as ``rows`` has."""
     return F.broadcast(df) if rows.count() * row_bytes <= max_bytes else df
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if it comes from so few files that cores would idle.
+
+    Input of many files, the normal case at scale, is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    filled = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df if filled >= cores else df.repartition(cores)
