@@ -83,9 +83,8 @@ def _progress(spark, d, **options):
 def _stream_card_state(spark: SparkSession, d: str) -> DataFrame:
     """The events file as a stream, drained; then the latest state of each card."""
     _ship_package(spark)
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    states = card_state.card_states(study.reviews_of(events), study.cards(spark, d))
+    graded = study.reviews_of(study.review_events(spark, d))
+    states = card_state.card_states(graded, study.cards(spark, d))
     folder = f"{work_dir(spark)}/card-stream-{uuid.uuid4().hex}"
     card_state.write_states(states, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
     return card_state.latest_states(spark, f"{folder}/states")

@@ -7,6 +7,8 @@ that looks like one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import strip_blanks, unfence
@@ -14,75 +16,101 @@ from .text import strip_blanks, unfence
 STRICT = {"allowSingleQuotes": "false"}
 
 
-def parsed_object(raw: Column) -> Column:
-    """The JSON object in ``raw`` as map<string,variant>; NULL if it is anything else."""
-    body = unfence(raw)
-    # One value between two marks: trailing text or a second value breaks the array.
-    framed = F.from_json(F.concat(F.lit('["",'), body, F.lit(',""]')), "array<variant>", STRICT)
-    whole = F.from_json(body, "map<string,variant>", STRICT)
-    return F.when(F.size(framed) == 3, whole)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it.
 
+    Columns made step by step would be written out again for every mention when a
+    filter on the result is pushed down through them.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _is_list(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("ARRAY")
 
+def object_entries(raw: Column) -> Column:
+    """(key, value) pairs of the JSON object in ``raw``, in order; NULL if it is anything else."""
 
-def _last_value(entries: Column, key: Column) -> Column:
-    """A repeated key counts with its last value."""
-    return F.get(F.reverse(F.filter(entries, lambda e: e["key"] == key)), F.lit(0))["value"]
+    def parse(body):
+        # One value between two marks: trailing text or a second value breaks the array.
+        framed = F.from_json(F.concat(F.lit('["",'), body, F.lit(',""]')), "array<string>", STRICT)
+        return F.when(F.size(framed) == 3, F.map_entries(F.from_json(body, "map<string,variant>", STRICT)))
 
+    body = bound(strip_blanks(raw), lambda bare: unfence(raw, bare))
+    return bound(bound(body, parse), _last_of_repeated)
 
-def _first_list(entries: Column) -> Column:
-    """The first key, in document order, that holds a list."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    values = F.transform(keys, lambda k: _last_value(entries, k))
-    return F.get(F.filter(values, _is_list), F.lit(0))
+
+def _last_of_repeated(entries: Column) -> Column:
+    """A repeated key keeps its first place and its last value."""
+
+    def merged(keys):
+        last = F.transform(keys, lambda k: F.struct(
+            k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
+        return F.when(F.size(keys) < F.size(entries), last).otherwise(entries)
+
+    return bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), merged)
 
 
-def resolved_points(parsed: Column, key: str = "points") -> Column:
-    """Texts of the list under ``key``, else of the first list; empty array if there is none."""
-    entries = F.map_entries(parsed)
-    expected = _last_value(entries, F.lit(key))
-    chosen = F.when(_is_list(expected), expected).otherwise(_first_list(entries))
-    texts = F.transform(F.try_variant_get(chosen, "$", "array<variant>"), lambda v: strip_blanks(_as_text(v)))
-    return F.coalesce(F.filter(texts, lambda t: t != ""), F.array().cast("array<string>"))
+def _as_list(value: Column) -> Column:
+    """A variant's elements, NULL if it is not a list."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _value(entries: Column, key: str) -> Column:
+    return F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))["value"]
+
+
+def _first_list(entries: Column) -> Column:
+    lists = F.filter(F.transform(entries, lambda e: _as_list(e["value"])), lambda v: v.isNotNull())
+    return F.get(lists, F.lit(0))
 
 
-def _as_text(value: Column) -> Column:
+def _point(value: Column) -> Column:
     """A list element as text; null and booleans are spelled None, True, False."""
-    kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
-    return (
+    spelled = bound(F.schema_of_variant(value), lambda kind: (
         F.when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
         .otherwise(F.coalesce(text, F.to_json(value)))
-    )
+    ))
+    return strip_blanks(spelled)
+
+
+def resolved_points(raw: Column, key: str = "points") -> Column:
+    """Texts of the list under ``key``, else of the first list, blank ones left out; an empty array if none."""
+    items = bound(object_entries(raw), lambda e: F.coalesce(_as_list(_value(e, key)), _first_list(e)))
+    points = F.filter(F.transform(items, _point), lambda p: p != "")
+    return F.coalesce(points, F.array().cast("array<string>"))
 
 
-def resolved_pairs(parsed: Column, key: str = "knowledge_points") -> Column:
-    """Question/answer pairs, all or nothing.
+def _cell(item: Column, name: str) -> Column:
+    """(text, ok): what is stored for one half of a pair; missing, list and object halves are not ok."""
+
+    def typed(value):
+        text = F.try_variant_get(value, "$", "string")
+        return bound(F.schema_of_variant(value), lambda kind: F.struct(
+            F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text).alias("text"),
+            F.coalesce(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.lit(False)).alias("ok"),
+        ))
+
+    return bound(F.try_variant_get(item, f"$.{name}", "variant"), typed)
+
+
+def resolved_pairs(raw: Column, key: str = "knowledge_points") -> Column:
+    """Question/answer pairs, all or nothing; an empty array if there are none.
 
     The value under ``key`` counts whatever its type, so a non-list there gives no
     pairs; without the key the first list counts. One element that is not an object
     with storable ``q`` and ``a`` spoils the whole document.
     """
-    entries = F.map_entries(parsed)
-    has_key = F.exists(entries, lambda e: e["key"] == key)
-    expected = _last_value(entries, F.lit(key))
-    chosen = F.when(has_key, F.when(_is_list(expected), expected)).otherwise(_first_list(entries))
-    items = F.try_variant_get(chosen, "$", "array<variant>")
 
-    def part(item, name):
-        return F.try_variant_get(item, f"$.{name}", "variant")
+    def chosen(entries):
+        has_key = F.exists(entries, lambda e: e["key"] == key)
+        return F.when(has_key, _as_list(_value(entries, key))).otherwise(_first_list(entries))
 
-    def storable(value):
-        kind = F.schema_of_variant(value)
-        return value.isNotNull() & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+    def checked(cells):
+        good = F.forall(cells, lambda c: c["q"]["ok"] & c["a"]["ok"])
+        return F.when(good, F.transform(cells, lambda c: F.struct(c["q"]["text"].alias("q"), c["a"]["text"].alias("a"))))
 
-    def cell(value):
-        text = F.try_variant_get(value, "$", "string")
-        return F.when(F.schema_of_variant(value) == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text)
-
-    good = F.forall(items, lambda i: F.coalesce(storable(part(i, "q")) & storable(part(i, "a")), F.lit(False)))
-    pairs = F.transform(items, lambda i: F.struct(cell(part(i, "q")).alias("q"), cell(part(i, "a")).alias("a")))
-    return F.coalesce(F.when(good, pairs), F.array().cast("array<struct<q:string,a:string>>"))
+    cells = F.transform(
+        bound(object_entries(raw), chosen),
+        lambda item: F.struct(_cell(item, "q").alias("q"), _cell(item, "a").alias("a")),
+    )
+    return F.coalesce(bound(cells, checked), F.array().cast("array<struct<q:string,a:string>>"))

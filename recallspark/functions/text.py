@@ -33,9 +33,11 @@ def document_kind(file_name: Column, mime_type: Column) -> Column:
     return F.when(by_type | by_name, F.lit("pdf")).otherwise(F.lit("text"))
 
 
-def unfence(raw: Column) -> Column:
-    """Model output without the Markdown code fence around it, if there is one."""
-    bare = strip_blanks(raw)
+def unfence(raw: Column, bare: Column) -> Column:
+    """Model output without the Markdown code fence around it, if there is one.
+
+    ``bare`` is ``raw`` without outer blanks.
+    """
 
     def inside(opening):
         body = F.substring(bare, F.lit(len(opening) + 1), F.char_length(bare))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import clock, scoring
 from ..functions.predicates import is_learning, is_live
 from ..settings import LABELS, LIMITS, MAX_MASTERY, WEIGHTS, ReasonLabels, ReasonLimits, ScoreWeights
-from .sizing import small_side
+from .sizing import small_side, small_sides
 
 CARD_COLUMNS = [
     "id", "subject_id", "question", "answer", "created_at", "last_reviewed_at", "review_count", "mastery_level",
@@ -25,29 +25,38 @@ def learning_cards(cards: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFram
     return cards.where(is_learning(max_mastery) & is_live())
 
 
+def _logged_today(logs, as_of):
+    return logs.where(clock.on_day_filter(F.col("recommended_at"), as_of.date())).select(F.col("card_id").alias("id"))
+
+
 def logged_cards(logs: DataFrame, as_of: datetime) -> DataFrame:
     """Ids of the cards already recommended on the day of ``as_of``."""
-    return (
-        logs.where(clock.on_day_filter(F.col("recommended_at"), as_of.date()))
-        .select(F.col("card_id").alias("id"))
-        .distinct()
-    )
+    return _logged_today(logs, as_of).distinct()
 
 
 def eligible_cards(cards: DataFrame, logs: DataFrame, as_of: datetime, max_mastery: int = MAX_MASTERY) -> DataFrame:
     """Learning cards not yet recommended today."""
-    return learning_cards(cards, max_mastery).join(small_side(logged_cards(logs, as_of)), "id", "left_anti")
+    logged = small_side(logged_cards(logs, as_of), _logged_today(logs, as_of))
+    return learning_cards(cards, max_mastery).join(logged, "id", "left_anti")
+
+
+def _eligible_with_subject(cards, subjects, subject_side, logs, as_of, max_mastery):
+    """Eligible cards joined with ``subject_side``, one row per subject."""
+    logged, side = small_sides(
+        (logged_cards(logs, as_of), _logged_today(logs, as_of)),
+        (subject_side, subjects),
+    )
+    return learning_cards(cards, max_mastery).join(logged, "id", "left_anti").join(side, "subject_id")
 
 
 def review_candidates(cards: DataFrame, subjects: DataFrame, logs: DataFrame, as_of: datetime,
                       max_mastery: int = MAX_MASTERY) -> DataFrame:
     """Eligible cards with their subject's columns; cards without a subject drop out."""
-    side = small_side(subjects.select(
+    side = subjects.select(
         F.col("id").alias("subject_id"), F.col("name").alias("subject_name"), "ddl", "credits", "difficulty",
-    ))
+    )
     return (
-        eligible_cards(cards, logs, as_of, max_mastery)
-        .join(side, "subject_id")
+        _eligible_with_subject(cards, subjects, side, logs, as_of, max_mastery)
         .select(*CARD_COLUMNS, "ddl", "credits", "difficulty", "subject_name")
     )
 
@@ -83,11 +92,10 @@ def priority_scores(cards: DataFrame, subjects: DataFrame, logs: DataFrame, as_o
     The sum is taken in a fixed order (urgency, importance, forgetting, mastery gap);
     its first two terms come from the subject.
     """
-    factors = small_side(subject_factors(subjects, as_of, weights, labels, limits))
+    factors = subject_factors(subjects, as_of, weights, labels, limits)
     moment = clock.review_moment(F.col("last_reviewed_at"))
     return (
-        eligible_cards(cards, logs, as_of, max_mastery)
-        .join(factors, "subject_id")
+        _eligible_with_subject(cards, subjects, factors, logs, as_of, max_mastery)
         .withColumn("_moment", moment)
         .withColumn("days_since_review", scoring.forgetting(clock.days_since(F.col("_moment"), as_of)))
         .withColumn("mastery_gap", F.lit(max_mastery) - F.col("mastery_level"))

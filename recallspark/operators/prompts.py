@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.completions import parsed_object, resolved_pairs, resolved_points
+from ..functions.completions import resolved_pairs, resolved_points
 from ..settings import PROMPT_CHARS
 
 POINTS_INSTRUCTION = (
@@ -34,7 +34,7 @@ def point_prompts(documents: DataFrame, max_chars: int = PROMPT_CHARS) -> DataFr
 
 def completion_points(completions: DataFrame) -> DataFrame:
     """Statements out of the step-one answers, an empty list for answers that hold none."""
-    return completions.select("doc_id", resolved_points(parsed_object(F.col("raw"))).alias("points"))
+    return completions.select("doc_id", resolved_points(F.col("raw")).alias("points"))
 
 
 def numbered_points(points: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def card_prompts(points: DataFrame) -> DataFrame:
 
 def completion_cards(completions: DataFrame) -> DataFrame:
     """Question/answer pairs out of the step-two answers, all or nothing per document."""
-    return completions.withColumn("pairs", resolved_pairs(parsed_object(F.col("raw")))).drop("raw")
+    return completions.withColumn("pairs", resolved_pairs(F.col("raw"))).drop("raw")
 
 
 def cards_json(pairs: DataFrame) -> DataFrame:

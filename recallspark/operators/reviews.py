@@ -13,7 +13,7 @@ from ..functions import grading
 from ..functions.clock import moment_text
 from ..session import settled
 from ..settings import GRADE_AGAIN, MAX_MASTERY
-from .sizing import small_by_rows, small_side
+from .sizing import small_side
 
 # A card with more reviews than this is not sorted in one task.
 HOT_REVIEWS = 5_000_000
@@ -178,7 +178,7 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_M
     While the batch is small the deltas are broadcast and the cards are not shuffled;
     a larger batch is joined on the card id, which is unique on both sides.
     """
-    deltas = small_by_rows(review_deltas(reviews, max_mastery), reviews)
+    deltas = small_side(review_deltas(reviews, max_mastery), reviews.select("card_id"))
     reviewed = F.col("reviews").isNotNull()
     mastery = grading.raised(
         F.coalesce(F.col("base"), F.col("mastery_level"), F.lit(0)), F.col("raises"), max_mastery

@@ -2,34 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes ``df`` takes as rows: a fixed part per field plus the text lengths."""
-    width = F.lit(16 + 8 * len(df.columns)).cast("long")
-    for field in df.schema:
-        if isinstance(field.dataType, StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    return df.agg(F.sum(width)).first()[0] or 0
+def _bytes(df):
+    """One row: the bytes ``df`` takes as rows, a fixed part per field plus the text lengths."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    fixed = F.count("*") * (64 + 8 * len(df.columns))
+    return df.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), fixed).alias("bytes"))
+
+
+def measured_bytes(*dfs: DataFrame) -> list[int]:
+    """The sizes of several inputs, from one job."""
+    sizes = reduce(DataFrame.unionAll, [
+        _bytes(df).select(F.lit(i).alias("i"), "bytes") for i, df in enumerate(dfs)
+    ])
+    return [row["bytes"] for row in sorted(sizes.collect())]
 
 
-def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, marked for broadcast if it fits in ``max_bytes`` when measured.
+def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Join sides, each marked for broadcast if it measures small.
 
-    Above that it is returned unmarked: the join is then shuffled, and adaptive
-    execution splits the partitions of hot keys.
+    A side comes with a basis that is cheap to read and has at least as many rows, so
+    its size bounds the side's. A side above ``max_bytes`` is returned unmarked: its
+    join is then shuffled, and adaptive execution splits the partitions of hot keys.
     """
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+    sizes = measured_bytes(*[basis for _, basis in sides])
+    return [F.broadcast(side) if size <= max_bytes else side for (side, _), size in zip(sides, sizes)]
 
 
-def small_by_rows(df: DataFrame, rows: DataFrame, row_bytes: int = 96, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """As ``small_side``, for a ``df`` that is costly to compute but has at most as many
-    rows, of fixed width, as ``rows`` has."""
-    return F.broadcast(df) if rows.count() * row_bytes <= max_bytes else df
+def small_side(side: DataFrame, basis: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    return small_sides((side, side if basis is None else basis), max_bytes=max_bytes)[0]
 
 
 def spread_over_cores(df: DataFrame) -> DataFrame:

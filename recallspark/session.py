@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Recording the Python call site of every column costs more than planning these queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
