@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import sys
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -29,13 +32,15 @@ AS_OF = study.AS_OF
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
+@lru_cache
 def _ship_package(spark: SparkSession) -> None:
-    """Python workers import the package for the two operators that run Python."""
-    root = str(Path(__file__).resolve().parent)
-    if spark.sparkContext.master.startswith("local"):
-        current = spark.sparkContext.environment.get("PYTHONPATH", "")
-        if root not in current.split(":"):
-            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{current}" if current else root
+    """Send the code to the Python workers, for the two operators that run Python."""
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="recallspark-code-")) / "recallspark_code.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for file in [root / "__spark_entry__.py", *sorted((root / "recallspark").rglob("*.py"))]:
+            bundle.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def _scored(spark, d):
