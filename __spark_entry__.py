@@ -196,12 +196,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cards_json": lambda spark, d: prompts.cards_json(_pairs(spark, d)),
         "imported_cards": lambda spark, d: imports.new_cards(_pairs(spark, d), study.cards(spark, d), AS_OF),
         "imported_file_rows": lambda spark, d: imports.new_import_rows(
-            _pairs(spark, d), study.imported_files(spark, d), AS_OF),
-        "import_report": lambda spark, d: imports.import_report(study.documents(spark, d), _pairs(spark, d)),
+            _pairs(spark, d).where(F.size("pairs") > 0), study.imported_files(spark, d), AS_OF),
+        "import_report": lambda spark, d: imports.import_report(
+            study.documents(spark, d), imports.card_counts(_pairs(spark, d))),
         "added_subjects": lambda spark, d: imports.new_subjects(
             study.offered_subjects(spark, d), study.subjects(spark, d), "form_id"),
         "completed_prompts": _completed_prompts,
         "model_import_cards": _model_import_cards,
+        "cloze_import_rows": lambda spark, d: document_import.import_documents(
+            documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
+            study.imported_files(spark, d), AS_OF).import_rows,
+        "cloze_import_cards": lambda spark, d: document_import.import_documents(
+            documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
+            study.imported_files(spark, d), AS_OF).card_rows,
         "cloze_cards": lambda spark, d: cloze.cloze_cards(study.documents(spark, d)),
     }
 

@@ -150,8 +150,8 @@ answered AS (
   FROM asked)
 """
 
-CLOZE = r"""
-WITH statement AS (
+CLOZE = STUDY + r""",
+statement AS (
   SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS point
   FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[ ]+|\n+'), lambda x: trim(x)),
                                    lambda x: x <> '') AS p
@@ -164,13 +164,13 @@ word AS (
 spread AS (SELECT key, count(DISTINCT doc_id) AS df FROM word GROUP BY key),
 chosen AS (
   SELECT doc_id, pos, arg_min(key, row(df, -length(key), key)) AS key
-  FROM word JOIN spread USING (key) GROUP BY doc_id, pos)
-SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+  FROM word JOIN spread USING (key) GROUP BY doc_id, pos),
+cloze AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos,
        array_to_string(list_transform(string_split(point, ' '), lambda w:
          CASE WHEN lower(regexp_replace(w, '[^\p{L}]', '', 'g')) = key THEN '____' ELSE w END), ' ') AS q,
        array_to_string(list_filter(string_split(point, ' '), lambda w:
          lower(regexp_replace(w, '[^\p{L}]', '', 'g')) = key), ' ') AS a
-FROM statement JOIN chosen USING (doc_id, pos)
+FROM statement JOIN chosen USING (doc_id, pos))
 """
 
 
@@ -286,5 +286,11 @@ SQL = {
         SELECT doc_id, subject_id, 0 AS pos, '____ characters' AS q, CAST(n AS VARCHAR) AS a
         FROM asked WHERE n % 7 <> 0)
         {_new_cards('made', '(SELECT max(id) FROM cards)')}""",
-    "cloze_cards": CLOZE,
+    "cloze_cards": f"{CLOZE} SELECT * FROM cloze",
+    "cloze_import_cards": f"""{CLOZE} SELECT (SELECT max(id) FROM cards) + {_numbered("doc_id || ':' || pos")} AS id,
+        subject_id, q AS question, a AS answer, '2024-01-15 10:00:00' AS created_at,
+        '2024-01-15 10:00:00' AS last_reviewed_at, CAST(0 AS BIGINT) AS review_count, 0 AS mastery_level, 0 AS ignored
+        FROM cloze JOIN files USING (doc_id)""",
+    "cloze_import_rows": f"""{CLOZE} SELECT (SELECT max(id) FROM imports) + {_numbered("doc_id")} AS id, subject_id, file_name,
+        '2024-01-15 10:00:00' AS imported_at FROM files WHERE doc_id IN (SELECT doc_id FROM cloze)""",
 }

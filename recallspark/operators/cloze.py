@@ -78,10 +78,3 @@ def cloze_cards(documents: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.filter("_words", lambda w: w["out"]), lambda w: w["word"]), " ").alias("a"),
     )
 
-
-def cloze_pairs(cards: DataFrame) -> DataFrame:
-    """(doc_id, pairs): cards of a document in order, in the form model answers are resolved to."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "q", "a")))
-    return cards.groupBy("doc_id").agg(
-        F.transform(ordered, lambda c: F.struct(c["q"].alias("q"), c["a"].alias("a"))).alias("pairs")
-    )

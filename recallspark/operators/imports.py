@@ -21,34 +21,47 @@ def new_subjects(entries: DataFrame, subjects: DataFrame, key: str) -> DataFrame
     return _typed(numbered(named, key, last_id(subjects)), SUBJECTS)
 
 
+def _fresh_cards(rows, as_of):
+    """Card rows out of (id, subject_id, question, answer): both times ``as_of``, counters 0."""
+    now = F.lit(as_of_text(as_of))
+    fresh = {"created_at": now, "last_reviewed_at": now}
+    fresh.update({name: F.lit(0) for name in ("review_count", "mastery_level", "ignored")})
+    return _typed(rows.withColumns(fresh), CARDS)
+
+
 def new_cards(pairs: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
     """Rows to append to ``cards`` from (doc_id, subject_id, pairs).
 
-    Both times are ``as_of``, counters start at 0. Ids are claimed per document
-    before its pairs become rows, so they run on within a document.
+    Ids are claimed per document before its pairs become rows, so they run on within
+    a document.
     """
     with_pairs = pairs.where(F.size("pairs") > 0)
     first = numbered(with_pairs, "doc_id", last_id(cards), F.size("pairs"), into="_first")
-    now = F.lit(as_of_text(as_of))
     rows = first.select("subject_id", "_first", F.posexplode("pairs").alias("_pos", "_pair")).select(
-        (F.col("_first") + F.col("_pos")).alias("id"),
-        "subject_id",
-        F.col("_pair.q").alias("question"),
-        F.col("_pair.a").alias("answer"),
-        now.alias("created_at"),
-        now.alias("last_reviewed_at"),
-        F.lit(0).alias("review_count"),
-        F.lit(0).alias("mastery_level"),
-        F.lit(0).alias("ignored"),
+        (F.col("_first") + F.col("_pos")).alias("id"), "subject_id",
+        F.col("_pair.q").alias("question"), F.col("_pair.a").alias("answer"),
     )
-    return _typed(rows, CARDS)
+    return _fresh_cards(rows, as_of)
 
 
-def new_import_rows(pairs: DataFrame, imported_files: DataFrame, as_of: datetime) -> DataFrame:
-    """Rows to append to ``imported_files``: one per document that gave cards."""
-    with_pairs = pairs.where(F.size("pairs") > 0).select("doc_id", "subject_id", "file_name")
-    rows = numbered(with_pairs, "doc_id", last_id(imported_files)).withColumn("imported_at", F.lit(as_of_text(as_of)))
-    return _typed(rows, IMPORTED_FILES)
+def new_cards_from_rows(rows: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
+    """As ``new_cards``, from one row (doc_id, pos, subject_id, q, a) per card.
+
+    Each row is numbered on its own, so a document of any number of cards is never
+    gathered in one place.
+    """
+    keyed = rows.select(
+        F.concat_ws(":", "doc_id", "pos").alias("_key"), "subject_id",
+        F.col("q").alias("question"), F.col("a").alias("answer"),
+    )
+    return _fresh_cards(numbered(keyed, "_key", last_id(cards)), as_of)
+
+
+def new_import_rows(documents: DataFrame, imported_files: DataFrame, as_of: datetime) -> DataFrame:
+    """Rows to append to ``imported_files`` for (doc_id, subject_id, file_name) that gave cards."""
+    rows = documents.select("doc_id", "subject_id", "file_name")
+    now = F.lit(as_of_text(as_of))
+    return _typed(numbered(rows, "doc_id", last_id(imported_files)).withColumn("imported_at", now), IMPORTED_FILES)
 
 
 def new_log_rows(queue: DataFrame, logs: DataFrame, as_of: datetime) -> DataFrame:
@@ -60,7 +73,15 @@ def new_log_rows(queue: DataFrame, logs: DataFrame, as_of: datetime) -> DataFram
     )
 
 
-def import_report(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def card_counts(pairs: DataFrame) -> DataFrame:
+    """(doc_id, card_count) from (doc_id, pairs)."""
+    return pairs.select("doc_id", F.size("pairs").cast("long").alias("card_count"))
+
+
+def import_report(documents: DataFrame, counts: DataFrame) -> DataFrame:
     """Per document: length of its text, number of cards it gave."""
-    sizes = pairs.select("doc_id", F.size("pairs").cast("long").alias("card_count"))
-    return documents.select("doc_id", F.char_length("text").cast("long").alias("text_chars")).join(sizes, "doc_id")
+    return documents.join(counts.select("doc_id", "card_count"), "doc_id", "left").select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("text_chars"),
+        F.coalesce("card_count", F.lit(0)).alias("card_count"),
+    )

@@ -25,18 +25,19 @@ def measured_bytes(*dfs: DataFrame) -> list[int]:
     return [row["bytes"] for row in sorted(sizes.collect())]
 
 
-def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
+def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int | None = None) -> list[DataFrame]:
     """Join sides, each marked for broadcast if it measures small.
 
     A side comes with a basis that is cheap to read and has at least as many rows, so
     its size bounds the side's. A side above ``max_bytes`` is returned unmarked: its
     join is then shuffled, and adaptive execution splits the partitions of hot keys.
     """
+    max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     sizes = measured_bytes(*[basis for _, basis in sides])
     return [F.broadcast(side) if size <= max_bytes else side for (side, _), size in zip(sides, sizes)]
 
 
-def small_side(side: DataFrame, basis: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def small_side(side: DataFrame, basis: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
     return small_sides((side, side if basis is None else basis), max_bytes=max_bytes)[0]
 
 

@@ -8,9 +8,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.cloze import cloze_cards, cloze_pairs
+from ..operators.cloze import cloze_cards
 from ..operators.documents import decode_documents, pages_to_text, route_documents
-from ..operators.imports import import_report, new_cards, new_import_rows
+from ..operators.imports import card_counts, import_report, new_cards, new_cards_from_rows, new_import_rows
 from ..operators.prompts import Model, card_prompts, complete, completion_cards, completion_points, point_prompts
 from ..session import settled
 
@@ -44,15 +44,21 @@ def import_documents(documents: DataFrame, cards: DataFrame, imported_files: Dat
                      open_model: Callable[[], Model] | None = None) -> DocumentImport:
     """Rows to append for (doc_id, subject_id, file_name, text). Without a model, cloze cards are made.
 
-    A document gives all its cards and its import row, or neither.
+    A document gives all its cards and its import row, or neither: both come from one
+    written result.
     """
+    owners = documents.select("doc_id", "subject_id", "file_name")
     if open_model is None:
-        pairs = cloze_pairs(cloze_cards(documents.select("doc_id", "text")))
+        made = settled(cloze_cards(documents.select("doc_id", "text")))
+        card_rows = new_cards_from_rows(made.join(owners, "doc_id"), cards, as_of)
+        counts = made.groupBy("doc_id").agg(F.count("*").alias("card_count"))
     else:
         pairs = extracted_pairs(documents, open_model)
-    owned = documents.select("doc_id", "subject_id", "file_name").join(pairs, "doc_id")
+        card_rows = new_cards(pairs.join(owners, "doc_id"), cards, as_of)
+        counts = card_counts(pairs)
     return DocumentImport(
-        card_rows=new_cards(owned, cards, as_of),
-        import_rows=new_import_rows(owned, imported_files, as_of),
-        report=import_report(documents, owned),
+        card_rows=card_rows,
+        import_rows=new_import_rows(
+            owners.join(counts.where(F.col("card_count") > 0), "doc_id"), imported_files, as_of),
+        report=import_report(documents, counts),
     )
