@@ -14,7 +14,8 @@ from pyspark.sql import Column, functions as F
 
 # Accepted text forms.
 DATE_FORM = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\z"
-MOMENT_FORM = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\z"
+MOMENT_FORM = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\z"
+MOMENT_FORM_ANY_BLANKS = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\z"
 REST_OF_DAY_FORM = r"^.{10}[\sT]*(([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?)?\s*[zZ]?\s*\z"
 
 
@@ -34,7 +35,8 @@ def deadline_date(text: Column) -> Column:
 def review_moment(text: Column) -> Column:
     """Review-time text as a zone-less timestamp, NULL where it is not one."""
     one_blank = F.regexp_replace(text, r"\s+", " ")
-    return F.when(text.rlike(MOMENT_FORM), one_blank).try_cast("timestamp_ntz")
+    readable = F.when(text.rlike(MOMENT_FORM), text).when(text.rlike(MOMENT_FORM_ANY_BLANKS), one_blank)
+    return readable.try_cast("timestamp_ntz")
 
 
 def moment_text(moment: Column) -> Column:

@@ -69,8 +69,8 @@ def cloze_cards(documents: DataFrame) -> DataFrame:
     )
     words = F.split("point", " ")
     keys = _keys(F.col("point"))
-    # Statement text is never broadcast, however small its files look before they are unpacked.
-    return points.hint("merge").join(best, ["doc_id", "pos"]).withColumn(
+    # Statement text is neither broadcast, however small its files look, nor sorted.
+    return points.join(best.hint("shuffle_hash"), ["doc_id", "pos"]).withColumn(
         "_words", F.zip_with(words, keys, lambda w, k: F.struct(w.alias("word"), (k == F.col("blanked")).alias("out")))
     ).select(
         "doc_id", "pos",

@@ -17,6 +17,7 @@ from .sizing import small_side
 
 # A card with more reviews than this is not sorted in one task.
 HOT_REVIEWS = 5_000_000
+HOT_SAMPLE = 1000
 
 
 def grade_steps(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
@@ -93,26 +94,34 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
 
 
 def settled_hot_cards(reviews: DataFrame, hot_reviews: int) -> DataFrame | None:
-    """Cards with more than ``hot_reviews`` reviews, None if there are none."""
+    """(card_id, n) of cards with more than ``hot_reviews`` reviews, None if there are none.
+
+    This only chooses how cards are folded, never what comes out, so large inputs are
+    judged by a sample in which a hot card shows up about a thousand times; half of
+    that is taken as hot already.
+    """
     if reviews.count() <= hot_reviews:
         return None
-    hot = settled(reviews.groupBy("card_id").agg(F.count("*").alias("n")).where(F.col("n") > hot_reviews))
+    share = min(1.0, HOT_SAMPLE / hot_reviews)
+    seen = reviews.select("card_id") if share == 1.0 else reviews.select("card_id").sample(share, seed=1)
+    limit = hot_reviews if share == 1.0 else HOT_SAMPLE // 2
+    counted = seen.groupBy("card_id").agg(F.count("*").alias("seen")).where(F.col("seen") > limit)
+    hot = settled(counted.select("card_id", (F.col("seen") / F.lit(share)).cast("long").alias("n")))
     return None if hot.isEmpty() else hot
 
 
 def _even_history(cards, reviews, max_mastery):
-    """One shuffle by card for the join, whose partitioning the window reuses."""
-    rows = reviews.join(_start_state(cards), "card_id")
-    return _with_prefix(_running(rows, ["card_id"], max_mastery), max_mastery)
+    """One shuffle and one sort of the reviews by card: the join goes by the window's order."""
+    return _with_prefix(_running(reviews, ["card_id"], max_mastery).join(_start_state(cards), "card_id"), max_mastery)
 
 
 def _ranged_history(cards, reviews, parts, max_mastery):
-    # The written copy pins each review to its range: both uses below must agree on it.
-    ranged = settled(
+    ranged = (
         reviews.repartitionByRange(parts, "card_id", "reviewed_at", "review_id")
         .withColumn("part", F.spark_partition_id())
     )
-    running = _running(ranged, ["card_id", "part"], max_mastery)
+    # The written copy pins each review to its range: both uses below must agree on it.
+    running = settled(_running(ranged, ["card_id", "part"], max_mastery))
     per_part = running.groupBy("card_id", "part").agg(
         F.max("n").alias("n"),
         F.max("raises").alias("raises"),
@@ -135,8 +144,7 @@ def _ranged_history(cards, reviews, parts, max_mastery):
             (F.col("count_before") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("count_before"),
         )
     )
-    # The window has already partitioned the reviews by (card, range); only the short side moves.
-    return _with_prefix(running.join(chained, ["card_id", "part"]), max_mastery)
+    return _with_prefix(running.join(small_side(chained, per_part), ["card_id", "part"]), max_mastery)
 
 
 def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
@@ -175,10 +183,11 @@ def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFra
 def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
     """The card table after a batch of reviews: a new snapshot, cards without reviews unchanged.
 
-    While the batch is small the deltas are broadcast and the cards are not shuffled;
-    a larger batch is joined on the card id, which is unique on both sides.
+    While the batch is small the deltas are broadcast and the cards are not shuffled. A
+    larger batch is joined on the card id, unique on both sides, by hashing the narrow
+    deltas of each partition, which spares sorting the wide card rows.
     """
-    deltas = small_side(review_deltas(reviews, max_mastery), reviews.select("card_id"))
+    deltas = small_side(review_deltas(reviews, max_mastery).hint("shuffle_hash"), reviews.select("card_id"))
     reviewed = F.col("reviews").isNotNull()
     mastery = grading.raised(
         F.coalesce(F.col("base"), F.col("mastery_level"), F.lit(0)), F.col("raises"), max_mastery
