@@ -153,6 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ranked_cards": lambda spark, d: queue.ranked_cards(_scored(spark, d)).select("id", "priority_score"),
         "reason_counts": lambda spark, d: candidates.reason_counts(_scored(spark, d)),
         "recommended_card": _on_scored(queue.recommended_card),
+        "recommended_log_row": lambda spark, d: queue.recommended_log_row(
+            queue.recommended_card(_scored(spark, d), study.recommendation_logs(spark, d), AS_OF),
+            study.recommendation_logs(spark, d), AS_OF),
         "top_priority_cards": _on_scored(queue.top_priority_cards),
         "top_card_lines": _on_scored(lambda *a: queue.card_lines(queue.top_priority_cards(*a))),
         "recommendations_on_day": _on_logs(queue.recommendations_on_day),

@@ -213,6 +213,8 @@ SQL = {
     "ranked_cards": f"{STUDY} SELECT id, priority_score FROM scored",
     "reason_counts": f"{STUDY} SELECT reason, count(*) AS cards FROM scored GROUP BY reason",
     "recommended_card": f"{STUDY} SELECT {CARD}, priority_score, reason FROM ranked WHERE place = 1",
+    "recommended_log_row": f"""{STUDY} SELECT (SELECT max(id) FROM logs) + 1 AS id, id AS card_id,
+        '2024-01-15 10:00:00' AS recommended_at FROM ranked WHERE place = 1""",
     "top_priority_cards": TOP,
     "top_card_lines": f"""{STUDY} SELECT CAST(place AS INTEGER) AS position,
         place || '. [' || subject_name || '] ' || question AS line FROM ranked WHERE place <= 5""",

@@ -52,6 +52,11 @@ def recommended_card(scored: DataFrame, logs: DataFrame, as_of: datetime, daily_
     )
 
 
+def recommended_log_row(card: DataFrame, logs: DataFrame, as_of: datetime) -> DataFrame:
+    """The log row of a card taken by ``recommended_card``; none if none was taken."""
+    return new_log_rows(card.withColumn("position", F.lit(1)), logs, as_of)
+
+
 def top_priority_cards(scored: DataFrame, logs: DataFrame, as_of: datetime, n: int = TOP_CARDS,
                        daily_limit: int = DAILY_LIMIT) -> DataFrame:
     """The best ``n`` cards: all of them while any quota is left, none afterwards. Logs nothing."""

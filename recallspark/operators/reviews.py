@@ -87,7 +87,7 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
     if hot is None:
         return _even_history(cards, reviews, max_mastery)
     ids = small_side(hot.select("card_id"))
-    parts = max(2, (hot.agg(F.sum("n")).first()[0] // hot_reviews) * 2)
+    parts = 1 + hot.agg(F.sum("n")).first()[0] // hot_reviews
     return _even_history(cards, reviews.join(ids, "card_id", "left_anti"), max_mastery).unionByName(
         _ranged_history(cards, reviews.join(ids, "card_id", "left_semi"), parts, max_mastery)
     )
