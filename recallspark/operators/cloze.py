@@ -67,14 +67,16 @@ def cloze_cards(documents: DataFrame) -> DataFrame:
         .join(ranks, "rank")
         .select("doc_id", "pos", F.col("key").alias("blanked"))
     )
-    words = F.split("point", " ")
-    keys = _keys(F.col("point"))
     # Statement text is neither broadcast, however small its files look, nor sorted.
-    return points.join(best.hint("shuffle_hash"), ["doc_id", "pos"]).withColumn(
-        "_words", F.zip_with(words, keys, lambda w, k: F.struct(w.alias("word"), (k == F.col("blanked")).alias("out")))
-    ).select(
-        "doc_id", "pos",
-        F.array_join(F.transform("_words", lambda w: F.when(w["out"], F.lit(BLANK)).otherwise(w["word"])), " ").alias("q"),
-        F.array_join(F.transform(F.filter("_words", lambda w: w["out"]), lambda w: w["word"]), " ").alias("a"),
+    whole = points.join(best.hint("shuffle_hash"), ["doc_id", "pos"]).select(
+        "doc_id", "pos", F.split("point", " ").alias("_words"), _keys(F.col("point")).alias("_keys"), "blanked"
     )
 
+    def out(i):
+        return F.get("_keys", i) == F.col("blanked")
+
+    return whole.select(
+        "doc_id", "pos",
+        F.array_join(F.transform("_words", lambda w, i: F.when(out(i), F.lit(BLANK)).otherwise(w)), " ").alias("q"),
+        F.array_join(F.filter("_words", lambda w, i: out(i)), " ").alias("a"),
+    )

@@ -33,10 +33,9 @@ def new_cards(pairs: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
     """Rows to append to ``cards`` from (doc_id, subject_id, pairs).
 
     Ids are claimed per document before its pairs become rows, so they run on within
-    a document.
+    a document. A document without pairs claims none.
     """
-    with_pairs = pairs.where(F.size("pairs") > 0)
-    first = numbered(with_pairs, "doc_id", last_id(cards), F.size("pairs"), into="_first")
+    first = numbered(pairs, "doc_id", last_id(cards), F.size("pairs"), into="_first")
     rows = first.select("subject_id", "_first", F.posexplode("pairs").alias("_pos", "_pair")).select(
         (F.col("_first") + F.col("_pos")).alias("id"), "subject_id",
         F.col("_pair.q").alias("question"), F.col("_pair.a").alias("answer"),
