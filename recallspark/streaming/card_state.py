@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +25,7 @@ from ..settings import GRADE_AGAIN, GRADE_FORGOT, GRADE_IGNORE, GRADE_KNOWN, MAX
 
 THINNED = "card_id long, reviewed_at timestamp_ntz, review_id long, grade int, reviews long, raises long"
 CARD_STATE = "card_id long, mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
+WRITTEN = "card_id long, mastery_level int, ignored int, review_count long, last_reviewed_at string, batch long"
 STATE = "mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
 
 RESETS = [GRADE_FORGOT, GRADE_KNOWN]
@@ -144,9 +146,14 @@ def write_states(states: DataFrame, out: str, checkpoint: str, **trigger) -> Str
 def latest_states(spark: SparkSession, out: str) -> DataFrame:
     """One row per card that has been reviewed: its state after the last batch it was in."""
     columns = ["mastery_level", "ignored", "review_count", "last_reviewed_at"]
+    try:
+        written = spark.read.parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = spark.createDataFrame([], WRITTEN)
     return (
-        spark.read.parquet(out)
-        .groupBy("card_id").agg(F.max_by(F.struct(*columns), F.col("batch").cast("long")).alias("latest"))
+        written.groupBy("card_id").agg(F.max_by(F.struct(*columns), F.col("batch").cast("long")).alias("latest"))
         .select("card_id", "latest.*")
     )
 

@@ -138,3 +138,10 @@ def test_stream_is_the_fold(spark, tmp_path, batches):
     updated = S.updated_cards(cards, S.latest_states(spark, out))
     got = {r.id: (r.mastery_level, r.ignored, r.review_count, r.last_reviewed_at) for r in updated.collect()}
     assert got == fold(rows, reviews)[0]
+
+
+def test_stream_that_has_written_nothing(spark, tmp_path):
+    states = S.latest_states(spark, str(tmp_path / "none"))
+    assert states.isEmpty()
+    cards = spark.createDataFrame([card(1)], CARDS)
+    assert [tuple(r) for r in S.updated_cards(cards, states).collect()] == [card(1)]
