@@ -28,6 +28,13 @@ from recallspark.session import work_dir  # noqa: E402
 from recallspark.sources import star_schema as study  # noqa: E402
 from recallspark.streaming import card_state  # noqa: E402
 
+# The corpus operators may be taken away; everything else works without them.
+try:
+    from recallspark.llm import queries as corpus
+    import corpus_pipeline
+except ImportError:
+    corpus = corpus_pipeline = None
+
 AS_OF = study.AS_OF
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -213,10 +220,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
             study.imported_files(spark, d), AS_OF).card_rows,
         "cloze_cards": lambda spark, d: cloze.cloze_cards(study.documents(spark, d)),
-    }
+    } | _corpus_queries()
+
+
+def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {} if corpus is None else corpus.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import SQL
 
-    return dict(SQL)
+    if corpus is None:
+        return dict(SQL)
+    return SQL | corpus.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
