@@ -98,11 +98,10 @@ def broadcast_object(spark: SparkSession, value):
     return spark.sparkContext.broadcast(pickle.dumps(value))
 
 
-def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int, key: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """At most ``per_stratum`` rows of each value of ``stratum``, the same ones in every run.
 
-    ``rows`` has the columns doc_id and text. They are picked by a hash of id and text, so
-    repeated rows count once. A first pass counts, the second reads only the share needed;
+    Rows are picked by a hash of the columns ``key``, so repeated rows count once. A first pass counts, the second reads only the share needed;
     no stratum is gathered in one task.
     """
     counts = {r[stratum]: r["count"] for r in rows.groupBy(stratum).count().collect() if r[stratum] is not None}
@@ -110,7 +109,7 @@ def bounded_sample(rows: DataFrame, stratum: str, per_stratum: int) -> DataFrame
         return rows.where(F.lit(False)).withColumn("_pick", F.lit(0).cast("long"))
     scale = 1 << 40
     pairs = [F.lit(x) for k, n in counts.items() for x in (k, min(scale, int(scale * 1.5 * (per_stratum + 20) / n)))]
-    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
+    pick = F.pmod(F.xxhash64(*key), F.lit(scale))
     near = rows.withColumn("_pick", pick).where(F.col("_pick") < F.element_at(F.create_map(*pairs), F.col(stratum)))
     ranked = near.dropDuplicates([stratum, "_pick"]).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_pick")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, language_id
+from . import byte_bpe, language_id, license_scan, minhash_dedup, secret_scan, toxicity
 from .common import fold
 
 
@@ -26,5 +26,25 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op8_byte_bpe)}
+def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, folder, "documents"), size=2)
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return secret_scan.find_secrets(docs, secret_scan.train(docs))
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_table(spark, folder, "documents")).drop("spans")
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    network = toxicity.train(docs, labels.where(fold(5) != 0))
+    return toxicity.score_documents(docs, network).withColumn("held_out", fold(5) == 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op4_language_id, op6_license_scan, op7_secret_scan, op8_byte_bpe, op10_minhash_dedup)}
 SQL: dict[str, str] = {}
