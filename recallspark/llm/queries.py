@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, language_id, license_scan, minhash_dedup, secret_scan, toxicity
+from . import byte_bpe, language_id, license_scan, minhash_dedup, quality, secret_scan, toxicity
 from .common import fold
 
 
@@ -45,6 +45,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, network).withColumn("held_out", fold(5) == 0)
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.score_documents(docs, quality.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op4_language_id, op6_license_scan, op7_secret_scan, op8_byte_bpe, op10_minhash_dedup)}
+    op1_toxicity, op4_language_id, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
 SQL: dict[str, str] = {}
