@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, language_id, license_scan, minhash_dedup, quality, secret_scan, toxicity
+from . import byte_bpe, decontamination, language_id, license_scan, minhash_dedup, quality, secret_scan, toxicity
 from .common import fold
 
 
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op4_language_id, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
+    op1_toxicity, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
 SQL: dict[str, str] = {}
