@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, language_id, license_scan, minhash_dedup, quality, secret_scan, toxicity
+from . import byte_bpe, decontamination, language_id, license_scan, minhash_dedup, quality, secret_scan, suffix_dedup, toxicity
 from .common import fold
 
 
@@ -54,6 +54,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
+    op1_toxicity, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
 SQL: dict[str, str] = {}
