@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
@@ -40,3 +41,22 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     star = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return star.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def forest(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> set[tuple[int, int]]:
+    """Edges (smaller, larger id) that connect what a matrix of links between two lists of ids connects.
+
+    At most one edge per row and column: each to the smallest id of its component. An id may
+    stand in both lists, or several times in one.
+    """
+    top = np.iinfo(np.int64).max
+    names, inverse = np.unique(np.concatenate([rows, columns]), return_inverse=True)
+    row, column = inverse[:len(rows)], inverse[len(rows):]
+    label = names.copy()
+    while True:
+        new = label.copy()
+        np.minimum.at(new, row, np.where(links, label[column][None, :], top).min(1, initial=top))
+        np.minimum.at(new, column, np.where(links, new[row][:, None], top).min(0, initial=top))
+        if (new == label).all():
+            return {(int(a), int(b)) for a, b in zip(label, names) if a != b}
+        label = new

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.sizing import small_side
 from .common import map_rows, record_batch, schema_of, ship, slices, stored, texts
-from .components import components
+from .components import components, forest
 from .words import SPACED, hashed_words, mix, windows
 
 SHINGLE_WORDS = 5
@@ -193,18 +193,9 @@ def _block_edges(blocks: DataFrame, full: DataFrame, size: int) -> DataFrame:
         if not rows or not columns:
             return pa.Table.from_batches([], schema=arrow)
         links = linked([r[2] for r in rows], [c[2] for c in columns])
-        row_ids, column_ids = np.array([r[0] for r in rows]), np.array([c[0] for c in columns])
         # Ring 0 is one component already: the leader stands for it.
-        target = np.where(np.array([c[1] for c in columns]) == 0, leader, column_ids)
-        row_label, column_label = row_ids.copy(), target.copy()
-        top = np.iinfo(np.int64).max
-        while True:
-            new = np.minimum(row_label, np.where(links, column_label[None, :], top).min(1))
-            back = np.minimum(column_label, np.where(links, new[:, None], top).min(0))
-            if (new == row_label).all() and (back == column_label).all():
-                break
-            row_label, column_label = new, back
-        edges = {(int(min(p)), int(max(p))) for p in [*zip(row_ids, row_label), *zip(target[links.any(0)], column_label[links.any(0)])] if p[0] != p[1]}
+        targets = [leader if ring == 0 else member for member, ring, _ in columns]
+        edges = forest(links, np.array([r[0] for r in rows]), np.array(targets))
         return pa.Table.from_batches([record_batch(sorted(edges), arrow)])
 
     return with_text.groupBy("leader", "task", "row_block", "column_block").applyInArrow(run, schema)
