@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import map_rows, ship, texts
 
@@ -142,7 +142,8 @@ def splitter(pattern: str):
     return split
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = False,
+                     whole: bool = False) -> DataFrame:
     """Token ids of every whole text, and the check that they decode to it.
 
     Args: ``docs`` with doc_id and text; ``vocabulary``: path of a rank file readable by the
@@ -150,7 +151,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
     ``pattern``: the regular expression whose matches are encoded one by one.
 
     Returns (doc_id, n_tokens, ids_sha256, decoded_sha256), with ``keep_ids`` also ids
-    (array of int) and decoded (the text again). A null or empty text has no tokens; a null
+    (array of int), with ``whole`` also the input rows in the column ROW. A null or empty text has no tokens; a null
     doc_id stays null; repeated rows give repeated results; other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -182,10 +183,32 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
             digest = hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest()
             decoded = b"".join([f[2] for f in found])
             out = (doc_id, sum([f[0] for f in found]), digest, hashlib.sha256(decoded).hexdigest())
-            return out + ([i for f in found for i in f[3]], decoded.decode()) if keep_ids else out
+            return out + ([i for f in found for i in f[3]],) if keep_ids else out
 
         return row
 
-    more = ", ids array<int>, decoded string" if keep_ids else ""
-    return map_rows(texts(docs, binary=False), start,
+    more = ", ids array<int>" if keep_ids else ""
+    return map_rows(texts(docs, binary=False, whole=whole), start,
                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+
+
+def decode_documents(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, text) of ``tokens`` (doc_id, ids: array of int): the bytes of the ids, end to end, as UTF-8.
+
+    Null ids are a null text, no ids an empty one; an id that the vocabulary lacks is an error;
+    bytes that are not UTF-8 become U+FFFD.
+    """
+    ship(tokens.sparkSession)
+    with open(vocabulary, "rb") as file:
+        shared = tokens.sparkSession.sparkContext.broadcast(file.read())
+
+    def start():
+        codec = Codec(load_ranks(shared.value))
+
+        def row(doc_id, ids):
+            return doc_id, None if ids is None else codec.decode(ids).decode(errors="replace")
+
+        return row
+
+    return map_rows(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), start,
+                    "doc_id long, text string")

@@ -20,6 +20,8 @@ from ..session import work_dir
 # Texts that a Python worker holds at a time: so many rows, or so many bytes.
 ROWS_AT_ONCE = 256
 BYTES_AT_ONCE = 4 << 20
+# The column that carries whole input rows past a function.
+ROW = "_row"
 
 
 @lru_cache
@@ -54,19 +56,22 @@ def map_rows(df: DataFrame, start: Callable[[], Callable], result: str) -> DataF
     """One output row per input row: ``start()`` runs once per task and gives the function of a row's values.
 
     The function returns a tuple as ``result`` says. Rows are read and written in small
-    Arrow batches, so neither many nor long texts pile up in a worker.
+    Arrow batches, so neither many nor long texts pile up in a worker. A last column ROW is
+    not given to the function but comes out again as it went in.
     """
     schema = schema_of(result)
     arrow = to_arrow_schema(schema)
+    whole = df.columns[-1] == ROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         for batch in batches:
             for part in slices(batch):
-                rows = [function(*values) for values in zip(*(c.to_pylist() for c in part.columns))]
-                yield record_batch(rows, arrow)
+                columns = part.columns[:-1] if whole else part.columns
+                out = record_batch([function(*values) for values in zip(*(c.to_pylist() for c in columns))], arrow)
+                yield out.append_column(ROW, part.columns[-1]) if whole else out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema.add(ROW, df.schema[ROW].dataType) if whole else schema)
 
 
 def record_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -82,9 +87,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def texts(docs: DataFrame, *more: Column, binary: bool = True) -> DataFrame:
-    """(doc_id, text, ...) of ``docs``; a null text is an empty one. Other columns are not read."""
+def texts(docs: DataFrame, *more: Column, binary: bool = True, whole: bool = False) -> DataFrame:
+    """(doc_id, text, ...) of ``docs``; a null text is an empty one. Other columns are not read.
+
+    With ``whole`` a last column ROW holds the whole rows of ``docs``.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
+    more = (*more, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)) if whole else more
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (text.cast("binary") if binary else text).alias("text"), *more)
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_object, map_rows, ship, texts
+from .common import ROW, broadcast_object, map_rows, ship, texts
 from .words import ALNUM, HashSet, hashed_words, mix, windows
 
 WINDOW = 8
@@ -174,7 +174,7 @@ def _slices(benchmark: DataFrame):
         yield sorted((r["item_id"], r["text"]) for r in part.collect())
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """Benchmark items in every whole text of ``docs`` (doc_id, text); ``benchmark`` has item_id and text.
 
     Returns doc_id, contaminated, n_items, n_exact (items found with the same values), items
@@ -182,17 +182,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     any). The benchmark goes out in slices of bounded size, all of them within one pass over
     the documents. A null or empty text holds nothing; items that are null, repeated or
     shorter than ITEM_LEAST words add nothing; an empty benchmark finds nothing. A null doc_id
-    stays null, repeated rows give repeated results, other columns are not read.
+    stays null, repeated rows give repeated results, other columns are not read, but with
+    ``whole`` come back in the column ROW.
     """
     ship(docs.sparkSession)
-    found = texts(docs, F.expr("CAST(array() AS array<struct<item: long, words: int, size: int, same: boolean>>)").alias("found"))
+    found = texts(docs, F.expr("CAST(array() AS array<struct<item: long, words: int, size: int, same: boolean>>)").alias("found"), whole=whole)
     for part in _slices(benchmark):
         found = _join(found, broadcast_object(docs.sparkSession, Index.build(part)))
     items = F.array_sort(F.array_distinct("found.item"))
     return found.select(
         "doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"),
         F.size(F.array_distinct(F.filter("found", lambda x: x["same"])["item"])).cast("long").alias("n_exact"), items.alias("items"),
-        F.coalesce(F.array_max(F.transform("found", lambda x: x["words"] / x["size"])), F.lit(0.0)).alias("share"))
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["words"] / x["size"])), F.lit(0.0)).alias("share"),
+        *([ROW] if whole else []))
 
 
 def _join(docs: DataFrame, shared) -> DataFrame:

@@ -137,12 +137,13 @@ def train(labelled: DataFrame, per_language: int = TRAINING_TEXTS) -> Model | No
     return fit(x / np.where(norm == 0, 1, norm), [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, whole: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every whole text.
 
     ``score`` is the softmax of the losses, 0 to 1. A null or empty text, one without a letter,
     or any text without a model is ``und`` with score 0 and not ambiguous. A null doc_id stays
-    null, repeated rows give repeated results, other columns are not read.
+    null, repeated rows give repeated results, other columns are not read; with ``whole`` a
+    column ROW holds the input rows.
     """
     ship(docs.sparkSession)
     shared = broadcast_object(docs.sparkSession, model)
@@ -156,5 +157,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return row
 
-    return map_rows(texts(docs, has_letter.alias("letters")), start,
+    return map_rows(texts(docs, has_letter.alias("letters"), whole=whole), start,
                     "doc_id long, lang_pred string, score double, ambiguous boolean")

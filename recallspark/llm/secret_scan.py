@@ -132,14 +132,14 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(docs: DataFrame, table: np.ndarray, redact: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, table: np.ndarray, redact: bool = False, whole: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_assign, n_access, n_hex, n_markov, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, in order of start, then kind; base
     spans are those of the patterns. With ``redact`` also ``redacted``, the text with each
     covered stretch replaced by [SECRET]. A null or empty text has no spans (``redacted`` of a
     null text is null), a null doc_id stays null, repeated rows give repeated results, other
-    columns are not read. Token scores look at single tokens, so texts may be of any length.
+    columns are not read, but with ``whole`` come back in the column ROW. Token scores look at single tokens, so texts may be of any length.
     """
     ship(docs.sparkSession)
     shared = broadcast_object(docs.sparkSession, table)
@@ -157,7 +157,7 @@ def find_secrets(docs: DataFrame, table: np.ndarray, redact: bool = False) -> Da
         return row
 
     more = [F.col("text").isNull().alias("missing")] if redact else []
-    return map_rows(texts(docs, *more, binary=False), start,
+    return map_rows(texts(docs, *more, binary=False, whole=whole), start,
                     "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
                     + (", redacted string" if redact else ""))
 
