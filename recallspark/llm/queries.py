@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, quality, secret_scan, suffix_dedup, toxicity
+from . import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, quality, secret_scan, sql, suffix_dedup, toxicity
 from .common import fold
 
 
@@ -64,4 +64,5 @@ def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_embedding_dedup, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_embedding_dedup": sql.EMBEDDING_DEDUP, "op3_suffix_dedup": sql.SUFFIX_DEDUP, "op10_minhash_dedup": sql.MINHASH_DEDUP}
