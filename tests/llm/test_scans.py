@@ -1,0 +1,99 @@
+"""Licences, secrets, benchmark passages."""
+
+import random
+import re
+
+import numpy as np
+
+import corpus
+from recallspark.llm import decontamination, license_scan, secret_scan
+
+
+def test_automaton_like_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        templates = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        automaton = license_scan.Automaton()
+        for i, t in enumerate(templates):
+            automaton.add(i, t)
+        words = [rng.randrange(5) for _ in range(15)]
+        known = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        longest = [max([0] + [k for k in range(1, e + 1) if tuple(words[e - k:e]) in known]) for e in range(1, len(words) + 1)]
+        expected = [(e - n, e) for e, n in enumerate(longest, 1)
+                    if n >= license_scan.RUN_LEAST and (e == len(words) or longest[e] <= n)]
+        runs = automaton.runs(words)
+        assert [r[:2] for r in runs] == expected
+        assert all(templates[t][place - (b - a):place] == words[a:b] for a, b, t, place in runs)
+
+
+def test_licenses(spark):
+    bsd = next(t for label, t in license_scan.TEMPLATES if label == "bsd")
+    half = " ".join(bsd.split()[:-6])
+    texts = [f"{corpus.prose(20, 1)} {bsd} {corpus.prose(20, 2)}", half + " and more", "The MIT  license, the Apache-License; mit\nlicense",
+             "use in source", corpus.prose(100, 3)]
+    found = [r for r in sorted(license_scan.scan(corpus.documents(spark, texts)).collect())]
+    assert [r["labels"] for r in found] == ["bsd", "bsd", "apache,mit", "", ""]
+    assert [r["base_labels"] for r in found] == ["", "", "apache,mit", "", ""]
+    assert (found[0]["score"], [tuple(s) for s in found[0]["spans"]]) == (1.0, [("bsd", 20, 41, 21)])
+    assert tuple(found[2][c] for c in ("n_words", "n_base", "first_word", "last_word", "score")) == (8, 3, 1, 6, 0.5)
+    assert found[3]["score"] < 0.3 and found[4]["score"] == 0
+
+
+def test_base_spans_like_the_patterns():
+    rng = random.Random(2)
+    pieces = ["token", "Token = ", "secret: '", "password=", "api_key", "apikey\" : \"", "AKIA", "ABCDEFGH12345678", "0f", "deadbeef" * 3,
+              "abcdef", " ", "\n", "é", "K", "ſecret=abcdefgh", "=", "x"]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        expected = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(text) if len(m[2]) >= 6]
+        expected += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        expected += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        assert secret_scan.base_spans(text) == sorted(expected)
+
+
+def test_models_tell_random_strings(spark):
+    rng = random.Random(3)
+    texts = [corpus.prose(200, i) for i in range(20)] + [corpus.prose(20, 50 + i) + " " + corpus.SECRET for i in range(5)]
+    table = secret_scan.train(corpus.documents(spark, texts))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_tokens = ["".join(rng.choice(letters) for _ in range(36)) for _ in range(100)]
+    words = ["".join(corpus.prose(12, 900 + i).split())[:36] for i in range(100)]
+    hit = sum(secret_scan.ratio(table, t.encode()) >= secret_scan.RATIO_LEAST for t in random_tokens)
+    false = sum(secret_scan.ratio(table, t.encode()) >= secret_scan.RATIO_LEAST for t in words)
+    assert hit >= 98 and false == 0
+    text = f"é see {random_tokens[0]} now"
+    row = secret_scan.find_secrets(corpus.documents(spark, [text]), table, redact=True).first()
+    assert row["spans"] == "markov:6:42" and row["redacted"] == "é see [SECRET] now"
+
+
+def test_leaks(spark):
+    item = "Maria bought 12 apples for 3.50 dollars and gave Peter half of the apples before lunch. How many apples remain with Maria?"
+    other = "In the garden stood 7 old trees that carried sweet red fruit all summer long until the rain came."
+    changed = item.replace("12", "18").replace("Maria", "Sandra").replace("Peter", "Olaf").replace("dollars", "euros").replace("3.50", "4,75")
+    # One name of the item stands for two in the document.
+    broken = item.replace("with Maria", "with Paula").replace("Maria", "Sandra")
+    texts = [f"{corpus.prose(30, 1)} {item} {corpus.prose(30, 2)}", changed, item.upper(), corpus.prose(300, 3), "1 2 3 4 5 6 7 8 9 10", broken,
+             " ".join(other.split()[:5]), other + " " + item]
+    benchmark = spark.createDataFrame([(1, item), (2, other), (3, "1 2 3 4 5 6 7 8 9"), (4, None)], "item_id long, text string")
+    found = sorted(decontamination.find_leaks(corpus.documents(spark, texts), benchmark).collect())
+    assert [r["items"] for r in found] == [[1], [1], [1], [], [], [1], [], [1, 2]]
+    assert [r["n_exact"] for r in found][:3] == [1, 0, 1]
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    items = [(i, corpus.prose(20, i)) for i in range(30)]
+    texts = [corpus.prose(20, 500 + i) + " " + items[i % 30][1] for i in range(40)]
+    docs, benchmark = corpus.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(decontamination.find_leaks(docs, benchmark).collect())
+    assert all(r["contaminated"] for r in whole)
+    monkeypatch.setattr(decontamination, "SLICE_CHARACTERS", 900)
+    assert sorted(decontamination.find_leaks(docs, benchmark).collect()) == whole
+
+
+def test_slot_consistency():
+    index = decontamination.Index.build([(1, "the sum of 5 and 5 is taken from the sum of 7 and 9 today")])
+    canonical = decontamination.Canonical()
+    same = canonical.template(b"the sum of 6 and 6 is taken from the sum of 2 and 4 today")
+    other = canonical.template(b"the sum of 6 and 8 is taken from the sum of 2 and 4 today")
+    assert index.matches(same)[0][3] is False and index.matches(other) == []
+    assert np.count_nonzero(same.kinds == decontamination.NUMBER) == 4
