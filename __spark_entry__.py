@@ -220,10 +220,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
             study.imported_files(spark, d), AS_OF).card_rows,
         "cloze_cards": lambda spark, d: cloze.cloze_cards(study.documents(spark, d)),
-    } | _corpus_queries()
+    } | corpus_queries()
 
 
-def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {} if corpus is None else corpus.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
