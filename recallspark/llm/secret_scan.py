@@ -32,10 +32,11 @@ TRAINING_TEXTS = 400
 # Words learned from each text without a match.
 WORDS_PER_TEXT = 200
 # Added strings of the random kind, so that the model knows every alphabet.
-DRAWN = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+DRAWN = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+         "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 DRAWN_STRINGS = 400
 # Log-likelihood ratio per character from which a token is a secret.
-RATIO_LEAST = 0.75
+RATIO_LEAST = 0.5
 
 _TOKEN = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b in b"+/_=-", fold_case=False)
 
