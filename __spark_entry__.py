@@ -22,10 +22,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from recallspark.functions import clock  # noqa: E402
 from recallspark.operators import candidates, cloze, dashboard, documents, imports, prompts, queue, reviews  # noqa: E402
-from recallspark.plans import document_import  # noqa: E402
+from recallspark.plans import document_import, study_day  # noqa: E402
 from recallspark.schemas import CARDS, CARD_DEFAULTS, with_defaults  # noqa: E402
 from recallspark.session import work_dir  # noqa: E402
-from recallspark.sources import star_schema as study  # noqa: E402
+from recallspark.sources import star_schema as study, tables  # noqa: E402
 from recallspark.streaming import card_state  # noqa: E402
 
 # The corpus operators may be taken away; everything else works without them.
@@ -130,12 +130,33 @@ def _completed_prompts(spark, d):
     return prompts.complete(prompts.point_prompts(study.documents(spark, d)), open_stand_in)
 
 
-def _model_import_cards(spark, d):
+def _import(spark, d, model=None):
+    """Uploaded files and PDF pages to cards, import rows and a report."""
     _ship_package(spark)
-    texts = documents.decode_documents(study.document_files(spark, d))
-    return document_import.import_documents(
-        texts, study.cards(spark, d), study.imported_files(spark, d), AS_OF, open_stand_in
-    ).card_rows
+    return document_import.import_files(
+        study.document_files(spark, d), study.document_pages(spark, d), study.cards(spark, d),
+        study.imported_files(spark, d), AS_OF, model)
+
+
+def _model_import_report(spark, d):
+    lines = F.transform("errors", lambda e: F.concat_ws(":", e["step"].cast("string"), e["part"].cast("string"), e["error"]))
+    return _import(spark, d, open_stand_in).report.withColumn("errors", F.array_join(lines, ","))
+
+
+def _stored_tables(spark, d):
+    """Tables written in two generations, over two days, with a snapshot, and read again."""
+    folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
+    cards, logs = study.cards(spark, d), study.recommendation_logs(spark, d)
+    cards.where("id % 2 = 0").drop("ignored").write.parquet(f"{folder}/cards")
+    tables.append_rows(cards.where("id % 2 = 1"), folder, "cards")
+    tables.append_logs(logs.where("recommended_at < '2024-01-15'"), folder)
+    tables.append_rows(logs.where("recommended_at LIKE '2024-01-15%'"), folder, "recommendation_logs")
+    tables.write_snapshot(study_day.close_day(tables.load_table(spark, folder, "cards"), study.reviews(spark, d)), folder, "2024-01-15")
+    stored = tables.load_tables(spark, folder)
+    kept = stored["cards"].select(
+        F.lit("card").alias("kind"), "id", "mastery_level", "ignored", "review_count", F.col("last_reviewed_at").alias("at"))
+    empty = [F.lit(None).cast(kept.schema[c].dataType) for c in ("mastery_level", "ignored", "review_count")]
+    return kept.unionAll(stored["recommendation_logs"].select(F.lit("log"), "id", *empty, "recommended_at"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -157,7 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_candidates": lambda spark, d: candidates.review_candidates(
             study.cards(spark, d), study.subjects(spark, d), study.recommendation_logs(spark, d), AS_OF),
         "priority_scores": _scored,
-        "ranked_cards": lambda spark, d: queue.ranked_cards(_scored(spark, d)).select("id", "priority_score"),
+        "ranked_cards": lambda spark, d: queue.ranked_cards(_scored(spark, d)).select("id", "priority_score", "position"),
         "reason_counts": lambda spark, d: candidates.reason_counts(_scored(spark, d)),
         "recommended_card": _on_scored(queue.recommended_card),
         "recommended_log_row": lambda spark, d: queue.recommended_log_row(
@@ -212,13 +233,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "added_subjects": lambda spark, d: imports.new_subjects(
             study.offered_subjects(spark, d), study.subjects(spark, d), "form_id"),
         "completed_prompts": _completed_prompts,
-        "model_import_cards": _model_import_cards,
-        "cloze_import_rows": lambda spark, d: document_import.import_documents(
-            documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
-            study.imported_files(spark, d), AS_OF).import_rows,
-        "cloze_import_cards": lambda spark, d: document_import.import_documents(
-            documents.decode_documents(study.document_files(spark, d)), study.cards(spark, d),
-            study.imported_files(spark, d), AS_OF).card_rows,
+        "model_import_cards": lambda spark, d: _import(spark, d, open_stand_in).card_rows,
+        "model_import_report": _model_import_report,
+        "stored_tables": _stored_tables,
+        "cloze_import_rows": lambda spark, d: _import(spark, d).import_rows,
+        "cloze_import_cards": lambda spark, d: _import(spark, d).card_rows,
+        "cloze_import_report": lambda spark, d: _import(spark, d).report,
         "cloze_cards": lambda spark, d: cloze.cloze_cards(study.documents(spark, d)),
     } | corpus_queries()
 

@@ -11,6 +11,8 @@ from recallspark.operators.prompts import PAIRS_INSTRUCTION, PAIRS_REQUEST, POIN
 NOW = "TIMESTAMP '2024-01-15 10:00:00'"
 TEXT_FORM = "'%Y-%m-%d %H:%M:%S'"
 
+IGNORED = "CASE WHEN o_orderstatus = 'P' AND o_orderkey % 11 = 0 THEN 1 WHEN o_orderstatus = 'O' THEN NULL ELSE 0 END"
+
 STUDY = f"""
 WITH owners AS (SELECT count(*) - 1 AS n FROM supplier),
 subjects AS (
@@ -30,8 +32,7 @@ cards AS (
                             + to_hours(o_orderkey % 24), {TEXT_FORM}) END AS last_reviewed_at,
          o_orderkey % 7 AS review_count,
          CASE WHEN o_orderkey % 31 <> 30 THEN CAST((o_custkey + o_orderkey) % 6 AS INTEGER) END AS mastery_level,
-         CAST(CASE WHEN o_orderstatus = 'P' AND o_orderkey % 11 = 0 THEN 1 WHEN o_orderstatus = 'O' THEN NULL ELSE 0 END
-              AS INTEGER) AS ignored
+         CAST({IGNORED} AS INTEGER) AS ignored
   FROM orders),
 live AS (SELECT * FROM cards WHERE ignored IS NULL OR ignored = 0),
 reviews AS (
@@ -122,38 +123,66 @@ history AS (
 final AS (
   SELECT card_id, mastery_level, ignored, review_count, strftime(reviewed_at, {TEXT_FORM}) AS last_reviewed_at
   FROM history WHERE nth = of),
+bodies AS (
+  SELECT doc_id, trim(regexp_replace(trim(raw, ' ' || chr(10)), '^```(json)?|```$', '', 'g'), ' ' || chr(10)) AS body
+  FROM (SELECT doc_id, CASE doc_id % 10
+    WHEN 0 THEN '```json' || chr(10) || '{{"points":' || lines || '}}' || chr(10) || '```'
+    WHEN 1 THEN '{{"n":1,"zz":' || lines || ',"aa":["q"]}}' WHEN 2 THEN lines WHEN 3 THEN text
+    WHEN 4 THEN '{{"points":"[x","k":' || lines || '}}'
+    WHEN 5 THEN '  {{"points":[1,2.0,0.25,true,' || to_json(text) || ']}}' WHEN 6 THEN '{{"points":[]}}'
+    WHEN 7 THEN '{{"points":{{"a":[1]}},"b":' || lines || '}}' WHEN 8 THEN '{{"points":' || lines || '}} and more' END AS raw
+    FROM (SELECT doc_id, text, to_json(string_split(text, chr(10)))::VARCHAR AS lines FROM documents))),
+objects AS (
+  SELECT doc_id, CASE WHEN json_valid(body) THEN CASE WHEN json_type(body) = 'OBJECT' THEN CAST(body AS JSON) END END AS o FROM bodies),
+lists AS (
+  SELECT doc_id, CASE WHEN json_type(o, '$.points') = 'ARRAY' THEN json_extract(o, '$.points') ELSE list_filter(
+    list_transform(json_keys(o), lambda k: json_extract(o, '$."' || k || '"')), lambda v: json_type(v) = 'ARRAY')[1] END AS l
+  FROM objects),
 points AS (
-  SELECT doc_id, CASE doc_id % 10
-    WHEN 0 THEN ['p' || doc_id, 'r' || doc_id] WHEN 1 THEN ['x' || doc_id] WHEN 4 THEN ['v' || doc_id]
-    WHEN 5 THEN ['1', 's' || doc_id] WHEN 7 THEN ['deep' || doc_id] ELSE CAST([] AS VARCHAR[]) END AS points
-  FROM documents),
+  SELECT doc_id, coalesce(list_filter(list_transform(CAST(l AS JSON[]), lambda v: trim(
+    CASE json_type(v) WHEN 'BOOLEAN' THEN upper(substr(v ->> '$', 1, 1)) || substr(v ->> '$', 2) ELSE v ->> '$' END)),
+    lambda p: p <> ''), CAST([] AS VARCHAR[])) AS points
+  FROM lists),
 pairs AS (
   SELECT doc_id, subject_id, file_name, text, unnest(CASE doc_id % 6
-    WHEN 0 THEN [{{'pos': 0, 'q': 'Q' || doc_id || ' ____', 'a': 'A' || doc_id}}]
-    WHEN 1 THEN [{{'pos': 0, 'q': 'Q' || doc_id || ' ____', 'a': 'A' || doc_id}},
-                 {{'pos': 1, 'q': 'R' || doc_id || ' ____', 'a': 'B' || doc_id}}]
-    WHEN 5 THEN [{{'pos': 0, 'q': 'S' || doc_id || ' ____', 'a': 'C' || doc_id}}] ELSE [] END, recursive := true)
-  FROM files),
+    WHEN 0 THEN of_lines WHEN 1 THEN of_lines
+    WHEN 5 THEN [{{'pos': 0, 'q': text, 'a': '2.0'}}] ELSE [] END, recursive := true)
+  FROM (SELECT *, list_transform(string_split(text, chr(10)), lambda x, i: {{'pos': CAST(i - 1 AS INTEGER), 'q': '____ ' || x,
+                                 'a': string_split(x, ' ')[1]}}) AS of_lines FROM files)),
 pages AS (
   SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn, text) || chr(10) AS text
-  FROM conversations GROUP BY conv_id)
+  FROM conversations GROUP BY conv_id),
+texts AS (
+  SELECT f.doc_id, subject_id, file_name, CASE WHEN is_pdf THEN coalesce(p.text, '') ELSE f.text END AS text
+  FROM (SELECT *, coalesce(mime_type, '') LIKE '%pdf%' OR lower(file_name) LIKE '%.pdf' AS is_pdf FROM files) f
+  LEFT JOIN pages p USING (doc_id))
 """
 
 CARD = "id, subject_id, question, answer, created_at, last_reviewed_at, review_count, mastery_level"
 
-# One statement-making and one blank-making answer of the stand-in model, per document.
-MODEL = """
-, asked AS (SELECT doc_id, subject_id, file_name, length(left(text, 15000)) AS n FROM files),
+def _model(texts: str) -> str:
+    """The stand-in model's first answers: texts go to it in pieces of 15,000 characters, an empty text as one."""
+    return f"""
+, asked AS (
+  SELECT * EXCLUDE (pieces), generate_subscripts(pieces, 1) - 1 AS part, unnest(pieces) AS n
+  FROM (SELECT doc_id, subject_id, file_name, list_transform(range(0, greatest(length(text), 1), 15000),
+               lambda i: least(15000, length(text) - i)) AS pieces FROM {texts})),
 answered AS (
-  SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 2 = 0 THEN '```json' || chr(10) || '{"points": ["' || n || ' characters"]}'
-            || chr(10) || '```' ELSE '{"points": ["' || n || ' characters"]}' END AS raw
+  SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 2 = 0 THEN '```json' || chr(10) || '{{"points": ["' || n || ' characters"]}}'
+            || chr(10) || '```' ELSE '{{"points": ["' || n || ' characters"]}}' END AS raw,
+         CASE WHEN n % 7 = 0 THEN 'RuntimeError: no answer' END AS error
   FROM asked)
 """
 
-CLOZE = STUDY + r""",
+
+def _cloze(texts: str) -> str:
+    return STUDY + CLOZE.replace("FROM documents", f"FROM {texts}")
+
+
+CLOZE = r""",
 statement AS (
   SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS point
-  FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[ ]+|\n+'), lambda x: trim(x)),
+  FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+[ ]+|[。！？]+|\n+'), lambda x: trim(x)),
                                    lambda x: x <> '') AS p
         FROM documents)),
 word AS (
@@ -170,7 +199,9 @@ cloze AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos,
          CASE WHEN lower(regexp_replace(w, '[^\p{L}]', '', 'g')) = key THEN '____' ELSE w END), ' ') AS q,
        array_to_string(list_filter(string_split(point, ' '), lambda w:
          lower(regexp_replace(w, '[^\p{L}]', '', 'g')) = key), ' ') AS a
-FROM statement JOIN chosen USING (doc_id, pos))
+FROM statement JOIN chosen USING (doc_id, pos)
+WHERE len(list_filter(list_transform(string_split(point, ' '), lambda w: lower(regexp_replace(w, '[^\p{L}]', '', 'g'))),
+                      lambda k: k <> '' AND k <> key)) > 0)
 """
 
 
@@ -210,7 +241,7 @@ SQL = {
     "card_by_id": f"{STUDY} SELECT * FROM cards WHERE id = 42",
     "review_candidates": f"{STUDY} SELECT * FROM candidates",
     "priority_scores": f"{STUDY} SELECT * FROM scored",
-    "ranked_cards": f"{STUDY} SELECT id, priority_score FROM scored",
+    "ranked_cards": f"{STUDY} SELECT id, priority_score, place AS position FROM ranked",
     "reason_counts": f"{STUDY} SELECT reason, count(*) AS cards FROM scored GROUP BY reason",
     "recommended_card": f"{STUDY} SELECT {CARD}, priority_score, reason FROM ranked WHERE place = 1",
     "recommended_log_row": f"""{STUDY} SELECT (SELECT max(id) FROM logs) + 1 AS id, id AS card_id,
@@ -259,21 +290,20 @@ SQL = {
         FROM files""",
     "decoded_documents": f"{STUDY} SELECT doc_id, file_name, text FROM files",
     "pages_text": f"{STUDY} SELECT * FROM pages",
-    "document_texts": f"""{STUDY} SELECT f.doc_id, f.file_name, CASE WHEN is_pdf THEN p.text ELSE f.text END AS text
-        FROM (SELECT *, coalesce(mime_type, '') LIKE '%pdf%' OR lower(file_name) LIKE '%.pdf' AS is_pdf FROM files) f
-        LEFT JOIN pages p USING (doc_id) WHERE NOT is_pdf OR p.doc_id IS NOT NULL""",
-    "point_prompts": f"""SELECT doc_id, '{POINTS_INSTRUCTION}' AS system,
-        '{POINTS_REQUEST}' || left(text, 15000) AS "user" FROM documents""",
+    "document_texts": f"{STUDY} SELECT doc_id, file_name, text FROM texts",
+    "point_prompts": f"""SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS part, '{POINTS_INSTRUCTION}' AS system,
+        '{POINTS_REQUEST}' || unnest(p) AS "user" FROM (SELECT doc_id, list_transform(
+        range(0, greatest(length(text), 1), 15000), lambda i: substr(text, i + 1, 15000)) AS p FROM documents)""",
     "completion_points": f"""{STUDY} SELECT doc_id, CAST(len(points) AS INTEGER) AS found,
         array_to_string(points, '|') AS points FROM points""",
     "numbered_points": f"""{STUDY} SELECT doc_id, array_to_string(list_transform(points, lambda p, i: i || '. ' || p), chr(10))
         AS points_text FROM points WHERE len(points) > 0""",
-    "card_prompts": f"""{STUDY} SELECT doc_id, '{PAIRS_INSTRUCTION}' AS system, '{PAIRS_REQUEST}'
+    "card_prompts": f"""{STUDY} SELECT doc_id, 0 AS part, '{PAIRS_INSTRUCTION}' AS system, '{PAIRS_REQUEST}'
         || array_to_string(list_transform(points, lambda p, i: i || '. ' || p), chr(10)) AS "user"
         FROM points WHERE len(points) > 0""",
     "completion_cards": f"{STUDY} SELECT doc_id, pos, q, a FROM pairs",
-    "cards_json": f"""{STUDY} SELECT doc_id, '[' || string_agg('{{"q":"' || q || '","a":"' || a || '"}}', ',' ORDER BY pos)
-        || ']' AS cards_json FROM pairs GROUP BY doc_id""",
+    "cards_json": f"""{STUDY} SELECT doc_id, CAST(to_json(list({{'q': q, 'a': a}} ORDER BY pos)) AS VARCHAR) AS cards_json
+        FROM pairs GROUP BY doc_id""",
     "imported_cards": f"{STUDY} {_new_cards('pairs', '(SELECT max(id) FROM cards)')}",
     "imported_file_rows": f"""{STUDY} SELECT (SELECT max(id) FROM imports) + {_numbered('doc_id')} AS id, subject_id, file_name,
         '2024-01-15 10:00:00' AS imported_at FROM (SELECT DISTINCT doc_id, subject_id, file_name FROM pairs)""",
@@ -283,16 +313,28 @@ SQL = {
         1 + (c_custkey % 41) / CAST(10 AS DOUBLE) AS difficulty, CAST((c_nationkey % 9) * 0.5 AS DOUBLE) AS credits,
         CAST(DATE '2024-01-15' + CAST(c_custkey % 45 AS INTEGER) AS VARCHAR) AS ddl
         FROM customer WHERE c_custkey % 10 <> 0""",
-    "completed_prompts": f"{STUDY} {MODEL} SELECT doc_id, raw FROM answered",
-    "model_import_cards": f"""{STUDY} {MODEL}, made AS (
-        SELECT doc_id, subject_id, 0 AS pos, '____ characters' AS q, CAST(n AS VARCHAR) AS a
+    "completed_prompts": f"{STUDY} {_model('files')} SELECT doc_id, CAST(part AS INTEGER) AS part, raw, error FROM answered",
+    "model_import_report": f"""{STUDY} {_model('texts')} SELECT t.doc_id, length(t.text) AS text_chars, count(*) FILTER (WHERE error IS NULL)
+        AS card_count, string_agg('1:' || part || ':' || error, ',' ORDER BY part) AS errors
+        FROM texts t JOIN answered USING (doc_id) GROUP BY ALL""",
+    "model_import_cards": f"""{STUDY} {_model('texts')}, made AS (
+        SELECT doc_id, subject_id, part AS pos, '____ characters' AS q, CAST(n AS VARCHAR) AS a
         FROM asked WHERE n % 7 <> 0)
         {_new_cards('made', '(SELECT max(id) FROM cards)')}""",
-    "cloze_cards": f"{CLOZE} SELECT * FROM cloze",
-    "cloze_import_cards": f"""{CLOZE} SELECT (SELECT max(id) FROM cards) + {_numbered("doc_id || ':' || pos")} AS id,
+    "cloze_cards": f"{_cloze('documents')} SELECT * FROM cloze",
+    "cloze_import_cards": f"""{_cloze('texts')} SELECT (SELECT max(id) FROM cards) + {_numbered("doc_id || ':' || pos")} AS id,
         subject_id, q AS question, a AS answer, '2024-01-15 10:00:00' AS created_at,
         '2024-01-15 10:00:00' AS last_reviewed_at, CAST(0 AS BIGINT) AS review_count, 0 AS mastery_level, 0 AS ignored
         FROM cloze JOIN files USING (doc_id)""",
-    "cloze_import_rows": f"""{CLOZE} SELECT (SELECT max(id) FROM imports) + {_numbered("doc_id")} AS id, subject_id, file_name,
-        '2024-01-15 10:00:00' AS imported_at FROM files WHERE doc_id IN (SELECT doc_id FROM cloze)""",
+    "cloze_import_rows": f"""{_cloze('texts')} SELECT (SELECT max(id) FROM imports) + {_numbered("doc_id")} AS id, subject_id,
+        file_name, '2024-01-15 10:00:00' AS imported_at FROM files WHERE doc_id IN (SELECT doc_id FROM cloze)""",
+    "cloze_import_report": f"""{_cloze('texts')} SELECT doc_id, length(text) AS text_chars,
+        (SELECT count(*) FROM cloze c WHERE c.doc_id = t.doc_id) AS card_count FROM texts t""",
+    # Cards of even ids come from files without the column; two days of logs; cards after a day's reviews.
+    "stored_tables": STUDY.replace(IGNORED, f"CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE {IGNORED} END") + """
+        SELECT 'card' AS kind, c.id, CAST(coalesce(f.mastery_level, c.mastery_level) AS INTEGER) AS mastery_level,
+            coalesce(f.ignored, c.ignored) AS ignored, coalesce(f.review_count, c.review_count) AS review_count,
+            coalesce(f.last_reviewed_at, c.last_reviewed_at) AS at
+        FROM cards c LEFT JOIN final f ON f.card_id = c.id
+        UNION ALL SELECT 'log', id, NULL, NULL, NULL, recommended_at FROM logs WHERE recommended_at < '2024-01-16'""",
 }

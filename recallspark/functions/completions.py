@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip_blanks, unfence
+from .text import float_text, strip_blanks, unfence
 
 STRICT = {"allowSingleQuotes": "false"}
 
@@ -62,13 +62,19 @@ def _first_list(entries: Column) -> Column:
     return F.get(lists, F.lit(0))
 
 
+def _number(value: Column, kind: Column, text: Column) -> Column:
+    """A number's text; those with a point or an exponent are spelled as Python spells floats."""
+    is_float = kind.startswith("DECIMAL") | (kind == "DOUBLE")
+    return F.when(is_float, bound(F.try_variant_get(value, "$", "double"), float_text)).otherwise(text)
+
+
 def _point(value: Column) -> Column:
     """A list element as text; null and booleans are spelled None, True, False."""
     text = F.try_variant_get(value, "$", "string")
     spelled = bound(F.schema_of_variant(value), lambda kind: (
         F.when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(F.coalesce(text, F.to_json(value)))
+        .otherwise(_number(value, kind, F.coalesce(text, F.to_json(value))))
     ))
     return strip_blanks(spelled)
 
@@ -86,7 +92,7 @@ def _cell(item: Column, name: str) -> Column:
     def typed(value):
         text = F.try_variant_get(value, "$", "string")
         return bound(F.schema_of_variant(value), lambda kind: F.struct(
-            F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(text).alias("text"),
+            F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).otherwise(_number(value, kind, text)).alias("text"),
             F.coalesce(~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.lit(False)).alias("ok"),
         ))
 

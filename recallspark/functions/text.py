@@ -54,3 +54,26 @@ def unfence(raw: Column, bare: Column) -> Column:
 def round_to_cents(value: Column) -> Column:
     """Two decimals, judged on the exact binary value (ties to even), as Python rounds."""
     return F.replace(F.format_number(value, 2), F.lit(","), F.lit("")).cast("double")
+
+
+def float_text(value: Column) -> Column:
+    """A double as Python spells it: plain from 1e-4 to 1e16, else with a signed exponent of two digits or more."""
+    text = value.cast("string")
+    mantissa, exponent = F.regexp_extract(text, r"^-?([0-9.]+)E", 1), F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+$", "")
+    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    count = F.char_length(digits)
+    whole = exponent + 1
+    plain = (
+        F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -whole), digits))
+        .when(count <= whole, F.concat(F.rpad(digits, whole, F.lit("0")), F.lit(".0")))
+        .otherwise(F.concat(F.left(digits, whole), F.lit("."), F.substring(digits, whole + 1, count)))
+    )
+    rest = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(F.lit(""))
+    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                     F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"))
+    scientific = F.concat(F.left(digits, F.lit(1)), rest, power)
+    return (
+        F.when(~text.contains("E"), F.replace(text, F.lit("Infinity"), F.lit("inf")))
+        .otherwise(F.concat(sign, F.when((exponent >= -4) & (exponent < 16), plain).otherwise(scientific)))
+    )

@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
 from ..settings import BLANK
-from .sizing import small_side, spread_over_cores
+from . import sizing
+from .sizing import measured_bytes, spread_over_cores
 
 # Where statements end, and what a word's key leaves out.
-STATEMENT_END = r"[.!?]+[ ]+|\n+"
+STATEMENT_END = r"[.!?]+[ ]+|[。！？]+|\n+"
 NOT_IN_KEY = r"[^\p{L} ]"
 MIN_LETTERS = 3
 
+# So many of the most frequent words are sent to every task when the vocabulary is too large for that.
+HEAD_WORDS = 100_000
+
 
 def statements(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, point) for the non-empty statements of each text; ``pos`` counts from 0."""
@@ -41,7 +45,8 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     task, before anything is shuffled. Ranks only need to ascend; they come from a
     range-partitioned sort and are written once, so that every use sees the same.
     """
-    whole_text = F.split(F.lower(F.regexp_replace("text", r"[^\p{L} \n]", "")), r"[ \n]")
+    spaced = F.regexp_replace("text", r"[。！？]", "\n")
+    whole_text = F.split(F.lower(F.regexp_replace(spaced, r"[^\p{L} \n]", "")), r"[ \n]")
     counted = (
         documents.select(F.explode(_distinct_keys(whole_text)).alias("key"))
         .groupBy("key").agg(F.count("*").alias("documents"))
@@ -50,27 +55,44 @@ def word_ranks(documents: DataFrame) -> DataFrame:
     return settled(ranked.select("key", F.monotonically_increasing_id().alias("rank")))
 
 
-def cloze_cards(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, q, a): one card per statement that has a word of three letters or more.
+def _statement_words(points: DataFrame) -> DataFrame:
+    return points.select("doc_id", "pos", F.explode(_distinct_keys(_keys(F.col("point")))).alias("key"))
+
+
+def _rarest(words: DataFrame) -> DataFrame:
+    return words.groupBy("doc_id", "pos").agg(F.min(F.struct("rank", "key")).alias("rarest"))
 
-    Words travel as (doc_id, pos, key) to meet the ranks, the smallest rank of a
-    statement comes back as a number, and only then is the statement's text needed.
-    Statement keys are unique, so one huge document spreads over all tasks.
+
+def rarest_words(points: DataFrame, ranks: DataFrame, head_words: int = HEAD_WORDS, max_bytes: int | None = None) -> DataFrame:
+    """(doc_id, pos, rarest): the rarest word of each statement with its rank.
+
+    A vocabulary that measures small is broadcast, and each statement's words meet it where
+    they are. Of a larger one the ``head_words`` most frequent words are broadcast: almost all
+    occurrences are theirs, and none of theirs is shuffled, only one row per statement. The
+    other words travel to their ranks, so no frequent word is ever gathered.
+    """
+    words = _statement_words(points)
+    if measured_bytes(ranks)[0] <= (sizing.BROADCAST_BYTES if max_bytes is None else max_bytes):
+        return _rarest(words.join(F.broadcast(ranks), "key"))
+    head = F.broadcast(settled(ranks.orderBy(F.desc("rank")).limit(head_words)))
+    frequent = _rarest(words.join(head, "key"))
+    rare = _rarest(words.join(head, "key", "left_anti").join(ranks, "key"))
+    return frequent.unionAll(rare).groupBy("doc_id", "pos").agg(F.min("rarest").alias("rarest"))
+
+
+def cloze_cards(documents: DataFrame, head_words: int = HEAD_WORDS, max_bytes: int | None = None) -> DataFrame:
+    """(doc_id, pos, q, a): one card per statement with a word of three letters or more and another word beside it.
+
+    Statement keys are unique, so one huge document spreads over all tasks. A statement
+    that would be nothing but the blank gives no card; so does a text without spaces.
     """
     documents = spread_over_cores(documents)
     points = statements(documents)
-    ranks = small_side(word_ranks(documents))
-    best = (
-        points.select("doc_id", "pos", F.explode(_distinct_keys(_keys(F.col("point")))).alias("key"))
-        .join(ranks, "key")
-        .groupBy("doc_id", "pos").agg(F.min("rank").alias("rank"))
-        .join(ranks, "rank")
-        .select("doc_id", "pos", F.col("key").alias("blanked"))
-    )
-    # Statement text is neither broadcast, however small its files look, nor sorted.
-    whole = points.join(best.hint("shuffle_hash"), ["doc_id", "pos"]).select(
-        "doc_id", "pos", F.split("point", " ").alias("_words"), _keys(F.col("point")).alias("_keys"), "blanked"
-    )
+    best = rarest_words(points, word_ranks(documents), head_words, max_bytes)
+    whole = points.join(best, ["doc_id", "pos"]).select(
+        "doc_id", "pos", F.split("point", " ").alias("_words"), _keys(F.col("point")).alias("_keys"),
+        F.col("rarest.key").alias("blanked"),
+    ).where(F.exists("_keys", lambda k: (k != "") & (k != F.col("blanked"))))
 
     def out(i):
         return F.get("_keys", i) == F.col("blanked")

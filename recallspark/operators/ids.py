@@ -18,13 +18,13 @@ def numbered(df: DataFrame, key: str, after: Column | int = 0, ids_per_row: Colu
     """``df`` with the first of each row's consecutive ids in ``into``.
 
     Rows take ids in the order (hash bucket of ``key``, ``key``), starting past
-    ``after``; ``key`` must be unique. A row may claim several ids. The order depends
+    ``after``; ``key`` must be unique, rows without one come first, in no certain order. A row may claim several ids. The order depends
     on the keys alone, so a recomputed task gives the same ids. Only the bucket totals
     (a bounded number of rows) meet in one task.
     """
     after = F.lit(after) if isinstance(after, int) else after
     ids_per_row = F.lit(ids_per_row) if isinstance(ids_per_row, int) else ids_per_row
-    bucket = F.left(F.md5(F.col(key).cast("string")), F.lit(bucket_digits))
+    bucket = F.coalesce(F.left(F.md5(F.col(key).cast("string")), F.lit(bucket_digits)), F.lit(""))
     weighted = df.withColumn("_bucket", bucket).withColumn("_ids", ids_per_row.cast("long"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -63,10 +63,13 @@ def new_import_rows(documents: DataFrame, imported_files: DataFrame, as_of: date
     return _typed(numbered(rows, "doc_id", last_id(imported_files)).withColumn("imported_at", now), IMPORTED_FILES)
 
 
-def new_log_rows(queue: DataFrame, logs: DataFrame, as_of: datetime) -> DataFrame:
-    """Rows to append to ``recommendation_logs`` for a queue with positions 1..n."""
+def new_log_rows(queue: DataFrame, logs: DataFrame, as_of: datetime, all_logs: DataFrame | None = None) -> DataFrame:
+    """Rows to append to ``recommendation_logs`` for a queue with positions 1..n.
+
+    Ids run on from the largest in ``all_logs``; only if ``logs`` is the whole table may it be left out.
+    """
     return queue.select(
-        (last_id(logs) + F.col("position")).cast("long").alias("id"),
+        (last_id(logs if all_logs is None else all_logs) + F.col("position")).cast("long").alias("id"),
         F.col("id").alias("card_id"),
         F.lit(as_of_text(as_of)).alias("recommended_at"),
     )
@@ -77,10 +80,12 @@ def card_counts(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", F.size("pairs").cast("long").alias("card_count"))
 
 
-def import_report(documents: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per document: length of its text, number of cards it gave."""
-    return documents.join(counts.select("doc_id", "card_count"), "doc_id", "left").select(
+def import_report(documents: DataFrame, counts: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Per document: length of its text, number of cards it gave, with ``errors`` (doc_id, errors) what failed."""
+    report = documents.join(counts.select("doc_id", "card_count"), "doc_id", "left")
+    return (report if errors is None else report.join(errors, "doc_id", "left")).select(
         "doc_id",
         F.char_length("text").cast("long").alias("text_chars"),
         F.coalesce("card_count", F.lit(0)).alias("card_count"),
+        *([] if errors is None else ["errors"]),
     )

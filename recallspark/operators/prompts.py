@@ -24,17 +24,33 @@ PAIRS_REQUEST = "Statements:\n\n"
 
 
 def point_prompts(documents: DataFrame, max_chars: int = PROMPT_CHARS) -> DataFrame:
-    """Step one, per document: the text, up to what the model is given of it."""
-    return documents.select(
-        "doc_id",
+    """Step one: the whole text, in pieces of at most ``max_chars`` characters, numbered from 0.
+
+    A text without characters, or NULL, is one empty piece.
+    """
+    # Possessive: matching goes on without a stack, whatever characters the text has.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{max_chars}}}+"), 0)
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+    return documents.select("doc_id", F.posexplode(pieces).alias("part", "piece")).select(
+        "doc_id", "part",
         F.lit(POINTS_INSTRUCTION).alias("system"),
-        F.concat(F.lit(POINTS_REQUEST), F.left("text", F.lit(max_chars))).alias("user"),
+        F.concat(F.lit(POINTS_REQUEST), "piece").alias("user"),
     )
 
 
 def completion_points(completions: DataFrame) -> DataFrame:
     """Statements out of the step-one answers, an empty list for answers that hold none."""
-    return completions.select("doc_id", resolved_points(F.col("raw")).alias("points"))
+    return completions.select("doc_id", *_part(completions), resolved_points(F.col("raw")).alias("points"))
+
+
+def _part(df):
+    return ["part"] if "part" in df.columns else []
+
+
+def document_points(points: DataFrame) -> DataFrame:
+    """(doc_id, points): the statements of a document's pieces, in the order of the pieces."""
+    ordered = F.sort_array(F.collect_list(F.struct("part", "points")))
+    return points.groupBy("doc_id").agg(F.flatten(F.transform(ordered, lambda p: p["points"])).alias("points"))
 
 
 def numbered_points(points: DataFrame) -> DataFrame:
@@ -47,6 +63,7 @@ def card_prompts(points: DataFrame) -> DataFrame:
     """Step two, per document with statements."""
     return numbered_points(points).select(
         "doc_id",
+        F.lit(0).alias("part"),
         F.lit(PAIRS_INSTRUCTION).alias("system"),
         F.concat(F.lit(PAIRS_REQUEST), "points_text").alias("user"),
     )
@@ -54,7 +71,7 @@ def card_prompts(points: DataFrame) -> DataFrame:
 
 def completion_cards(completions: DataFrame) -> DataFrame:
     """Question/answer pairs out of the step-two answers, all or nothing per document."""
-    return completions.withColumn("pairs", resolved_pairs(F.col("raw"))).drop("raw")
+    return completions.withColumn("pairs", resolved_pairs(F.col("raw"))).drop("raw", "part", "error")
 
 
 def cards_json(pairs: DataFrame) -> DataFrame:
@@ -66,26 +83,28 @@ Model = Callable[[list[dict], bool], str]
 
 
 def complete(prompts: DataFrame, open_model: Callable[[], Model]) -> DataFrame:
-    """Model answers for (doc_id, system, user) prompts: (doc_id, raw).
+    """Model answers for (doc_id, part, system, user) prompts: (doc_id, part, raw, error).
 
     ``open_model`` is called once per task and returns ``model(messages, json_mode)``.
     A call that fails in JSON mode is tried once more without it; a second failure
-    leaves the answer NULL, which later steps read as no result.
+    leaves the answer NULL, which later steps read as no result, and says why in ``error``.
     """
 
     def answer(model, system, user):
         messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        failure = None
         for json_mode in (True, False):
             try:
-                return model(messages, json_mode)
-            except Exception:
-                continue
-        return None
+                return model(messages, json_mode), None
+            except Exception as error:
+                failure = f"{type(error).__name__}: {error}"
+        return None, failure
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = open_model()
         for batch in batches:
-            raw = [answer(model, s, u) for s, u in zip(batch["system"], batch["user"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "raw": pd.Series(raw, dtype="object", index=batch.index)})
+            answers = [answer(model, s, u) for s, u in zip(batch["system"], batch["user"])]
+            texts = {name: pd.Series([a[i] for a in answers], dtype="object", index=batch.index) for i, name in enumerate(("raw", "error"))}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "part": batch["part"], **texts})
 
-    return prompts.select("doc_id", "system", "user").mapInPandas(run, "doc_id long, raw string")
+    return prompts.select("doc_id", "part", "system", "user").mapInPandas(run, "doc_id long, part int, raw string, error string")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import clock
+from ..session import settled
 from ..settings import DAILY_LIMIT, MAX_MASTERY, TOP_CARDS
 from .candidates import CARD_COLUMNS, learning_cards
 from .imports import new_log_rows
@@ -39,8 +40,22 @@ def _remaining(logs, as_of, daily_limit):
 
 
 def ranked_cards(scored: DataFrame) -> DataFrame:
-    """All scored cards, best first (a range-partitioned sort)."""
-    return scored.orderBy(*best_first())
+    """All scored cards, best first, with their positions from 1.
+
+    A range-partitioned sort, written once; a position is the place within a range plus
+    the sizes of the ranges before, the only numbers that meet in one task.
+    """
+    place = F.col("_place")
+    ordered = settled(scored.orderBy(*best_first()).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright(place, 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn("position", F.col("_offset") + place.bitwiseAND((1 << 33) - 1) + 1)
+        .drop("_place", "_part", "_offset")
+    )
 
 
 def recommended_card(scored: DataFrame, logs: DataFrame, as_of: datetime, daily_limit: int = DAILY_LIMIT) -> DataFrame:
@@ -82,19 +97,23 @@ def card_lines(top: DataFrame) -> DataFrame:
 
 
 def daily_queue(scored: DataFrame, logs: DataFrame, as_of: datetime,
-                daily_limit: int = DAILY_LIMIT) -> tuple[DataFrame, DataFrame]:
+                daily_limit: int = DAILY_LIMIT, all_logs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The rest of the day's cards in order, and the log rows that record them.
 
+    ``logs`` may hold the day's rows only; ``all_logs`` is then where new ids run on from.
+
     Taking the best card and logging it, again and again until the limit, takes
     exactly the best (limit - used) cards: logging only removes the card taken.
     After the log rows are appended, a second run the same day finds no quota left.
     """
-    best = _positions(scored.orderBy(*best_first()).limit(daily_limit))
+    # Without quota no card is scored.
+    allowed = scored.where(_remaining(logs, as_of, daily_limit) > 0)
+    best = _positions(allowed.orderBy(*best_first()).limit(daily_limit))
     queue = (
         best.where(F.col("position") <= _remaining(logs, as_of, daily_limit))
         .select("position", *CARD_COLUMNS, "subject_name", "priority_score", "reason")
     )
-    return queue, new_log_rows(queue, logs, as_of)
+    return queue, new_log_rows(queue, logs, as_of, all_logs)
 
 
 def random_card(cards: DataFrame, seed: int | str, max_mastery: int = MAX_MASTERY) -> DataFrame:

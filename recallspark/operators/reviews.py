@@ -111,8 +111,11 @@ def settled_hot_cards(reviews: DataFrame, hot_reviews: int) -> DataFrame | None:
 
 
 def _even_history(cards, reviews, max_mastery):
-    """One shuffle and one sort of the reviews by card: the join goes by the window's order."""
-    return _with_prefix(_running(reviews, ["card_id"], max_mastery).join(_start_state(cards), "card_id"), max_mastery)
+    """One shuffle and one sort of the reviews by card: the window goes by the join's order.
+
+    The join comes first, so reviews of unknown cards are neither sorted in time nor folded.
+    """
+    return _with_prefix(_running(reviews.join(_start_state(cards), "card_id"), ["card_id"], max_mastery), max_mastery)
 
 
 def _ranged_history(cards, reviews, parts, max_mastery):
@@ -184,10 +187,9 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_M
     """The card table after a batch of reviews: a new snapshot, cards without reviews unchanged.
 
     While the batch is small the deltas are broadcast and the cards are not shuffled. A
-    larger batch is joined on the card id, unique on both sides, by hashing the narrow
-    deltas of each partition, which spares sorting the wide card rows.
+    larger batch is joined on the card id, unique on both sides.
     """
-    deltas = small_side(review_deltas(reviews, max_mastery).hint("shuffle_hash"), reviews.select("card_id"))
+    deltas = small_side(review_deltas(reviews, max_mastery), reviews.select("card_id"))
     reviewed = F.col("reviews").isNotNull()
     mastery = grading.raised(
         F.coalesce(F.col("base"), F.col("mastery_level"), F.lit(0)), F.col("raises"), max_mastery

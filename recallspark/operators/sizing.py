@@ -8,19 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+# What a text that a side makes itself is taken to measure, in fields of 8 bytes.
+TEXT_FIELDS = 8
 
 
-def _bytes(df):
-    """One row: the bytes ``df`` takes as rows, a fixed part per field plus the text lengths."""
+def _bytes(df, width=0):
+    """One row: the bytes ``df`` takes as rows, a fixed part per field plus the text lengths; of ``width`` fields at least."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    fixed = F.count("*") * (64 + 8 * len(df.columns))
+    fixed = F.count("*") * (64 + 8 * max(width, len(df.columns)))
     return df.agg(sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts), fixed).alias("bytes"))
 
 
-def measured_bytes(*dfs: DataFrame) -> list[int]:
-    """The sizes of several inputs, from one job."""
+def measured_bytes(*dfs: DataFrame, widths: list[int] | None = None) -> list[int]:
+    """The sizes of several inputs, from one job; ``widths`` counts them with so many fields at least."""
     sizes = reduce(DataFrame.unionAll, [
-        _bytes(df).select(F.lit(i).alias("i"), "bytes") for i, df in enumerate(dfs)
+        _bytes(df, widths[i] if widths else 0).select(F.lit(i).alias("i"), "bytes") for i, df in enumerate(dfs)
     ])
     return [row["bytes"] for row in sorted(sizes.collect())]
 
@@ -33,7 +35,12 @@ def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int | None = Non
     join is then shuffled, and adaptive execution splits the partitions of hot keys.
     """
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    sizes = measured_bytes(*[basis for _, basis in sides])
+    # A text column of the side that the basis lacks counts as so many fields more.
+    widths = [
+        len(side.columns) + sum(TEXT_FIELDS for f in side.schema if isinstance(f.dataType, StringType) and f.name not in basis.columns)
+        for side, basis in sides
+    ]
+    sizes = measured_bytes(*[basis for _, basis in sides], widths=widths)
     return [F.broadcast(side) if size <= max_bytes else side for (side, _), size in zip(sides, sizes)]
 
 
@@ -42,12 +49,10 @@ def small_side(side: DataFrame, basis: DataFrame | None = None, max_bytes: int |
 
 
 def spread_over_cores(df: DataFrame) -> DataFrame:
-    """``df``, dealt out evenly if it comes from so few files that cores would idle.
+    """``df``, dealt out evenly if it fills so few partitions that cores would idle.
 
     Input of many files, the normal case at scale, is left as it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    filled = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    filled = df.select(F.spark_partition_id().alias("part")).distinct().limit(cores).count()
     return df if filled >= cores else df.repartition(cores)

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.cloze import cloze_cards
 from ..operators.documents import decode_documents, pages_to_text, route_documents
 from ..operators.imports import card_counts, import_report, new_cards, new_cards_from_rows, new_import_rows
-from ..operators.prompts import Model, card_prompts, complete, completion_cards, completion_points, point_prompts
+from ..operators.prompts import (
+    Model, card_prompts, complete, completion_cards, completion_points, document_points, point_prompts,
+)
 from ..session import settled
 
 
@@ -23,21 +25,26 @@ class DocumentImport:
 
 
 def document_texts(files: DataFrame, pdf_pages: DataFrame) -> DataFrame:
-    """``files`` with their text: PDFs from their extracted pages, all others from their bytes."""
+    """``files`` with their text: PDFs from their extracted pages ('' without any), all others from their bytes."""
     routed = route_documents(files)
     plain = decode_documents(routed.where(F.col("kind") == "text"))
-    pdf = routed.where(F.col("kind") == "pdf").drop("content").join(pages_to_text(pdf_pages), "doc_id")
-    return plain.unionByName(pdf)
+    pdf = routed.where(F.col("kind") == "pdf").drop("content").join(pages_to_text(pdf_pages), "doc_id", "left")
+    return plain.unionByName(pdf.withColumn("text", F.coalesce("text", F.lit(""))))
 
 
-def extracted_pairs(documents: DataFrame, open_model: Callable[[], Model]) -> DataFrame:
-    """(doc_id, pairs) from the two model steps.
+def extracted_pairs(documents: DataFrame, open_model: Callable[[], Model]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pairs) from the two model steps, and (doc_id, errors) of the calls that failed.
 
     Each step's answers are written before they are read on: model calls are costly
     and may not repeat, so neither a lost executor nor a second use may ask again.
     """
-    points = completion_points(settled(complete(point_prompts(documents), open_model)))
-    return completion_cards(settled(complete(card_prompts(points), open_model)))
+    first = settled(complete(point_prompts(documents), open_model))
+    second = settled(complete(card_prompts(document_points(completion_points(first))), open_model))
+    failed = first.select("doc_id", F.lit(1).alias("step"), "part", "error").unionAll(
+        second.select("doc_id", F.lit(2), "part", "error")).where(F.col("error").isNotNull())
+    errors = failed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("step", "part", "error"))).alias("errors"))
+    # The answers are parsed once: numbering the cards reads the pairs twice.
+    return settled(completion_cards(second)), errors
 
 
 def import_documents(documents: DataFrame, cards: DataFrame, imported_files: DataFrame, as_of: datetime,
@@ -48,17 +55,24 @@ def import_documents(documents: DataFrame, cards: DataFrame, imported_files: Dat
     written result.
     """
     owners = documents.select("doc_id", "subject_id", "file_name")
+    errors = None
     if open_model is None:
         made = settled(cloze_cards(documents.select("doc_id", "text")))
         card_rows = new_cards_from_rows(made.join(owners, "doc_id"), cards, as_of)
         counts = made.groupBy("doc_id").agg(F.count("*").alias("card_count"))
     else:
-        pairs = extracted_pairs(documents, open_model)
+        pairs, errors = extracted_pairs(documents, open_model)
         card_rows = new_cards(pairs.join(owners, "doc_id"), cards, as_of)
         counts = card_counts(pairs)
     return DocumentImport(
         card_rows=card_rows,
         import_rows=new_import_rows(
             owners.join(counts.where(F.col("card_count") > 0), "doc_id"), imported_files, as_of),
-        report=import_report(documents, counts),
+        report=import_report(documents, counts, errors),
     )
+
+
+def import_files(files: DataFrame, pdf_pages: DataFrame, cards: DataFrame, imported_files: DataFrame, as_of: datetime,
+                 open_model: Callable[[], Model] | None = None) -> DocumentImport:
+    """Rows to append for uploaded files (doc_id, subject_id, file_name, mime_type, content) and the pages of the PDFs."""
+    return import_documents(document_texts(files, pdf_pages), cards, imported_files, as_of, open_model)

@@ -14,6 +14,7 @@ MAX_MASTERY = 5
 NEVER_REVIEWED_DAYS = 100
 NO_DEADLINE_DAYS = 999
 OVERDUE_URGENCY = 2.0
+# Characters of a text that one prompt holds.
 PROMPT_CHARS = 15000
 BLANK = "____"
 

@@ -144,32 +144,38 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, folder: str) -> DataFrame:
-    """Stage-one model output in ten shapes, good and bad."""
-    return _read(spark, folder, "documents").selectExpr("doc_id", """CASE doc_id % 10
-        WHEN 0 THEN concat('```json\\n{"points":["p', doc_id, '"," ","r', doc_id, '"]}\\n```')
-        WHEN 1 THEN concat('{"n":1,"zz":["x', doc_id, '"],"aa":["q"]}')
-        WHEN 2 THEN '["top"]'
-        WHEN 3 THEN 'nope'
-        WHEN 4 THEN concat('{"points":"[x","k":["v', doc_id, '"]}')
-        WHEN 5 THEN concat('  {"points":[1,"s', doc_id, '"]}')
+    """Stage-one model output in ten shapes, good and bad, made of the lines of each text."""
+    return _read(spark, folder, "documents").withColumn("lines", F.expr("to_json(split(text, '\\n'))")).selectExpr(
+        "doc_id", """CASE doc_id % 10
+        WHEN 0 THEN concat('```json\\n{"points":', lines, '}\\n```')
+        WHEN 1 THEN concat('{"n":1,"zz":', lines, ',"aa":["q"]}')
+        WHEN 2 THEN lines
+        WHEN 3 THEN text
+        WHEN 4 THEN concat('{"points":"[x","k":', lines, '}')
+        WHEN 5 THEN concat('  {"points":[1,2.0,0.25,true,', substring(to_json(array(text)), 2), '}')
         WHEN 6 THEN '```\\n{"points":[]}\\n```'
-        WHEN 7 THEN concat('{"points":{"a":[1]},"b":["deep', doc_id, '"]}')
-        WHEN 8 THEN concat('{"points":["sp', doc_id, '"]} and more')
+        WHEN 7 THEN concat('{"points":{"a":[1]},"b":', lines, '}')
+        WHEN 8 THEN concat('{"points":', lines, '} and more')
         END AS raw""")
 
 
 def pairs_completions(spark: SparkSession, folder: str) -> DataFrame:
-    """Stage-two model output in six shapes, with the subject and file it belongs to."""
+    """Stage-two model output in six shapes, made of the lines of each text, with the subject and file it belongs to."""
     raw = F.expr("""CASE doc_id % 6
-        WHEN 0 THEN concat('{"knowledge_points":[{"q":"Q', doc_id, ' ____","a":"A', doc_id, '"}]}')
-        WHEN 1 THEN concat('```json\\n{"knowledge_points":[{"q":"Q', doc_id, ' ____","a":"A', doc_id,
-                           '"},{"q":"R', doc_id, ' ____","a":"B', doc_id, '"}]}\\n```')
-        WHEN 2 THEN concat('{"knowledge_points":[{"q":"Q', doc_id, ' ____","a":"A"},{"q":"no answer"}]}')
-        WHEN 3 THEN concat('{"knowledge_points":[{"q":"Q', doc_id, ' ____","a":"A"},"bare"]}')
+        WHEN 0 THEN concat('{"knowledge_points":', made, '}')
+        WHEN 1 THEN concat('```json\\n{"knowledge_points":', made, '}\\n```')
+        WHEN 2 THEN concat('{"knowledge_points":[{"q":', whole, ',"a":"A"},{"q":"no answer"}]}')
+        WHEN 3 THEN concat('{"knowledge_points":[{"q":', whole, ',"a":"A"},"bare"]}')
         WHEN 4 THEN '{"knowledge_points":[]}'
-        ELSE concat('{"n":2,"cards":[{"q":"S', doc_id, ' ____","a":"C', doc_id, '","x":1}]}')
+        ELSE concat('{"n":2,"cards":[{"q":', whole, ',"a":2.0,"x":1}]}')
         END""")
-    return document_files(spark, folder).select("doc_id", "subject_id", "file_name", raw.alias("raw"))
+    made = F.expr("to_json(transform(split(text, '\\n'), x -> named_struct('q', concat('____ ', x), 'a', substring_index(x, ' ', 1))))")
+    whole = F.expr("substring(to_json(array(text)), 2, char_length(to_json(array(text))) - 2)")
+    texts = _read(spark, folder, "documents").select("doc_id", "text")
+    return (
+        document_files(spark, folder).select("doc_id", "subject_id", "file_name").join(texts, "doc_id")
+        .withColumns({"made": made, "whole": whole}).select("doc_id", "subject_id", "file_name", raw.alias("raw"))
+    )
 
 
 def offered_subjects(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """The study tables on storage.
 
-Appends add files. A keyed update of the cards is a new snapshot beside the old
-one, named by the run that made it, so a repeated run replaces only its own output
-and readers keep theirs.
+Appends add files. Rows of different column sets lie in folders of their own
+(``generation=...``), so that each is read with the columns it was written with and
+what it lacks gets its default. Logs are always partitioned by day. A keyed update of
+the cards is a new snapshot, named by the run that made it; the last one written is
+what is read as the cards from then on, together with the cards appended since.
 """
 
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..schemas import CARD_DEFAULTS, TABLES, with_defaults
 
@@ -34,19 +39,67 @@ def save_cards(cards: DataFrame, table: str, buckets: int) -> None:
     cards.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
 
 
+def _subfolders(spark, path):
+    """Names of the folders in ``path``, none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())
+
+
+def _has_files(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
+def _load(spark, path, name):
+    """A table's folder: files written directly into it, and those of each generation."""
+    schema, defaults = TABLES[name], CARD_DEFAULTS if name == "cards" else None
+    folders = _subfolders(spark, path)
+    parts = [f"{path}/{f}" for f in folders or [] if f.startswith("generation=")]
+    # One file tells the columns of all in its folder.
+    frames = [spark.read.parquet(part) for part in parts]
+    if folders is not None and _has_files(spark, path):
+        frames.append(spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/*.parquet"))
+    if not frames:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, [with_defaults(f, schema, defaults) for f in frames])
+
+
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One study table from parquet, with its declared schema and old files' gaps filled."""
-    stored = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
-    return with_defaults(stored, TABLES[name], CARD_DEFAULTS if name == "cards" else None)
+    """One study table, with its declared schema and old rows' gaps filled; the cards as of the last snapshot."""
+    if name == "recommendation_logs":
+        return load_logs(spark, folder)
+    run_id = current_snapshot(spark, folder) if name == "cards" else None
+    if run_id is None:
+        return _load(spark, f"{folder}/{name}", name)
+    return load_snapshot(spark, folder, run_id).unionByName(_load(spark, _since(folder, run_id), name))
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, folder, name) for name in TABLES}
 
 
+def _since(folder, run_id):
+    return f"{folder}/cards_since/run={run_id}"
+
+
+def _generation(schema):
+    """A name for a set of columns."""
+    return md5(",".join(schema.names).encode()).hexdigest()[:8]
+
+
 def append_rows(rows: DataFrame, folder: str, name: str) -> None:
-    """Add ``rows`` to a table; they must have its columns."""
-    with_defaults(rows, TABLES[name]).write.mode("append").parquet(f"{folder}/{name}")
+    """Add ``rows`` to a table; columns they lack get their default. Logs go by day."""
+    if name == "recommendation_logs":
+        append_logs(rows, folder)
+        return
+    spark, schema = rows.sparkSession, TABLES[name]
+    run_id = current_snapshot(spark, folder) if name == "cards" else None
+    path = f"{folder}/{name}" if run_id is None else _since(folder, run_id)
+    complete = with_defaults(rows, schema, CARD_DEFAULTS if name == "cards" else None)
+    complete.write.mode("append").parquet(f"{path}/generation={_generation(schema)}")
 
 
 def append_logs(rows: DataFrame, folder: str) -> None:
@@ -57,18 +110,45 @@ def append_logs(rows: DataFrame, folder: str) -> None:
 
 
 def load_logs(spark: SparkSession, folder: str, day: date | None = None) -> DataFrame:
-    """Recommendation logs; with ``day``, only that day's partition is read."""
-    logs = spark.read.parquet(f"{folder}/recommendation_logs")
+    """Recommendation logs; with ``day``, only that day's partition is read.
+
+    New log rows need the largest id of all days: give ``load_logs(spark, folder)`` as
+    ``all_logs`` beside a single day's.
+    """
+    path, schema = f"{folder}/recommendation_logs", TABLES["recommendation_logs"]
+    # A table of no rows has no day.
+    if not any(f.startswith("day=") for f in _subfolders(spark, path) or []):
+        return spark.createDataFrame([], schema)
+    logs = spark.read.schema(StructType([*schema, StructField("day", DateType())])).parquet(path)
     if day is not None:
         logs = logs.where(F.col("day") == F.lit(day))
     return with_defaults(logs, TABLES["recommendation_logs"])
 
 
 def write_snapshot(cards: DataFrame, folder: str, run_id: str) -> None:
-    """``cards`` as the snapshot of run ``run_id``."""
+    """``cards`` as the snapshot of run ``run_id``, and from now on as the cards.
+
+    ``cards`` may be what ``load_table`` gave, unless that is the snapshot of the same run.
+    """
+    spark = cards.sparkSession
     cards.write.mode("overwrite").parquet(f"{folder}/card_snapshots/run={run_id}")
+    order = F.lit(_snapshots(spark, folder).count()).cast("long").alias("number")
+    spark.range(1).select(order, F.lit(run_id).alias("run_id")).write.mode("append").parquet(f"{folder}/card_snapshot_log")
+
+
+def _snapshots(spark, folder):
+    """The snapshots in the order they were written: (number, run_id)."""
+    path = f"{folder}/card_snapshot_log"
+    schema = "number long, run_id string"
+    return spark.createDataFrame([], schema) if _subfolders(spark, path) is None else spark.read.schema(schema).parquet(path)
+
+
+def current_snapshot(spark: SparkSession, folder: str) -> str | None:
+    """The run that wrote the last snapshot, None before the first."""
+    return _snapshots(spark, folder).agg(F.max_by("run_id", "number")).first()[0]
 
 
 def load_snapshot(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
+    """The cards as run ``run_id`` left them."""
     stored = spark.read.parquet(f"{folder}/card_snapshots/run={run_id}")
     return with_defaults(stored, TABLES["cards"], CARD_DEFAULTS)

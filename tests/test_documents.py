@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from recallspark.functions.completions import resolved_pairs, resolved_points
-from recallspark.functions.text import decode_utf8, document_kind, strip_blanks, unfence
+from recallspark.functions.text import decode_utf8, document_kind, float_text, strip_blanks, unfence
 from recallspark.operators import cloze, documents, imports, prompts
 from recallspark.operators.ids import last_id, numbered
 from recallspark.plans.document_import import document_texts, import_documents
@@ -55,108 +55,116 @@ def test_pages(spark):
 
 # -- model answers -------------------------------------------------------------------------------------------------
 
-def python_unfence(content):
-    if content.strip().startswith("```json"):
-        return content.strip().removeprefix("```json").removesuffix("```").strip()
-    if content.strip().startswith("```"):
-        return content.strip().removeprefix("```").removesuffix("```").strip()
-    return content
+FENCED = {
+    "a": "a", "```json\n{}\n```": "{}", "```json{}": "{}", "```\nx\n```": "x", "```": "", "```json```": "", "  ```json\n1\n```  ": "1",
+    " plain ": " plain ", "x```": "x```", "": "",
+}
 
 
-def python_points(raw):
-    try:
-        data = json.loads(python_unfence(raw))
-    except Exception:
-        return []
-    if not isinstance(data, dict):
-        return []
-    lists = [v for v in data.values() if isinstance(v, list)]
-    chosen = data["points"] if isinstance(data.get("points"), list) else lists[0] if lists else []
-    return [str(p).strip() for p in chosen if str(p).strip()]
+def test_unfencing(spark):
+    assert column(spark, list(FENCED), lambda x: unfence(x, strip_blanks(x))) == list(FENCED.values())
 
 
-def python_pairs(raw):
-    try:
-        data = json.loads(python_unfence(raw))
-        if not isinstance(data, dict):
-            return []
-        lists = [v for v in data.values() if isinstance(v, list)]
-        chosen = data["knowledge_points"] if "knowledge_points" in data else lists[0] if lists else []
-
-        def cell(value):
-            if isinstance(value, (list, dict)):
-                raise ValueError("not storable")
-            return None if value is None else str(int(value) if isinstance(value, bool) else value)
-
-        return [(cell(item["q"]), cell(item["a"])) for item in chosen]
-    except Exception:
-        return []
+POINTS = [
+    ('{"points":["a"," ","b "]}', ["a", "b"]), ('{"n":1,"zz":["x"],"aa":["q"]}', ["x"]), ('["top"]', []), ("nope", []),
+    ('{"points":"[x","k":["v"]}', ["v"]), ('  {"points":[1,"s"]}', ["1", "s"]), ('```\n{"points":[]}\n```', []),
+    ('{"points":{"a":[1]},"b":["deep"]}', ["deep"]), ('{"points":["s"]} more', []), (None, []), ("", []), ("{}", []), ("null", []),
+    ('"points"', []), ('{"points":[null,true,false,"x"]}', ["None", "True", "False", "x"]), ("{'points':['single']}", []),
+    ('{"points":["a"]}}', []), ('{"points":["a"]},{"points":["b"]}', []), ('{"points":["a"]}],[{"b":["c"]}', []),
+    ('{"points":["first"],"points":["last"]}', ["last"]), ('{"b":["x"],"points":3,"c":["y"]}', ["x"]),
+    ('{"points":["\\u00e9 \\n two"]}', ["é \n two"]), ('```json\n{"points":["fenced"]}\n```', ["fenced"]),
+    ('{"points":[[],"x"]}', ["[]", "x"]), ('{"points":["{\\"a\\":1}"]}', ['{"a":1}']), ('{"a":[],"b":["x"]}', []), ('{"points":["a",]}', []),
+    ('{"points":["a"]', []), ('{"points":[1.0,1.5e-7,1e22,2.50,1e16,123456789.25,0.001,1e-5,-0.5,100]}',
+                             ["1.0", "1.5e-07", "1e+22", "2.5", "1e+16", "123456789.25", "0.001", "1e-05", "-0.5", "100"]),
+]
 
 
-FENCED = ["a", "```json\n{}\n```", "```json{}", "```\nx\n```", "```", "```json```", "  ```json\n1\n```  ", " plain ", "x```", ""]
+@pytest.mark.parametrize("raw,points", POINTS)
+def test_points(spark, raw, points):
+    assert column(spark, [raw], resolved_points) == [points]
 
 
-def test_unfencing(spark):
-    assert column(spark, FENCED, lambda x: unfence(x, strip_blanks(x))) == [python_unfence(v) for v in FENCED]
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False).filter(lambda x: x != 0 and abs(x) > 1e-300), min_size=100, max_size=200))
+def test_floats_are_spelled_alike(spark, values):
+    got = column(spark, values, float_text, "double")
+    # Another Java may spell a number with a digit more; it is the same number then.
+    assert [float(g) for g in got] == values
+    assert all(g == repr(v) for g, v in zip(got, values) if len(g) <= len(repr(v)))
 
 
-POINTS = [
-    '{"points":["a"," ","b "]}', '{"n":1,"zz":["x"],"aa":["q"]}', '["top"]', "nope", '{"points":"[x","k":["v"]}',
-    '  {"points":[1,"s"]}', '```\n{"points":[]}\n```', '{"points":{"a":[1]},"b":["deep"]}', '{"points":["s"]} more',
-    None, "", "{}", "null", '"points"', '{"points":[null,true,false,"x"]}', "{'points':['single']}", '{"points":["a"]}}',
-    '{"points":["a"]},{"points":["b"]}', '{"points":["a"]}],[{"b":["c"]}', '{"points":["first"],"points":["last"]}',
-    '{"b":["x"],"points":3,"c":["y"]}', '{"points":["\\u00e9 \\n two"]}', '```json\n{"points":["fenced"]}\n```',
-    '{"points":[[],"x"]}', '{"points":["{\\"a\\":1}"]}', '{"a":[],"b":["x"]}', '{"points":["a",]}', '{"points":["a"]',
-]
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=' ab"\\[é', max_size=4), max_size=4), min_size=30, max_size=60))
+def test_points_are_kept_in_order_without_blanks(spark, values):
+    raws = [json.dumps({"points": v}) for v in values]
+    points = column(spark, raws, resolved_points)
+    assert points == [[t.strip() for t in v if not t.isspace() and t] for v in values]
+    assert column(spark, [f" \n{r}\t" for r in raws], resolved_points) == points
+    assert column(spark, [f"```json\n{r}\n```" for r in raws], resolved_points) == points
 
 
-@pytest.mark.parametrize("raw", POINTS)
-def test_points(spark, raw):
-    assert column(spark, [raw], resolved_points) == [python_points(raw)]
+def stored_half(value):
+    if isinstance(value, (list, dict)):
+        raise ValueError("not storable")
+    return None if value is None else str(int(value) if isinstance(value, bool) else value)
+
+
+def expected_pairs(answer):
+    """All pairs of the answer, or none if one of them cannot be stored."""
+    if not isinstance(answer, dict):
+        return []
+    chosen = answer.get("knowledge_points", next((v for v in answer.values() if isinstance(v, list)), []))
+    if "knowledge_points" not in answer and not isinstance(chosen, list):
+        return []
+    try:
+        return [(stored_half(item["q"]), stored_half(item["a"])) for item in chosen]
+    except (TypeError, KeyError, ValueError):
+        return []
 
 
 PAIRS = [
-    '{"knowledge_points":[{"q":"Q ____","a":"A"}]}', '{"knowledge_points":[{"q":"Q","a":"A"},{"q":"R"}]}',
-    '{"knowledge_points":[{"q":"Q","a":"A"},"bare"]}', '{"knowledge_points":[]}', '{"n":2,"cards":[{"q":"S","a":"C","x":1}]}',
-    '{"knowledge_points":{"q":"Q","a":"A"},"other":[{"q":"Q","a":"A"}]}', '{"knowledge_points":"text"}',
-    '{"knowledge_points":[{"q":null,"a":1},{"q":true,"a":false}]}', '{"knowledge_points":[{"q":["x"],"a":"A"}]}',
-    '{"knowledge_points":[{"q":"Q","a":{"x":1}}]}', '[{"q":"Q","a":"A"}]', "junk", None, '{"a":[1],"b":[{"q":"Q","a":"A"}]}',
-    '{"knowledge_points":[null]}', '{"knowledge_points":[[{"q":"Q","a":"A"}]]}', '{"x":"y"}',
+    ('{"knowledge_points":[{"q":"Q ____","a":"A"}]}', [("Q ____", "A")]), ('{"knowledge_points":[{"q":"Q","a":"A"},{"q":"R"}]}', []),
+    ('{"knowledge_points":[{"q":"Q","a":"A"},"bare"]}', []), ('{"knowledge_points":[]}', []),
+    ('{"n":2,"cards":[{"q":"S","a":"C","x":1}]}', [("S", "C")]), ('{"knowledge_points":{"q":"Q","a":"A"},"other":[{"q":"Q","a":"A"}]}', []),
+    ('{"knowledge_points":"text"}', []), ('{"knowledge_points":[{"q":null,"a":1},{"q":true,"a":false}]}', [(None, "1"), ("1", "0")]),
+    ('{"knowledge_points":[{"q":["x"],"a":"A"}]}', []), ('{"knowledge_points":[{"q":"Q","a":{"x":1}}]}', []), ('[{"q":"Q","a":"A"}]', []),
+    ("junk", []), (None, []), ('{"a":[1],"b":[{"q":"Q","a":"A"}]}', []), ('{"knowledge_points":[null]}', []),
+    ('{"knowledge_points":[[{"q":"Q","a":"A"}]]}', []), ('{"x":"y"}', []), ('{"knowledge_points":[{"q":1.0,"a":2.50}]}', [("1.0", "2.5")]),
 ]
 
 
-@pytest.mark.parametrize("raw", PAIRS)
-def test_pairs(spark, raw):
-    got = column(spark, [raw], resolved_pairs)[0]
-    assert [(p.q, p.a) for p in got] == python_pairs(raw)
+@pytest.mark.parametrize("raw,pairs", PAIRS)
+def test_pairs(spark, raw, pairs):
+    assert [(p.q, p.a) for p in column(spark, [raw], resolved_pairs)[0]] == pairs
 
 
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.recursive(
-    st.none() | st.booleans() | st.integers(-5, 5) | st.text(alphabet='ab" \\{[é', max_size=4),
+    st.none() | st.booleans() | st.integers(-5, 5) | st.sampled_from([1.0, 2.5, 1e22, 1.5e-7, -3.25]) | st.text(alphabet='ab" \\{[é', max_size=4),
     lambda inner: st.lists(inner, max_size=3) | st.dictionaries(
         st.sampled_from(["points", "knowledge_points", "q", "a", "zz", "b"]), inner, max_size=4), max_leaves=12,
 ), min_size=60, max_size=150))
 def test_answers_like_json(spark, values):
-    raws = [json.dumps(v) for v in values]
-    pairs = column(spark, raws, resolved_pairs)
-    assert [[(p.q, p.a) for p in row] for row in pairs] == [python_pairs(r) for r in raws]
+    pairs = column(spark, [json.dumps(v) for v in values], resolved_pairs)
+    assert [[(p.q, p.a) for p in row] for row in pairs] == [expected_pairs(v) for v in values]
 
-    # Lists and objects inside the point list are spelled as JSON, not as Python would.
-    def flat(raw):
-        return all("[" not in p and "{" not in p for p in python_points(raw))
 
-    plain = [r for r in raws if flat(r)]
-    assert column(spark, plain, resolved_points) == [python_points(r) for r in plain]
+# -- prompts, model, import ----------------------------------------------------------------------------------------
 
+def test_prompts_hold_the_whole_text(spark):
+    texts = {1: "é" * 14_999 + "xy\nz", 2: "", 3: None, 4: "a" * 15_000, 5: "😀\n" * 20_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pieces = {}
+    for r in prompts.point_prompts(docs).orderBy("doc_id", "part").collect():
+        assert r.part == len(pieces.setdefault(r.doc_id, []))
+        pieces[r.doc_id].append(r.user.removeprefix(prompts.POINTS_REQUEST))
+    assert {i: "".join(p) for i, p in pieces.items()} == {i: t or "" for i, t in texts.items()}
+    assert [len(pieces[i]) for i in texts] == [2, 1, 1, 1, 3]
 
-# -- prompts, model, import ----------------------------------------------------------------------------------------
 
-def test_prompt_takes_what_the_model_is_given(spark):
-    text = "é" * 14_999 + "xyz"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    user = prompts.point_prompts(docs).first().user
-    assert user == prompts.POINTS_REQUEST + text[:15_000]
+def test_points_of_pieces_are_joined(spark):
+    points = spark.createDataFrame([(1, 1, ["c"]), (1, 0, ["a", "b"]), (2, 0, [])], "doc_id long, part int, points array<string>")
+    assert {r.doc_id: r.points for r in prompts.document_points(points).collect()} == {1: ["a", "b", "c"], 2: []}
 
 
 def test_numbering_points(spark):
@@ -179,8 +187,8 @@ def flaky_model():
 
 def test_model_is_retried_once_without_json_mode(spark):
     docs = spark.createDataFrame([(1, "fine"), (2, "no json mode"), (3, "down")], "doc_id long, text string")
-    got = {r.doc_id: r.raw for r in prompts.complete(prompts.point_prompts(docs), flaky_model).collect()}
-    assert got == {1: "fine|True", 2: "no json mode|False", 3: None}
+    got = {r.doc_id: (r.raw, r.error) for r in prompts.complete(prompts.point_prompts(docs), flaky_model).collect()}
+    assert got == {1: ("fine|True", None), 2: ("no json mode|False", None), 3: (None, "RuntimeError: down")}
 
 
 def two_step_model():
@@ -213,7 +221,14 @@ def test_import_is_all_or_nothing_per_document(spark, as_of):
     assert sorted((r.id, r.file_name, r.imported_at) for r in done.import_rows.collect()) in (
         [(1, "one.md", "2024-01-15 10:00:00"), (2, "four.md", "2024-01-15 10:00:00")],
         [(1, "four.md", "2024-01-15 10:00:00"), (2, "one.md", "2024-01-15 10:00:00")])
-    assert {tuple(r) for r in done.report.collect()} == {(1, 4, 2), (2, 10, 0), (3, 0, 0), (4, 1, 1)}
+    assert {tuple(r) for r in done.report.collect()} == {(1, 4, 2, None), (2, 10, 0, None), (3, 0, 0, None), (4, 1, 1, None)}
+
+
+def test_errors_are_reported(spark, as_of):
+    docs = spark.createDataFrame([(1, 7, "one.md", "fine"), (2, 7, "two.md", "down")], "doc_id long, subject_id long, file_name string, text string")
+    done = import_documents(docs, spark.createDataFrame([], CARDS), spark.createDataFrame([], IMPORTED_FILES), as_of, flaky_model)
+    errors = {r.doc_id: r.errors for r in done.report.collect()}
+    assert errors[1] is None and [tuple(e) for e in errors[2]] == [(1, 0, "RuntimeError: down")]
 
 
 def test_import_without_a_model(spark, as_of):
@@ -228,12 +243,22 @@ def test_import_without_a_model(spark, as_of):
 
 
 def test_files_to_texts(spark, tmp_path):
-    (tmp_path / "a.md").write_bytes("# Titel é".encode() + b"\xff")
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "notes.md").write_bytes(f"# Titel é {folder}".encode() + b"\xff")
     (tmp_path / "b.PDF").write_bytes(b"%PDF")
-    ids = spark.createDataFrame([("a.md", 1), ("b.PDF", 2)], "file_name string, doc_id long")
-    files = read_files(spark, str(tmp_path)).join(ids, "file_name")
-    pages = spark.createDataFrame([(2, 1, "page")], "doc_id long, page_no long, text string")
-    assert {(r.doc_id, r.text) for r in document_texts(files, pages).collect()} == {(1, "# Titel é"), (2, "page\n")}
+    (tmp_path / "empty.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.exe").write_bytes(b"MZ")
+    files = read_files(spark, str(tmp_path))
+    ids = {r.path.removeprefix(f"file:{tmp_path}/"): r.doc_id for r in files.collect()}
+    assert set(ids) == {"x/notes.md", "y/notes.md", "b.PDF", "empty.pdf"} and len(set(ids.values())) == 4
+    assert {r.doc_id for r in read_files(spark, str(tmp_path)).collect()} == set(ids.values())
+    assert read_files(spark, str(tmp_path), types=None).count() == 5
+    pages = spark.createDataFrame([(ids["b.PDF"], 1, "page")], "doc_id long, page_no long, text string")
+    assert {r.doc_id: r.text for r in document_texts(files, pages).collect()} == {
+        ids["x/notes.md"]: "# Titel é x", ids["y/notes.md"]: "# Titel é y", ids["b.PDF"]: "page\n", ids["empty.pdf"]: ""}
+    declared = spark.createDataFrame([(f"file:{tmp_path}/x/notes.md", "application/pdf")] * 2, "path string, mime_type string")
+    assert sorted(r.mime_type or "" for r in read_files(spark, str(tmp_path), declared).collect()) == ["", "", "", "application/pdf"]
 
 
 def test_subjects_need_a_name(spark):
@@ -255,10 +280,24 @@ def test_ids_are_dense_and_stable(spark, digits):
     assert spark.range(1).select(last_id(spark.createDataFrame([], "id long"))).first()[0] == 0
 
 
+def test_ids_keep_rows_without_a_key(spark, as_of):
+    rows = spark.createDataFrame([(None,), (7,), (None,), (9,)], "key long")
+    assert sorted(r.id for r in numbered(rows, "key", 3).collect()) == [4, 5, 6, 7]
+    files = spark.createDataFrame([(None, 1, "a.md"), (2, 1, "b.md")], "doc_id long, subject_id long, file_name string")
+    assert imports.new_import_rows(files, spark.createDataFrame([], IMPORTED_FILES), as_of).count() == 2
+    entries = spark.createDataFrame([(None, "x", 1.0, 1.0, None), (1, "y", 1.0, 1.0, None)],
+                                    "form_id long, name string, difficulty double, credits double, ddl string")
+    assert imports.new_subjects(entries, spark.createDataFrame([], SUBJECTS), "form_id").count() == 2
+    pairs = spark.createDataFrame([(None, 1, [("q", "a"), ("r", "b")]), (3, 1, [("s", "c")])], "doc_id long, subject_id long, pairs array<struct<q:string,a:string>>")
+    assert sorted(r.id for r in imports.new_cards(pairs, spark.createDataFrame([], CARDS), as_of).collect()) == [1, 2, 3]
+    cards = spark.createDataFrame([(None, 0, 1, "q", "a"), (None, 1, 1, "r", "b")], "doc_id long, pos int, subject_id long, q string, a string")
+    assert sorted(r.id for r in imports.new_cards_from_rows(cards, spark.createDataFrame([], CARDS), as_of).collect()) == [1, 2]
+
+
 # -- cloze ---------------------------------------------------------------------------------------------------------
 
 TEXTS = [
-    "The cat sat. The dog sat, the Cat ran!  A an it.\nZebra zebra, ZEBRA runs", "the cat and the dog", "", "x y z", "the the the.",
+    "The cat sat. The dog sat, the Cat ran!  A an it.\nZebra zebra, ZEBRA runs", "the cat and the dog", "", "x y z", "the the the.", "Erste Zeile hier。Zweite Zeile！Dritte",
     "Ünïcode wörds: naïve façade. 12345 67 8! ",
 ]
 
@@ -269,7 +308,7 @@ def expected_cloze(texts):
     def key(word):
         return "".join(c for c in word if c.isalpha()).lower()
 
-    points = [[p.strip(" ") for p in re.split(r"[.!?]+[ ]+|\n+", t)] for t in texts]
+    points = [[p.strip(" ") for p in re.split(r"[.!?]+[ ]+|[。！？]+|\n+", t)] for t in texts]
     points = [[p for p in ps if p] for ps in points]
     df = {}
     for ps in points:
@@ -282,15 +321,17 @@ def expected_cloze(texts):
             keys = [k for k in map(key, words) if len(k) >= 3]
             if keys:
                 best = min(keys, key=lambda k: (df[k], -len(k), k))
+                if not {key(w) for w in words} - {"", best}:
+                    continue
                 rows.add((doc, pos, " ".join("____" if key(w) == best else w for w in words),
                           " ".join(w for w in words if key(w) == best)))
     return rows
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_cloze(spark, parts):
+@pytest.mark.parametrize("parts,head,max_bytes", [(1, 5, None), (5, 5, None), (5, 5, 0), (5, 0, 0), (1, 100, 0)])
+def test_cloze(spark, parts, head, max_bytes):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(parts)
-    rows = [tuple(r) for r in cloze.cloze_cards(docs).collect()]
+    rows = [tuple(r) for r in cloze.cloze_cards(docs, head, max_bytes).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected_cloze(TEXTS)
 
 

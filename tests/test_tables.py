@@ -1,5 +1,8 @@
 from datetime import date
 
+from pyspark.sql import functions as F
+
+from recallspark.operators.imports import new_log_rows
 from recallspark.operators.queue import recommendations_on_day
 from recallspark.operators.reviews import apply_reviews
 from recallspark.plans.study_day import close_day, plan_day
@@ -29,8 +32,10 @@ def test_old_files_lack_a_column(spark, tmp_path):
     assert storage.load_table(spark, folder, "cards").first().ignored == 0
     storage.append_rows(spark.createDataFrame([card(2, ignored=1)], CARDS), folder, "cards")
     loaded = {r.id: r.ignored for r in storage.load_table(spark, folder, "cards").collect()}
-    # Beside newer files the gap reads as NULL, which counts as live just the same.
-    assert loaded == {1: None, 2: 1}
+    assert loaded == {1: 0, 2: 1}
+    # A value that is NULL stays NULL.
+    storage.append_rows(spark.createDataFrame([card(3, ignored=None)], CARDS), folder, "cards")
+    assert {r.id: r.ignored for r in storage.load_table(spark, folder, "cards").collect()} == {1: 0, 2: 1, 3: None}
 
 
 def test_load_all(spark, tmp_path):
@@ -52,6 +57,33 @@ def test_logs_are_read_by_day(spark, tmp_path, as_of, capsys):
     assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
 
 
+def test_logs_have_one_layout(spark, tmp_path, as_of):
+    folder = str(tmp_path)
+    rows = [(1, 5, "2024-01-14 09:00:00"), (7, 6, "2024-01-15 09:00:00")]
+    for i, append in enumerate((lambda r: storage.append_rows(r, folder, "recommendation_logs"), lambda r: storage.append_logs(r, folder))):
+        append(spark.createDataFrame(rows[i:i + 1], RECOMMENDATION_LOGS))
+    assert {r.id for r in storage.load_table(spark, folder, "recommendation_logs").collect()} == {1, 7}
+    # The first queue of a day, from the day's logs alone: ids run on from all days'.
+    queue = spark.createDataFrame([(1, 40), (2, 41)], "position int, id long")
+    today = storage.load_logs(spark, folder, date(2024, 1, 16))
+    new = new_log_rows(queue, today, as_of, storage.load_logs(spark, folder))
+    assert sorted(r.id for r in new.collect()) == [8, 9]
+
+
+def test_the_last_snapshot_is_the_card_table(spark, tmp_path):
+    folder = str(tmp_path)
+    storage.append_rows(spark.createDataFrame([card(1), card(2)], CARDS), folder, "cards")
+    assert storage.current_snapshot(spark, folder) is None
+    for run, mastery in (("day1", 3), ("day2", 4)):
+        cards = storage.load_table(spark, folder, "cards").withColumn("mastery_level", F.lit(mastery))
+        storage.write_snapshot(cards, folder, run)
+        storage.append_rows(spark.createDataFrame([card(mastery * 10, mastery=0)], CARDS), folder, "cards")
+    assert storage.current_snapshot(spark, folder) == "day2"
+    loaded = {r.id: r.mastery_level for r in storage.load_tables(spark, folder)["cards"].collect()}
+    assert loaded == {1: 4, 2: 4, 30: 4, 40: 0}
+    assert {r.id: r.mastery_level for r in storage.load_snapshot(spark, folder, "day1").collect()} == {1: 3, 2: 3}
+
+
 def test_a_day_on_storage(spark, tmp_path, as_of):
     """Queue, log, grade, snapshot; repeating a step changes nothing."""
     folder = str(tmp_path)
@@ -67,6 +99,7 @@ def test_a_day_on_storage(spark, tmp_path, as_of):
     more = plan_day(cards, subjects, storage.load_logs(spark, folder), as_of, daily_limit=4)
     assert [(r.position, r.id) for r in more.queue.collect()] == [(1, 2)]
 
+    cards = spark.createDataFrame(cards.collect(), CARDS)
     reviews = spark.createDataFrame([(i, c, START, g) for i, (c, g) in enumerate(zip(shown, (2, 1, -1)))], REVIEWS)
     for _ in range(2):
         storage.write_snapshot(close_day(cards, reviews), folder, "2024-01-15")
