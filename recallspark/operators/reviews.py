@@ -83,7 +83,7 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
     reviews = reviews.select("card_id", "review_id", "reviewed_at", "grade")
     hot = None
     if hot_reviews is not None:
-        hot = settled_hot_cards(reviews, hot_reviews)
+        hot = settled_hot_cards(reviews, hot_reviews, cards.select(F.col("id").alias("card_id")))
     if hot is None:
         return _even_history(cards, reviews, max_mastery)
     ids = small_side(hot.select("card_id"))
@@ -93,8 +93,8 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
     )
 
 
-def settled_hot_cards(reviews: DataFrame, hot_reviews: int) -> DataFrame | None:
-    """(card_id, n) of cards with more than ``hot_reviews`` reviews, None if there are none.
+def settled_hot_cards(reviews: DataFrame, hot_reviews: int, known: DataFrame) -> DataFrame | None:
+    """(card_id, n) of ``known`` cards with more than ``hot_reviews`` reviews, None if there are none.
 
     This only chooses how cards are folded, never what comes out, so large inputs are
     judged by a sample in which a hot card shows up about a thousand times; half of
@@ -106,7 +106,7 @@ def settled_hot_cards(reviews: DataFrame, hot_reviews: int) -> DataFrame | None:
     seen = reviews.select("card_id") if share == 1.0 else reviews.select("card_id").sample(share, seed=1)
     limit = hot_reviews if share == 1.0 else HOT_SAMPLE // 2
     counted = seen.groupBy("card_id").agg(F.count("*").alias("seen")).where(F.col("seen") > limit)
-    hot = settled(counted.select("card_id", (F.col("seen") / F.lit(share)).cast("long").alias("n")))
+    hot = settled(counted.join(known, "card_id", "left_semi").select("card_id", (F.col("seen") / F.lit(share)).cast("long").alias("n")))
     return None if hot.isEmpty() else hot
 
 

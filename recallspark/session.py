@@ -62,3 +62,12 @@ def settled(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str] | None:
+    """Names of the folders in ``path``, None if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from ..schemas import CARD_DEFAULTS, TABLES, with_defaults
+from ..session import subfolders
 
 
 def create_tables(spark: SparkSession, database: str = "default", card_buckets: int = 0) -> None:
@@ -39,15 +40,6 @@ def save_cards(cards: DataFrame, table: str, buckets: int) -> None:
     cards.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
 
 
-def _subfolders(spark, path):
-    """Names of the folders in ``path``, none if it does not exist."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(where):
-        return None
-    return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())
-
-
 def _has_files(spark, path):
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
@@ -56,7 +48,7 @@ def _has_files(spark, path):
 def _load(spark, path, name):
     """A table's folder: files written directly into it, and those of each generation."""
     schema, defaults = TABLES[name], CARD_DEFAULTS if name == "cards" else None
-    folders = _subfolders(spark, path)
+    folders = subfolders(spark, path)
     parts = [f"{path}/{f}" for f in folders or [] if f.startswith("generation=")]
     # One file tells the columns of all in its folder.
     frames = [spark.read.parquet(part) for part in parts]
@@ -117,7 +109,7 @@ def load_logs(spark: SparkSession, folder: str, day: date | None = None) -> Data
     """
     path, schema = f"{folder}/recommendation_logs", TABLES["recommendation_logs"]
     # A table of no rows has no day.
-    if not any(f.startswith("day=") for f in _subfolders(spark, path) or []):
+    if not any(f.startswith("day=") for f in subfolders(spark, path) or []):
         return spark.createDataFrame([], schema)
     logs = spark.read.schema(StructType([*schema, StructField("day", DateType())])).parquet(path)
     if day is not None:
@@ -140,7 +132,7 @@ def _snapshots(spark, folder):
     """The snapshots in the order they were written: (number, run_id)."""
     path = f"{folder}/card_snapshot_log"
     schema = "number long, run_id string"
-    return spark.createDataFrame([], schema) if _subfolders(spark, path) is None else spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema) if subfolders(spark, path) is None else spark.read.schema(schema).parquet(path)
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> str | None:

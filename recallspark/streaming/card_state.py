@@ -13,19 +13,21 @@ watermark is needed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.clock import moment_text
+from ..session import subfolders
 from ..settings import GRADE_AGAIN, GRADE_FORGOT, GRADE_IGNORE, GRADE_KNOWN, MAX_MASTERY
 
 THINNED = "card_id long, reviewed_at timestamp_ntz, review_id long, grade int, reviews long, raises long"
 CARD_STATE = "card_id long, mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
 WRITTEN = "card_id long, mastery_level int, ignored int, review_count long, last_reviewed_at string, batch long"
+STORED = "card_id long, mastery_level int, ignored int, review_count long, last_reviewed_at string"
 STATE = "mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
 
 RESETS = [GRADE_FORGOT, GRADE_KNOWN]
@@ -143,14 +145,29 @@ def write_states(states: DataFrame, out: str, checkpoint: str, **trigger) -> Str
     )
 
 
+def _numbered_folders(spark, out, prefix):
+    return sorted(int(f.removeprefix(prefix)) for f in subfolders(spark, out) or [] if f.startswith(prefix))
+
+
+def _written(spark, out):
+    """The last compaction and the batches after it: (frame or None, last batch)."""
+    upto = max(_numbered_folders(spark, out, "upto="), default=-1)
+    batches = [b for b in _numbered_folders(spark, out, "batch=") if b > upto]
+    frames = [spark.read.schema(STORED).parquet(f"{out}/upto={upto}").withColumn("batch", F.lit(upto).cast("long"))] if upto >= 0 else []
+    if batches:
+        paths = [f"{out}/batch={b}" for b in batches]
+        frames.append(spark.read.schema(WRITTEN).option("basePath", out).parquet(*paths))
+    return (reduce(DataFrame.unionByName, frames) if frames else None), max([upto, *batches])
+
+
 def latest_states(spark: SparkSession, out: str) -> DataFrame:
-    """One row per card that has been reviewed: its state after the last batch it was in."""
+    """One row per card that has been reviewed: its state after the last batch it was in.
+
+    Reads the last compaction and the batches written since.
+    """
     columns = ["mastery_level", "ignored", "review_count", "last_reviewed_at"]
-    try:
-        written = spark.read.parquet(out)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    written, _ = _written(spark, out)
+    if written is None:
         written = spark.createDataFrame([], WRITTEN)
     return (
         written.groupBy("card_id").agg(F.max_by(F.struct(*columns), F.col("batch").cast("long")).alias("latest"))
@@ -158,6 +175,16 @@ def latest_states(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def compact_states(spark: SparkSession, out: str) -> None:
+    """Writes the latest states of all batches so far as one table, which ``latest_states`` reads from then on.
+
+    Run it now and then, not while a batch is being written; the batches it covers may be deleted.
+    """
+    _, last = _written(spark, out)
+    if last >= 0 and last not in _numbered_folders(spark, out, "upto="):
+        latest_states(spark, out).write.parquet(f"{out}/upto={last}")
+
+
 def updated_cards(cards: DataFrame, states: DataFrame) -> DataFrame:
     """The card table with the streamed states in place of the old columns."""
     latest = states.select(F.col("card_id").alias("id"), F.struct(

@@ -99,6 +99,21 @@ def test_any_split_into_batches_ends_the_same(spark):
     assert got == fold(rows, reviews)[0]
 
 
+def test_hot_cards_found_by_a_sample(spark, monkeypatch):
+    """20,000 reviews, two hot cards, one of them unknown; the sample holds a third of the reviews."""
+    rng = random.Random(5)
+    cards = [card(i, mastery=i % 5) for i in range(1, 60)]
+    rows = [(i, rng.choice([1] * 6 + [99] * 6 + list(range(2, 60))[:8]), START + timedelta(seconds=rng.randrange(10**6)),
+             rng.choice([-1, 0, 1, 1, 1, 2, 9])) for i in range(20_000)]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+    known = spark.createDataFrame(cards, CARDS)
+    assert R.HOT_SAMPLE < 3000
+    hot = R.settled_hot_cards(reviews, 3000, known.select(F.col("id").alias("card_id")))
+    assert [r.card_id for r in hot.collect()] == [1]
+    even, ranged = (sorted(tuple(r) for r in R.review_history(known, reviews, hot_reviews=n).collect()) for n in (None, 3000))
+    assert even == ranged and len(even) == sum(r[1] != 99 for r in rows)
+
+
 def test_other_top_mastery(spark):
     cards = spark.createDataFrame([card(1, mastery=1, count=0)], CARDS)
     reviews = spark.createDataFrame([(i, 1, START + timedelta(hours=i), 1) for i in range(12)], REVIEWS)
@@ -135,6 +150,10 @@ def test_stream_is_the_fold(spark, tmp_path, batches):
         spark.createDataFrame(reviews[i * size:(i + 1) * size], REVIEWS).coalesce(1).write.mode("append").parquet(source)
         # A stopped and restarted query goes on from its state.
         S.write_states(S.card_states(stream, cards), out, checkpoint).awaitTermination()
+    before = sorted(tuple(r) for r in S.latest_states(spark, out).collect())
+    for _ in range(2):
+        S.compact_states(spark, out)
+        assert sorted(tuple(r) for r in S.latest_states(spark, out).collect()) == before
     updated = S.updated_cards(cards, S.latest_states(spark, out))
     got = {r.id: (r.mastery_level, r.ignored, r.review_count, r.last_reviewed_at) for r in updated.collect()}
     assert got == fold(rows, reviews)[0]
