@@ -24,7 +24,7 @@ from recallspark.functions import clock  # noqa: E402
 from recallspark.operators import candidates, cloze, dashboard, documents, imports, prompts, queue, reviews  # noqa: E402
 from recallspark.plans import document_import, study_day  # noqa: E402
 from recallspark.schemas import CARDS, CARD_DEFAULTS, with_defaults  # noqa: E402
-from recallspark.session import work_dir  # noqa: E402
+from recallspark.session import settled, work_dir  # noqa: E402
 from recallspark.sources import star_schema as study, tables  # noqa: E402
 from recallspark.streaming import card_state  # noqa: E402
 
@@ -143,6 +143,21 @@ def _model_import_report(spark, d):
     return _import(spark, d, open_stand_in).report.withColumn("errors", F.array_join(lines, ","))
 
 
+def _declared_tables(spark, d):
+    """Tables declared in a database of their own, filled, declared again, and read; the database goes again."""
+    name = f"study_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        tables.create_tables(spark, name, card_buckets=4)
+        study.cards(spark, d).write.insertInto(f"{name}.cards")
+        study.subjects(spark, d).write.insertInto(f"{name}.subjects")
+        tables.create_tables(spark, name, card_buckets=4)
+        owned = spark.table(f"{name}.cards").join(spark.table(f"{name}.subjects").select(F.col("id").alias("subject_id"), "name"), "subject_id")
+        return settled(owned.select("id", "question", "ignored", F.col("name").alias("subject_name")))
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def _stored_tables(spark, d):
     """Tables written in two generations, over two days, with a snapshot, and read again."""
     folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
@@ -236,6 +251,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "model_import_cards": lambda spark, d: _import(spark, d, open_stand_in).card_rows,
         "model_import_report": _model_import_report,
         "stored_tables": _stored_tables,
+        "declared_tables": _declared_tables,
         "cloze_import_rows": lambda spark, d: _import(spark, d).import_rows,
         "cloze_import_cards": lambda spark, d: _import(spark, d).card_rows,
         "cloze_import_report": lambda spark, d: _import(spark, d).report,

@@ -330,6 +330,8 @@ SQL = {
         file_name, '2024-01-15 10:00:00' AS imported_at FROM files WHERE doc_id IN (SELECT doc_id FROM cloze)""",
     "cloze_import_report": f"""{_cloze('texts')} SELECT doc_id, length(text) AS text_chars,
         (SELECT count(*) FROM cloze c WHERE c.doc_id = t.doc_id) AS card_count FROM texts t""",
+    "declared_tables": f"""{STUDY} SELECT c.id, question, ignored, name AS subject_name
+        FROM cards c JOIN subjects s ON s.id = c.subject_id""",
     # Cards of even ids come from files without the column; two days of logs; cards after a day's reviews.
     "stored_tables": STUDY.replace(IGNORED, f"CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE {IGNORED} END") + """
         SELECT 'card' AS kind, c.id, CAST(coalesce(f.mastery_level, c.mastery_level) AS INTEGER) AS mastery_level,
