@@ -40,6 +40,8 @@ PACK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 # A GRAM with more sample positions than this is hot: its strings are told apart by all their bytes.
 HOT_POSITIONS = 100_000
+# All that is shuffled is compressed text or hashes; more effort here is less disk.
+COMPRESSION = 9
 _SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _UP = np.full(_SEGMENT + 2 * LENGTH + 1, _BASE, dtype=np.uint64)
@@ -54,7 +56,7 @@ _NO_ID = np.iinfo(np.int64).max
 
 def _packed(value) -> bytes:
     raw = pickle.dumps(value, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", COMPRESSION).compress(raw, asbytes=True)
 
 
 def _unpacked(data: bytes):
