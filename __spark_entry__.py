@@ -240,7 +240,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "completion_cards": lambda spark, d: _pairs(spark, d).select("doc_id", F.posexplode("pairs").alias("pos", "pair"))
         .select("doc_id", "pos", "pair.q", "pair.a"),
         "cards_json": lambda spark, d: prompts.cards_json(_pairs(spark, d)),
-        "imported_cards": lambda spark, d: imports.new_cards(_pairs(spark, d), study.cards(spark, d), AS_OF),
+        # Numbering reads the pairs twice, so the answers are parsed once and written.
+        "imported_cards": lambda spark, d: imports.new_cards(settled(_pairs(spark, d)), study.cards(spark, d), AS_OF),
         "imported_file_rows": lambda spark, d: imports.new_import_rows(
             _pairs(spark, d).where(F.size("pairs") > 0), study.imported_files(spark, d), AS_OF),
         "import_report": lambda spark, d: imports.import_report(
