@@ -60,11 +60,12 @@ def _statement_words(points: DataFrame) -> DataFrame:
 
 
 def _rarest(words: DataFrame) -> DataFrame:
-    return words.groupBy("doc_id", "pos").agg(F.min(F.struct("rank", "key")).alias("rarest"))
+    # A number alone is aggregated by hashing; with the word beside it, all words would be sorted first.
+    return words.groupBy("doc_id", "pos").agg(F.min("rank").alias("rank"))
 
 
 def rarest_words(points: DataFrame, ranks: DataFrame, head_words: int = HEAD_WORDS, max_bytes: int | None = None) -> DataFrame:
-    """(doc_id, pos, rarest): the rarest word of each statement with its rank.
+    """(doc_id, pos, key): the rarest word of each statement.
 
     A vocabulary that measures small is broadcast, and each statement's words meet it where
     they are. Of a larger one the ``head_words`` most frequent words are broadcast: almost all
@@ -73,11 +74,12 @@ def rarest_words(points: DataFrame, ranks: DataFrame, head_words: int = HEAD_WOR
     """
     words = _statement_words(points)
     if measured_bytes(ranks)[0] <= (sizing.BROADCAST_BYTES if max_bytes is None else max_bytes):
-        return _rarest(words.join(F.broadcast(ranks), "key"))
+        ranks = F.broadcast(ranks)
+        return _rarest(words.join(ranks, "key")).join(ranks, "rank").drop("rank")
     head = F.broadcast(settled(ranks.orderBy(F.desc("rank")).limit(head_words)))
     frequent = _rarest(words.join(head, "key"))
     rare = _rarest(words.join(head, "key", "left_anti").join(ranks, "key"))
-    return frequent.unionAll(rare).groupBy("doc_id", "pos").agg(F.min("rarest").alias("rarest"))
+    return _rarest(frequent.unionAll(rare)).join(ranks, "rank").drop("rank")
 
 
 def cloze_cards(documents: DataFrame, head_words: int = HEAD_WORDS, max_bytes: int | None = None) -> DataFrame:
@@ -91,7 +93,7 @@ def cloze_cards(documents: DataFrame, head_words: int = HEAD_WORDS, max_bytes: i
     best = rarest_words(points, word_ranks(documents), head_words, max_bytes)
     whole = points.join(best, ["doc_id", "pos"]).select(
         "doc_id", "pos", F.split("point", " ").alias("_words"), _keys(F.col("point")).alias("_keys"),
-        F.col("rarest.key").alias("blanked"),
+        F.col("key").alias("blanked"),
     ).where(F.exists("_keys", lambda k: (k != "") & (k != F.col("blanked"))))
 
     def out(i):
