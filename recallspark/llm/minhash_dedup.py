@@ -142,7 +142,8 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     counts = everyone.groupBy("leader", "task").agg(
         F.sum(F.col("is_row").cast("long")).alias("n_rows"),
         F.sum((~F.col("is_row")).cast("long")).alias("n_columns")).where("n_rows > 0 AND n_columns > 1")
-    in_blocks = everyone.join(counts, ["leader", "task"])
+    # Written, so that the join is between two shuffles of which adaptive execution can split a hot leader's, or a broadcast.
+    in_blocks = everyone.join(small_side(stored(counts)), ["leader", "task"])
     row_blocks = F.ceil(F.col("n_rows") / ROW_BLOCK).cast("int")
     column_blocks = F.ceil(F.col("n_columns") / COLUMN_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("member"), F.when(F.col("is_row"), row_blocks).otherwise(column_blocks)).cast("int")
