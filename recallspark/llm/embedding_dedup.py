@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..operators.sizing import small_side
 from .common import bounded_sample, broadcast_object, map_rows, record_batch, schema_of, ship, slices, stored
 from .components import components, forest
 
@@ -197,7 +198,8 @@ def _compared(placed: DataFrame, cosine: float) -> DataFrame:
     visitors = placed.select("label", F.explode("cells").alias("cell"), F.lit(False).alias("resident"), "vec_id", "size", "unit")
     counts = placed.groupBy("label", F.col("home").alias("cell")).agg(F.count("*").alias("n_residents")).join(
         visitors.groupBy("label", "cell").agg(F.count("*").alias("n_visitors")), ["label", "cell"])
-    both = residents.unionAll(visitors).join(counts, ["label", "cell"])
+    # At most a row per label and cell; written, so that a hot cell's side of a shuffled join can be split.
+    both = residents.unionAll(visitors).join(small_side(stored(counts)), ["label", "cell"])
     own_blocks = F.ceil(F.when(F.col("resident"), F.col("n_residents")).otherwise(F.col("n_visitors")) / BLOCK)
     other_blocks = F.ceil(F.when(F.col("resident"), F.col("n_visitors")).otherwise(F.col("n_residents")) / BLOCK)
     blocks = both.withColumn("own", F.pmod(F.xxhash64("vec_id"), own_blocks)).withColumn(
@@ -243,7 +245,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     for r in sorted(classes.groupBy("dimension").count().collect()):
         own = classes.where(F.col("dimension") == r["dimension"])
         index = calibrate(build(own, r["dimension"], r["count"]), own, cosine, recall)
-        part = _compared(_placed(index, own), cosine)
+        part = _compared(stored(_placed(index, own)), cosine)
         compared = part if compared is None else compared.unionAll(part)
     if compared is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
