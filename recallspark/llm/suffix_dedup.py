@@ -54,13 +54,30 @@ _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(
 _NO_ID = np.iinfo(np.int64).max
 
 
-def _packed(value) -> bytes:
-    raw = pickle.dumps(value, protocol=5)
+def _compressed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", COMPRESSION).compress(raw, asbytes=True)
 
 
-def _unpacked(data: bytes):
-    return pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one or two dimensions in few bytes: a pack has little to say to each of many buckets."""
+    heads = [f"{a.dtype.str}{':'.join(map(str, a.shape))}" for a in arrays]
+    return _compressed(",".join(heads).encode() + b"\n" + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    raw = _plain(data)
+    at = raw.index(b"\n") + 1
+    out = []
+    for head in raw[:at - 1].decode().split(","):
+        dtype, shape = np.dtype(head[:3]), tuple(map(int, head[3:].split(":")))
+        n = int(np.prod(shape))
+        out.append(np.frombuffer(raw, dtype=dtype, count=n, offset=at).reshape(shape))
+        at += n * dtype.itemsize
+    return out
 
 
 class Pack:
@@ -75,11 +92,11 @@ class Pack:
         self.bytes = np.frombuffer(b"".join(data), dtype=np.uint8)
 
     def payload(self) -> bytes:
-        return _packed((self.ids, self.sizes, self.bytes.tobytes()))
+        return _compressed(pickle.dumps((self.ids, self.sizes, self.bytes.tobytes()), protocol=5))
 
     @staticmethod
     def read(payload: bytes) -> Pack:
-        ids, sizes, data = _unpacked(payload)
+        ids, sizes, data = pickle.loads(_plain(payload))
         ends = np.cumsum(sizes)
         return Pack(ids, [data[e - n:e] for e, n in zip(ends, sizes)])
 
@@ -138,7 +155,7 @@ def _keyed(pack: Pack, hashes: np.ndarray, places: np.ndarray, buckets: int):
     return keys, inverse, counts, low != high
 
 
-def _pack_documents(docs: DataFrame) -> DataFrame:
+def _pack_documents(docs: DataFrame, pack_bytes: int) -> DataFrame:
     schema = schema_of("pack long, size long, payload binary")
     arrow = to_arrow_schema(schema)
 
@@ -153,7 +170,7 @@ def _pack_documents(docs: DataFrame) -> DataFrame:
                     ids.append(doc_id)
                     data.append(text)
                     size += len(text)
-                    if size >= PACK_BYTES or len(ids) >= 1 << 16:
+                    if size >= pack_bytes or len(ids) >= 1 << 16:
                         yield record_batch([((task << 32) + number, size, Pack(ids, data).payload())], arrow)
                         number, ids, data, size = number + 1, [], [], 0
         if ids:
@@ -187,7 +204,7 @@ def _hash_rows(buckets: int):
         cuts = np.flatnonzero(np.diff(of)) + 1
         for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(of)]])):
             if b > a:
-                yield int(of[a]), pack_id, _packed((keys[a:b].astype(np.uint32), np.minimum(counts[a:b], 65535).astype(np.uint16), several[a:b]))
+                yield int(of[a]), pack_id, _packed(keys[a:b].astype(np.uint32), np.minimum(counts[a:b], 65535).astype(np.uint16), several[a:b])
 
     return run
 
@@ -210,7 +227,7 @@ def _repeated(result: str, hot_positions: int):
             own = inverse[at:at + len(part[0])]
             at += len(own)
             if many[own].any():
-                rows.append((pack, bucket, _packed((np.packbits(many[own]), np.packbits(hot[own]), len(own)))))
+                rows.append((pack, bucket, _packed(np.packbits(many[own]), np.packbits(hot[own]))))
         return pa.Table.from_batches([record_batch(rows, arrow)])
 
     return run
@@ -226,8 +243,9 @@ def _context_rows(buckets: int):
         many, hot = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
         of = (keys >> np.uint64(32)).astype(np.int64)
         for mark in marks:
-            bits, hot_bits, n = _unpacked(mark["marks"])
-            a = np.searchsorted(of, mark["bucket"])
+            bits, hot_bits = _unpacked(mark["marks"])
+            a, n = (np.searchsorted(of, mark["bucket"], side) for side in ("left", "right"))
+            n -= a
             many[a:a + n] = np.unpackbits(bits, count=n).astype(bool)
             hot[a:a + n] = np.unpackbits(hot_bits, count=n).astype(bool)
         # Cold samples are told apart within the bucket of their GRAM.
@@ -250,7 +268,7 @@ def _context_rows(buckets: int):
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])):
                 if b > a:
-                    yield int(bucket[a]), pack_id, _packed(_stretches(pack, where[a:b], left, right))
+                    yield int(bucket[a]), pack_id, _packed(*_stretches(pack, where[a:b], left, right))
 
     return run
 
@@ -342,7 +360,7 @@ def _covered(result: str):
             if len(hit):
                 begin = place[hit].astype(np.int64) - b[hit]
                 size = b[hit] - a[hit] + LENGTH
-                rows.append((pack, _packed((row[hit], begin.astype(np.uint32), size.astype(np.uint8)))))
+                rows.append((pack, _packed(row[hit], begin.astype(np.uint32), size.astype(np.uint8))))
         return pa.Table.from_batches([record_batch(rows, arrow)])
 
     return run
@@ -368,20 +386,23 @@ def _results(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_positions: int = HOT_POSITIONS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, hot_positions: int = HOT_POSITIONS,
+                   pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Documents without the LENGTH-byte strings that documents of smaller ids hold.
 
     ``docs`` has doc_id and text. Returns per row doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs) and kept_sha256 (of the bytes left), with ``keep_text`` also kept, those bytes.
     Strings are judged on the input. A null or empty text has no bytes; a row without doc_id
     loses nothing and takes nothing; rows of the same doc_id do not take from each other; other
-    columns are not read.
+    columns are not read. A task holds a pack of ``pack_bytes``, or the samples of
+    ``bucket_bytes`` of text; a pack sends a row to each bucket, so let both grow with the
+    corpus as memory allows (64 MB and 512 MB at many TB).
     """
     spark = docs.sparkSession
     ship(spark)
-    packs = stored(_pack_documents(docs))
+    packs = stored(_pack_documents(docs, pack_bytes))
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES), 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes), 1)
     payloads = packs.select("pack", "payload")
     hash_result = "bucket long, pack long, hashes binary"
     hashes = payloads.mapInArrow(_rows(_hash_rows(buckets), hash_result), hash_result)

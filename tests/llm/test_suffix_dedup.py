@@ -22,8 +22,7 @@ def exact(rows):
 
 
 @pytest.mark.parametrize("hot", [3, 100_000])
-def test_like_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 1500)
+def test_like_brute_force(spark, hot):
     rng = random.Random(1)
     passages = [corpus.prose(rng.randint(6, 40), i) for i in range(8)] + ["ab" * 60, "a" * 120, "é" * 60, "=" * 49]
     rows = []
@@ -32,7 +31,7 @@ def test_like_brute_force(spark, monkeypatch, hot):
         text = rng.choice(["", " ", "\n"]).join(parts)
         rows.append((i, text[rng.randint(0, 3):] if rng.random() < 0.5 else text))
     rows += [(500, rows[3][1]), (501, None), (502, "")]
-    found = suffix_dedup.remove_repeats(corpus.documents(spark, rows), hot_positions=hot, keep_text=True).collect()
+    found = suffix_dedup.remove_repeats(corpus.documents(spark, rows), True, hot, pack_bytes=1500, bucket_bytes=900).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == exact(rows)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in found)
 
