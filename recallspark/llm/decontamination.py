@@ -2,7 +2,9 @@
 
 Texts become templates: numbers, names and units are typed placeholders, everything else is a
 literal word. Runs of template words (windows) of the documents meet those of the benchmark in a
-hash join against bounded slices of the benchmark. Where windows of an item line up, each value
+hash join against bounded slices of the benchmark; so do runs of the words themselves, whatever
+their kind, so that a word-for-word copy is found also where most words are placeholders.
+Characters of scripts without spaces are words. Where windows of an item line up, each value
 in the item must stand for one value in the document and the other way round; an alignment that
 breaks this is no copy of the question.
 """
@@ -10,6 +12,7 @@ breaks this is no copy of the question.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -20,9 +23,9 @@ from .common import ROW, broadcast_object, map_rows, ship, texts
 from .words import ALNUM, HashSet, hashed_words, mix, windows
 
 WINDOW = 8
-# A shorter item is one window; items of fewer words than this match nothing.
+# A shorter item is one window; items of fewer words than this match only word for word.
 ITEM_LEAST = 4
-# Literal words a window must have.
+# Literal words a window must have to match with other values.
 LITERAL_SHARE = 0.5
 # An item is found if so many of its words, or this share of them, line up.
 WORDS_LEAST, SHARE_LEAST = 13, 0.5
@@ -41,6 +44,10 @@ _CLASS = np.zeros(256, dtype=np.int8)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 1, 2, 3, 3
 _ENDS_SENTENCE = np.zeros(256, dtype=bool)
 _ENDS_SENTENCE[[ord(c) for c in ".?!:;|\"\n"]] = True
+# Characters of scripts without spaces, each a word, and their punctuation.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u1b00-\u1b7f\u2e80-\ua4cf\ua980-\ua9df\uaa60-\uaadf"
+                       "\uf900-\ufaff\uff10-\uffef\U00020000-\U0003ffff]+")
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
 def _set(words: str) -> HashSet:
@@ -55,6 +62,13 @@ def _lower(data: bytes) -> bytes:
     return lowered if len(lowered) == len(data) else data
 
 
+def _spaced(data: bytes) -> bytes:
+    """The text with spaces around every character of a script that has none."""
+    if data.isascii():
+        return data
+    return _UNSPACED.sub(lambda m: f" {' '.join(m[0])} ", _MARKS.sub(" ", data.decode())).encode()
+
+
 @dataclass
 class Template:
     """The template words of a text: hashes, kinds, and the hashes of what stood there."""
@@ -70,6 +84,7 @@ class Canonical:
         self.marks = mix(np.arange(1, 5, dtype=np.uint64) << np.uint64(32))
 
     def template(self, data: bytes) -> Template:
+        data = _spaced(data)
         h, starts, ends = hashed_words(_lower(data), ALNUM)
         if not len(h):
             return Template(h, np.zeros(0, dtype=np.int8), h)
@@ -118,12 +133,15 @@ class Index:
     @staticmethod
     def build(rows: list[tuple[int, str]]) -> Index:
         canonical = Canonical()
-        items = [(item, t) for item, text in rows for t in [canonical.template(text.encode())] if len(t.words) >= ITEM_LEAST]
+        items = [(item, t) for item, text in rows for t in [canonical.template(text.encode())] if len(t.words)]
         found = defaultdict(list)
         for i, (_, t) in enumerate(items):
             size = min(WINDOW, len(t.words))
             keys, usable = _window_keys(t, size)
-            found[size] += [(int(keys[at]), i, int(at)) for at in np.flatnonzero(usable)]
+            exact = windows(t.values, size)
+            if len(t.words) >= ITEM_LEAST:
+                found[size] += [(int(keys[at]), i, int(at)) for at in np.flatnonzero(usable & (keys != exact))]
+            found[size] += [(int(key), i, at) for at, key in enumerate(exact)]
         sizes = {}
         for size, entries in found.items():
             entries.sort()
@@ -140,11 +158,12 @@ class Index:
         sizes = {}
         for size, (known, offsets, places) in self.sizes.items():
             keys, usable = _window_keys(t, size)
-            at = known.index(keys)
-            for i in np.flatnonzero((at >= 0) & usable):
-                for item, place in places[offsets[at[i]]:offsets[at[i] + 1]]:
-                    lines[int(item), int(i - place)].append(int(place))
-                    sizes[int(item)] = size
+            exact = windows(t.values, size)
+            for found in (known.index(exact), np.where(usable & (keys != exact), known.index(keys), -1)):
+                for i in np.flatnonzero(found >= 0):
+                    for item, place in places[offsets[found[i]]:offsets[found[i] + 1]]:
+                        lines[int(item), int(i - place)].append(int(place))
+                        sizes[int(item)] = size
         covered: dict[int, set[int]] = defaultdict(set)
         same: dict[int, bool] = {}
         for (item, shift), places in sorted(lines.items()):
@@ -181,7 +200,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> Da
     (sorted item_ids) and share (the largest share of an item's words that lines up, 0 without
     any). The benchmark goes out in slices of bounded size, all of them within one pass over
     the documents. A null or empty text holds nothing; items that are null, repeated or
-    shorter than ITEM_LEAST words add nothing; an empty benchmark finds nothing. A null doc_id
+    without a word add nothing, those of fewer than ITEM_LEAST words are found only whole and word
+    for word; an empty benchmark finds nothing. A null doc_id
     stays null, repeated rows give repeated results, other columns are not read, but with
     ``whole`` come back in the column ROW.
     """

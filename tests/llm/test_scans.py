@@ -98,3 +98,16 @@ def test_slot_consistency():
     other = canonical.template(b"the sum of 6 and 8 is taken from the sum of 2 and 4 today")
     assert index.matches(same)[0][3] is False and index.matches(other) == []
     assert np.count_nonzero(same.kinds == decontamination.NUMBER) == 4
+
+
+def test_word_for_word():
+    """Copies of items of few literal words, few words or no spaces."""
+    items = ["What is 12 + 7 * 3?", "Sort 9 km 4 cm 8 mm 2 inches 7 feet 5 yards by length", "Name Peter", "\u73a9\u5177\u6bcf\u4e2a\u4e09\u5143\uff0c\u4e70\u4e94\u4e2a\u8981\u591a\u5c11\u94b1\uff1f", "3 5 8"]
+    index = decontamination.Index.build(list(enumerate(items)))
+    canonical = decontamination.Canonical()
+    for i, item in enumerate(items):
+        around = ("\u4eca\u5929", "\u6211\u4eec\u56de\u5bb6") if i == 3 else ("So it goes, ", " and on")
+        text = f"{around[0]}{item}{around[1]}"
+        assert [(m[0], m[3]) for m in index.matches(canonical.template(text.encode()))] == [(i, True)]
+    others = ["What is 13 + 8 * 4?", "Name Paul", "3 5 9", "Sort 9 km 5 cm 8 mm 3 inches 7 feet 6 yards by length", "\u4eca\u5929\u6211\u4eec\u56de\u5bb6"]
+    assert all(index.matches(canonical.template(text.encode())) == [] for text in others)
