@@ -5,8 +5,8 @@ literal word. Runs of template words (windows) of the documents meet those of th
 hash join against bounded slices of the benchmark; so do runs of the words themselves, whatever
 their kind, so that a word-for-word copy is found also where most words are placeholders.
 Characters of scripts without spaces are words. Where windows of an item line up, each value
-in the item must stand for one value in the document and the other way round; an alignment that
-breaks this is no copy of the question.
+in the item must stand for one value in the document and the other way round; windows that hold
+a value that breaks this do not count, unless they are word for word the item's.
 """
 
 from __future__ import annotations
@@ -123,6 +123,20 @@ def _window_keys(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, (literal[size:] - literal[:-size] >= size * LITERAL_SHARE) if len(keys) else np.zeros(0, dtype=bool)
 
 
+def _one_to_one(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """The pairs that map values one to one: of pairs that share a value the most frequent one, or the first."""
+    counts: dict[tuple[int, int], int] = {}
+    for pair in pairs:
+        counts[pair] = counts.get(pair, 0) + 1
+    left, right, kept = set(), set(), set()
+    for a, b in sorted(counts, key=lambda pair: -counts[pair]):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            kept.add((a, b))
+    return kept
+
+
 @dataclass
 class Index:
     """Windows of benchmark items by size: the hashes, and where in which item they stand."""
@@ -165,21 +179,29 @@ class Index:
                         lines[int(item), int(i - place)].append(int(place))
                         sizes[int(item)] = size
         covered: dict[int, set[int]] = defaultdict(set)
-        same: dict[int, bool] = {}
+        verbatim: dict[int, set[int]] = defaultdict(set)
         for (item, shift), places in sorted(lines.items()):
             own = self.items[item][1]
-            spots = sorted({p + k for p in places for k in range(sizes[item])})
+            size = sizes[item]
+            spots = sorted({p + k for p in places for k in range(size)})
             there = np.array(spots)
-            slots = there[own.kinds[there] != LITERAL]
-            pairs = set(zip(own.values[slots].tolist(), t.values[slots + shift].tolist()))
-            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                covered[item].update(spots)
-                same[item] = same.get(item, True) and all(a == b for a, b in pairs)
+            mine, theirs = own.values[there], t.values[there + shift]
+            if np.array_equal(mine, theirs):
+                verbatim[item].update(spots)
+            else:
+                slots = own.kinds[there] != LITERAL
+                pairs = list(zip(mine[slots].tolist(), theirs[slots].tolist()))
+                kept = _one_to_one(pairs)
+                broken = {p for p, pair in zip(there[slots].tolist(), pairs) if pair not in kept}
+                changed = set(there[mine != theirs].tolist())
+                spots = {p + k for p in places for k in range(size)
+                         if broken.isdisjoint(range(p, p + size)) or changed.isdisjoint(range(p, p + size))}
+            covered[item].update(spots)
         out = []
         for item, spots in covered.items():
             name, own = self.items[item]
             if len(spots) >= WORDS_LEAST or len(spots) >= SHARE_LEAST * len(own.words):
-                out.append((name, len(spots), len(own.words), same[item]))
+                out.append((name, len(spots), len(own.words), spots <= verbatim[item]))
         return sorted(out)
 
 

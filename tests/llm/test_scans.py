@@ -111,3 +111,23 @@ def test_word_for_word():
         assert [(m[0], m[3]) for m in index.matches(canonical.template(text.encode()))] == [(i, True)]
     others = ["What is 13 + 8 * 4?", "Name Paul", "3 5 9", "Sort 9 km 5 cm 8 mm 3 inches 7 feet 6 yards by length", "\u4eca\u5929\u6211\u4eec\u56de\u5bb6"]
     assert all(index.matches(canonical.template(text.encode())) == [] for text in others)
+
+
+def test_broken_slots_cost_only_their_windows():
+    words = corpus.prose(50, 7).split()
+    item = " ".join(words[:3] + ["5"] + words[3:25] + ["5"] + words[25:])
+    coinciding = " ".join(words[:3] + ["3"] + words[3:25] + ["4"] + words[25:])
+    index = decontamination.Index.build([(1, item), (2, coinciding.upper())])
+    canonical = decontamination.Canonical()
+
+    def found(a, b):
+        text = " ".join(words[:3] + [a] + words[3:25] + [b] + words[25:])
+        return {m[0]: m[1:] for m in index.matches(canonical.template(text.encode()))}
+
+    # The first of two pairs that share a value stands, the second costs the windows that hold it.
+    assert found("5", "7") == {1: (51, 52, False), 2: (52, 52, False)}
+    assert found("6", "6") == {1: (52, 52, False), 2: (51, 52, False)}
+    assert found("5", "5")[1] == (52, 52, True)
+    short = decontamination.Index.build([(1, "the sum of 5 and 5 is taken from the sum of 7 and 9 today")])
+    partly = canonical.template(b"the sum of 6 and 8 is taken from the sum of 2 and 4 today")
+    assert short.matches(partly) == [(1, 10, 16, False)]
