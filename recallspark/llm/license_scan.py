@@ -1,8 +1,8 @@
-"""Licence notices in texts: a generalised suffix automaton of template words, matching statistics, chains.
+"""Licence notices in texts: a suffix automaton of each template's words, matching statistics, chains.
 
-The automaton holds every run of words of every template. Streaming a text's words through it
-gives, after each word, the longest run ending there that some template holds, and where. Long
-runs are chained in template order into covered spans; a template covered well enough labels
+An automaton holds every run of words of its template. Streaming a text's words through it
+gives, after each word, the longest run ending there that the template holds, and where. A run
+that several templates share counts in each of them. Long runs are chained in template order into covered spans; a template covered well enough labels
 the text. Words outside all templates and places without any three template words in a row
 cannot be part of a long run and are skipped over byte arrays.
 """
@@ -112,7 +112,7 @@ class Automaton:
 class Scanner:
     labels: list[str]
     sizes: list[int]
-    automaton: Automaton
+    automata: list[Automaton]
     vocabulary: HashSet
     triples: HashSet
     phrases: list[tuple[list[int], str]]
@@ -135,38 +135,42 @@ class Scanner:
         if not len(hits):
             return []
         breaks = np.flatnonzero(np.diff(hits) > 3)
-        runs = []
+        segments = []
         for a, b in zip(np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(hits) - 1]])):
             begin, end = int(hits[a]), int(hits[b]) + 3
             if end - begin >= RUN_LEAST:
-                runs += self.automaton.runs(self.vocabulary.index(h[begin:end]).tolist(), begin)
-        open_chains: dict[int, list[int]] = {}
+                segments.append((begin, self.vocabulary.index(h[begin:end]).tolist()))
         done = []
-        for start, end, template, place in runs:
-            chain = open_chains.get(template)
-            first = place - (end - start)
-            if chain and 0 <= start - chain[1] <= GAP_MOST and first >= chain[3]:
-                chain[1], chain[2], chain[3] = end, chain[2] + end - start, place
-            elif chain and start < chain[1] and place > chain[3]:
-                # Runs that overlap in the text: only the words beyond the first one's end are new.
-                chain[2] += end - chain[1]
-                chain[1], chain[3] = end, place
-            else:
-                if chain:
-                    done.append((template, chain[0], chain[1], chain[2]))
-                open_chains[template] = [start, end, end - start, place]
-        return done + [(t, c[0], c[1], c[2]) for t, c in open_chains.items()]
+        for automaton in self.automata:
+            chain: list[int] = []
+            template = -1
+            for start, end, template, place in [run for begin, words in segments for run in automaton.runs(words, begin)]:
+                first = place - (end - start)
+                if chain and 0 <= start - chain[1] <= GAP_MOST and first >= chain[3]:
+                    chain[1], chain[2], chain[3] = end, chain[2] + end - start, place
+                elif chain and start < chain[1] and place > chain[3]:
+                    # Runs that overlap in the text: only the words beyond the first one's end are new.
+                    chain[2] += end - chain[1]
+                    chain[1], chain[3] = end, place
+                else:
+                    if chain:
+                        done.append((template, chain[0], chain[1], chain[2]))
+                    chain = [start, end, end - start, place]
+            if chain:
+                done.append((template, chain[0], chain[1], chain[2]))
+        return done
 
 
 def scanner(templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> Scanner:
     hashed = [hashed_words(text.encode(), ALNUM)[0] for _, text in templates]
     vocabulary = HashSet(np.concatenate(hashed), bits=16)
-    automaton = Automaton()
+    automata = []
     for i, h in enumerate(hashed):
-        automaton.add(i, vocabulary.index(h).tolist())
+        automata.append(Automaton())
+        automata[-1].add(i, vocabulary.index(h).tolist())
     triples = HashSet(np.concatenate([windows(h, 3) for h in hashed]), bits=16)
     phrase_words = [(hashed_words(p.encode(), ALNUM)[0].tolist(), label) for p, label in phrases.items()]
-    return Scanner([label for label, _ in templates], [len(h) for h in hashed], automaton, vocabulary, triples, phrase_words)
+    return Scanner([label for label, _ in templates], [len(h) for h in hashed], automata, vocabulary, triples, phrase_words)
 
 
 def scan(docs: DataFrame, built: Scanner | None = None) -> DataFrame:

@@ -39,6 +39,22 @@ def test_licenses(spark):
     assert found[3]["score"] < 0.3 and found[4]["score"] == 0
 
 
+def test_shared_runs_count_in_every_template():
+    tool = license_scan.scanner()
+    usual = "This work is licensed under the Creative Commons Attribution 4.0 International License"
+    longer = "This program is free software: you can redistribute it under the terms of the GNU General Public License"
+
+    def covered(text):
+        best = {}
+        for template, start, end, n in tool.chains(license_scan.hashed_words(text.encode(), license_scan.ALNUM)[0]):
+            best[license_scan.TEMPLATES[template][0]] = max(best.get(license_scan.TEMPLATES[template][0], (0, 0, 0)), (n, start, end))
+        return best
+
+    assert covered(usual) == {"cc-by": (12, 0, 13), "gpl": (6, 0, 6)}
+    # A part in the middle of another template's run.
+    assert covered(longer)["mpl"] == (4, 10, 14)
+
+
 def test_base_spans_like_the_patterns():
     rng = random.Random(2)
     pieces = ["token", "Token = ", "secret: '", "password=", "api_key", "apikey\" : \"", "AKIA", "ABCDEFGH12345678", "0f", "deadbeef" * 3,
