@@ -31,10 +31,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; rows of one doc_id stay together."""
-    found = minhash_dedup.near_duplicates(docs)
-    gone = stored(found.where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of near-duplicates: of the smallest doc_id, a null one last, then by a hash of the text.
+
+    Rows are numbered, so that null and repeated ids are rows like others. Texts without words
+    are in no group.
+    """
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
+    rows = stored(docs.withColumn("_rank", ranked).withColumn("_number", F.monotonically_increasing_id()))
+    found = minhash_dedup.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"))
+    groups = stored(found.select(F.col("doc_id").alias("_number"), "component_id")
+                    .join(rows.select("_number", F.struct("_rank", "_number").alias("_place")), "_number"))
+    first = groups.groupBy("component_id").agg(F.min("_place").alias("_first"), F.count("*").alias("n")).where("n > 1")
+    gone = stored(groups.join(small_side(stored(first)), "component_id").where("_place != _first").select("_number"))
+    return rows.join(small_side(gone), "_number", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+import corpus
 import corpus_pipeline
 from compare import connect, difference
 from recallspark.llm import decontamination, language_id, minhash_dedup, queries, secret_scan
@@ -48,3 +49,14 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.collect() == []
+
+
+def test_one_row_of_each_group(spark):
+    """Null ids, repeated ids, and one id on different texts."""
+    a, b, c = (corpus.prose(80, i) for i in (1, 2, 3))
+    near = a + " end"
+    rows = [(None, b), (None, b), (None, b + " end"), (7, a), (3, near), (None, a), (5, c), (5, c), (5, corpus.prose(80, 4)), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [tuple(r) for r in corpus_pipeline.without_near_duplicates(spark, docs, FOLDER).collect()]
+    assert len(left) == 6 and {r for r in left if r[0] is not None} == {(3, near), (5, c), (5, corpus.prose(80, 4)), (9, "")}
+    assert sum(r[0] is None and r[1] in (b, b + " end") for r in left) == 1 and (None, None) in left
