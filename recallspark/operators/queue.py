@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import clock
-from ..session import settled
 from ..settings import DAILY_LIMIT, MAX_MASTERY, TOP_CARDS
 from .candidates import CARD_COLUMNS, learning_cards
 from .imports import new_log_rows
+from .ranges import with_positions
 
 
 def best_first() -> list:
@@ -40,22 +40,8 @@ def _remaining(logs, as_of, daily_limit):
 
 
 def ranked_cards(scored: DataFrame) -> DataFrame:
-    """All scored cards, best first, with their positions from 1.
-
-    A range-partitioned sort, written once; a position is the place within a range plus
-    the sizes of the ranges before, the only numbers that meet in one task.
-    """
-    place = F.col("_place")
-    ordered = settled(scored.orderBy(*best_first()).withColumn("_place", F.monotonically_increasing_id()))
-    part = F.shiftright(place, 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_offset") + place.bitwiseAND((1 << 33) - 1) + 1)
-        .drop("_place", "_part", "_offset")
-    )
+    """All scored cards, best first, with their positions from 1."""
+    return with_positions(scored, best_first())
 
 
 def recommended_card(scored: DataFrame, logs: DataFrame, as_of: datetime, daily_limit: int = DAILY_LIMIT) -> DataFrame:
