@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, quality, secret_scan, sql, suffix_dedup, toxicity
-from .common import fold
+from . import (
+    byte_bpe, decontamination, embedding_dedup, fill_in_middle, language_id, license_scan, minhash_dedup, one_bit_search,
+    quality, secret_scan, sql, suffix_dedup, target_resampling, toxicity,
+)
+from .common import fold, stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,7 +65,21 @@ def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op11_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    return one_bit_search.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.transform(stored(fill_in_middle.frames(_table(spark, folder, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_embedding_dedup, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup)}
+    op1_toxicity, op2_embedding_dedup, op3_suffix_dedup, op4_language_id, op5_decontamination, op6_license_scan, op7_secret_scan, op8_byte_bpe, op9_quality, op10_minhash_dedup,
+    op11_target_resampling, op12_one_bit_search, op13_fill_in_middle)}
 SQL: dict[str, str] = {
-    "op2_embedding_dedup": sql.EMBEDDING_DEDUP, "op3_suffix_dedup": sql.SUFFIX_DEDUP, "op10_minhash_dedup": sql.MINHASH_DEDUP}
+    "op2_embedding_dedup": sql.EMBEDDING_DEDUP, "op3_suffix_dedup": sql.SUFFIX_DEDUP, "op10_minhash_dedup": sql.MINHASH_DEDUP,
+    "op11_target_resampling": sql.TARGET_RESAMPLING, "op12_one_bit_search": sql.EXACT_SEARCH, "op13_fill_in_middle": sql.FILL_IN_MIDDLE}
