@@ -93,13 +93,11 @@ def _progress(spark, d, **options):
 
 
 def _stream_card_state(spark: SparkSession, d: str) -> DataFrame:
-    """The events file as a stream, drained; then the latest state of each card."""
-    _ship_package(spark)
+    """The events file as a stream, drained; then the latest state of each reviewed card."""
     graded = study.reviews_of(study.review_events(spark, d))
-    states = card_state.card_states(graded, study.cards(spark, d))
     folder = f"{work_dir(spark)}/card-stream-{uuid.uuid4().hex}"
-    card_state.write_states(states, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
-    return card_state.latest_states(spark, f"{folder}/states")
+    card_state.write_deltas(graded, f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
+    return card_state.latest_states(spark, f"{folder}/deltas", study.cards(spark, d))
 
 
 def open_stand_in():
@@ -159,19 +157,32 @@ def _declared_tables(spark, d):
 
 
 def _stored_tables(spark, d):
-    """Tables written in two generations, over two days, with a snapshot, and read again."""
+    """Tables kept through a day: files of different columns, logs of any text, cards appended while a snapshot is made, a run tried twice."""
     folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
     cards, logs = study.cards(spark, d), study.recommendation_logs(spark, d)
-    cards.where("id % 2 = 0").drop("ignored").write.parquet(f"{folder}/cards")
-    tables.append_rows(cards.where("id % 2 = 1"), folder, "cards")
-    tables.append_logs(logs.where("recommended_at < '2024-01-15'"), folder)
-    tables.append_rows(logs.where("recommended_at LIKE '2024-01-15%'"), folder, "recommendation_logs")
-    tables.write_snapshot(study_day.close_day(tables.load_table(spark, folder, "cards"), study.reviews(spark, d)), folder, "2024-01-15")
+    # Old and new files directly in one folder, and appended ones.
+    cards.where("id % 4 = 0").drop("ignored").write.parquet(f"{folder}/cards")
+    cards.where("id % 4 = 2").write.mode("append").parquet(f"{folder}/cards")
+    tables.append_rows(cards.where("id % 4 = 1"), folder, "cards")
+    odd = F.expr("CASE id % 30 WHEN 0 THEN 'never' WHEN 10 THEN '2024-1-5 10:00:00' ELSE recommended_at END")
+    logs = logs.withColumn("recommended_at", F.when(F.col("id") % 40 != 0, odd))
+    tables.append_logs(logs.where("id % 20 = 0"), folder)
+    tables.append_rows(logs.where("id % 20 <> 0"), folder, "recommendation_logs")
+    read = tables.card_version(spark, folder)
+    graded = study_day.close_day(tables.load_cards(spark, folder, read), study.reviews(spark, d))
+    tables.append_rows(cards.where("id % 8 = 3"), folder, "cards")
+    for _ in range(2):
+        tables.write_snapshot(graded, folder, "2024-01-15", read)
+    tables.append_rows(cards.where("id % 8 = 7"), folder, "cards")
+    # The same run once more, of what is there now.
+    now = tables.load_tables(spark, folder)
+    tables.write_snapshot(now["cards"], folder, "2024-01-15", now.card_version)
     stored = tables.load_tables(spark, folder)
     kept = stored["cards"].select(
         F.lit("card").alias("kind"), "id", "mastery_level", "ignored", "review_count", F.col("last_reviewed_at").alias("at"))
     empty = [F.lit(None).cast(kept.schema[c].dataType) for c in ("mastery_level", "ignored", "review_count")]
-    return kept.unionAll(stored["recommendation_logs"].select(F.lit("log"), "id", *empty, "recommended_at"))
+    of_day = tables.load_logs(spark, folder, AS_OF.date()).select(F.lit("log of the day"), "id", *empty, "recommended_at")
+    return kept.unionAll(stored["recommendation_logs"].select(F.lit("log"), "id", *empty, "recommended_at")).unionAll(of_day)
 
 
 def entry(spark: SparkSession) -> DataFrame:

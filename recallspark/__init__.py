@@ -11,12 +11,12 @@ from .plans.dashboard import dashboard
 from .plans.document_import import import_documents
 from .plans.study_day import close_day, plan_day
 from .settings import ScoreWeights
-from .streaming.card_state import card_states, latest_states, write_states
+from .streaming.card_state import compact_deltas, latest_states, updated_cards, write_deltas
 
 __all__ = [
-    "ScoreWeights", "apply_reviews", "card_states", "close_day", "cloze_cards", "daily_queue", "dashboard",
+    "ScoreWeights", "apply_reviews", "compact_deltas", "close_day", "cloze_cards", "daily_queue", "dashboard",
     "dashboard_totals", "eligible_cards", "grade_steps", "import_documents", "latest_states", "live_cards",
     "plan_day", "priority_scores", "quota_status", "random_card", "reason_counts", "recommendations_on_day",
     "recommended_card", "review_candidates", "review_history", "subject_imports", "subject_names",
-    "subject_progress", "subjects_view", "top_priority_cards", "write_states",
+    "subject_progress", "subjects_view", "top_priority_cards", "updated_cards", "write_deltas",
 ]

@@ -93,8 +93,8 @@ def review_history(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_
     )
 
 
-def settled_hot_cards(reviews: DataFrame, hot_reviews: int, known: DataFrame) -> DataFrame | None:
-    """(card_id, n) of ``known`` cards with more than ``hot_reviews`` reviews, None if there are none.
+def settled_hot_cards(reviews: DataFrame, hot_reviews: int, known: DataFrame | None = None) -> DataFrame | None:
+    """(card_id, n) of cards (``known`` ones if given) with more than ``hot_reviews`` reviews, None if there are none.
 
     This only chooses how cards are folded, never what comes out, so large inputs are
     judged by a sample in which a hot card shows up about a thousand times; half of
@@ -106,7 +106,9 @@ def settled_hot_cards(reviews: DataFrame, hot_reviews: int, known: DataFrame) ->
     seen = reviews.select("card_id") if share == 1.0 else reviews.select("card_id").sample(share, seed=1)
     limit = hot_reviews if share == 1.0 else HOT_SAMPLE // 2
     counted = seen.groupBy("card_id").agg(F.count("*").alias("seen")).where(F.col("seen") > limit)
-    hot = settled(counted.join(known, "card_id", "left_semi").select("card_id", (F.col("seen") / F.lit(share)).cast("long").alias("n")))
+    if known is not None:
+        counted = counted.join(known, "card_id", "left_semi")
+    hot = settled(counted.select("card_id", (F.col("seen") / F.lit(share)).cast("long").alias("n")))
     return None if hot.isEmpty() else hot
 
 
@@ -150,8 +152,31 @@ def _ranged_history(cards, reviews, parts, max_mastery):
     return _with_prefix(running.join(small_side(chained, per_part), ["card_id", "part"]), max_mastery)
 
 
-def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
-    """Per card, what a batch of reviews does to it, without ordering any card's reviews.
+def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY, hot_reviews: int | None = HOT_REVIEWS) -> DataFrame:
+    """Per card, what a batch of reviews does to it: (card_id, reviews, last_at, base, raises, flag).
+
+    One scan, one shuffle and one sort of the reviews' four narrow columns; a card's last row
+    says it all. Cards with more than ``hot_reviews`` reviews are gathered without being
+    ordered. ``None`` skips the check for input known to be even.
+    """
+    reviews = reviews.select("card_id", "review_id", "reviewed_at", "grade").where(F.col("card_id").isNotNull())
+    hot = None if hot_reviews is None else settled_hot_cards(reviews, hot_reviews)
+    if hot is None:
+        return _ordered_deltas(reviews, max_mastery)
+    ids = small_side(hot.select("card_id"))
+    return _ordered_deltas(reviews.join(ids, "card_id", "left_anti"), max_mastery).unionByName(
+        _gathered_deltas(reviews.join(ids, "card_id", "left_semi"), max_mastery))
+
+
+def _ordered_deltas(reviews, max_mastery):
+    in_order = Window.partitionBy("card_id").orderBy("reviewed_at", "review_id")
+    last = _running(reviews, ["card_id"], max_mastery).withColumn("more", F.lead(F.lit(True)).over(in_order)).where(F.col("more").isNull())
+    return last.select("card_id", F.col("n").alias("reviews"), F.col("reviewed_at").alias("last_at"), "base",
+                       F.col("raises_since").alias("raises"), "flag")
+
+
+def _gathered_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
+    """The same without ordering any card's reviews.
 
     Only the last reset matters, and after it at most ``max_mastery`` 1-grades. The
     latest ``max_mastery`` 1-grades of a card are kept by a row_number limit, which
@@ -178,18 +203,13 @@ def review_deltas(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFra
     return totals.join(latest, "card_id", "left").select(
         "card_id", "reviews", "last_at",
         grading.reset_value(F.col("reset.grade"), max_mastery).alias("base"),
-        F.when(F.col("reset").isNull(), F.col("raises")).otherwise(F.greatest(F.coalesce(since, F.lit(0)), F.lit(0))).alias("raises"),
+        F.when(F.col("reset").isNull(), F.col("raises")).otherwise(F.greatest(F.coalesce(since, F.lit(0)), F.lit(0))).cast("long").alias("raises"),
         grading.ignored_value(F.col("flagging.grade")).alias("flag"),
     )
 
 
-def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
-    """The card table after a batch of reviews: a new snapshot, cards without reviews unchanged.
-
-    While the batch is small the deltas are broadcast and the cards are not shuffled. A
-    larger batch is joined on the card id, unique on both sides.
-    """
-    deltas = small_side(review_deltas(reviews, max_mastery), reviews.select("card_id"))
+def apply_deltas(cards: DataFrame, deltas: DataFrame, max_mastery: int = MAX_MASTERY, how: str = "left") -> DataFrame:
+    """``cards`` after ``deltas``: cards without a delta unchanged, or left out with ``how="inner"``."""
     reviewed = F.col("reviews").isNotNull()
     mastery = grading.raised(
         F.coalesce(F.col("base"), F.col("mastery_level"), F.lit(0)), F.col("raises"), max_mastery
@@ -200,5 +220,16 @@ def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_M
         "mastery_level": F.when(reviewed, mastery).otherwise(F.col("mastery_level")),
         "ignored": F.when(reviewed, F.coalesce("flag", "ignored", F.lit(0))).otherwise(F.col("ignored")).cast("int"),
     }
-    joined = cards.join(deltas, cards["id"] == deltas["card_id"], "left")
+    joined = cards.join(deltas, cards["id"] == deltas["card_id"], how)
     return joined.select(*[changed[c].alias(c) if c in changed else cards[c] for c in cards.columns])
+
+
+def apply_reviews(cards: DataFrame, reviews: DataFrame, max_mastery: int = MAX_MASTERY,
+                  hot_reviews: int | None = HOT_REVIEWS) -> DataFrame:
+    """The card table after a batch of reviews: a new snapshot, cards without reviews unchanged.
+
+    While the batch is small the deltas are broadcast and the cards are not shuffled. A
+    larger batch is joined on the card id, unique on both sides, by which the deltas lie already.
+    """
+    deltas = small_side(review_deltas(reviews, max_mastery, hot_reviews), reviews.select("card_id"))
+    return apply_deltas(cards, deltas, max_mastery)

@@ -68,10 +68,15 @@ def settled(df):
     return df.checkpoint()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and the path for it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str] | None:
     """Names of the folders in ``path``, None if it does not exist."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system, where = file_system(spark, path)
     if not system.exists(where):
         return None
     return sorted(s.getPath().getName() for s in system.listStatus(where) if s.isDirectory())

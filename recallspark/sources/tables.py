@@ -1,23 +1,68 @@
 """The study tables on storage.
 
-Appends add files. Rows of different column sets lie in folders of their own
-(``generation=...``), so that each is read with the columns it was written with and
-what it lacks gets its default. Logs are always partitioned by day. A keyed update of
-the cards is a new snapshot, named by the run that made it; the last one written is
-what is read as the cards from then on, together with the cards appended since.
+Appends add files and never touch others. Files may have fewer columns than the table: each is
+read with the columns it was written with, and what it lacks gets its default. Logs are
+partitioned by day, with a partition of their own for texts that name no day.
+
+A keyed update of the cards is a new snapshot, in versions:
+
+- ``cards/``: appended files, of all times.
+- ``card_snapshots/<name>/``: the rows of one snapshot, and the list of the appended files it holds.
+- ``card_versions/<number>``: one small file per version, which names its snapshot.
+
+Whoever reads the cards notes the version and the appended files that the read holds
+(``CardVersion``); the cards are the snapshot's rows and every appended file that it does not
+hold. Whoever writes a snapshot hands that note in: files appended meanwhile stay appended, and if
+another snapshot was written meanwhile, the write fails (``SnapshotConflict``) and nothing
+changes. A version is published by creating its file, which fails if the file exists; that needs a
+store whose "create unless it exists" is atomic, as HDFS's is. An empty version file is one whose
+writer died at that moment: delete it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import CARD_DEFAULTS, TABLES, with_defaults
-from ..session import subfolders
+from ..session import file_system, subfolders
+
+VERSION_DIGITS = 12
+
+
+class SnapshotConflict(RuntimeError):
+    """The cards have another version than the one that the snapshot was made of."""
+
+
+@dataclass(frozen=True)
+class CardVersion:
+    """What one read of the cards holds: a version, its snapshot, and appended files besides.
+
+    ``number`` is 0 before the first snapshot; ``held`` are the appended files that the
+    snapshot holds already, ``appended`` those read beside it.
+    """
+
+    number: int = 0
+    run_id: str | None = None
+    snapshot: str | None = None
+    held: frozenset[str] = frozenset()
+    appended: tuple[str, ...] = ()
+
+
+class StudyTables(dict):
+    """The tables by name; ``card_version`` tells what the cards among them hold."""
+
+    def __init__(self, frames: dict[str, DataFrame], card_version: CardVersion):
+        super().__init__(frames)
+        self.card_version = card_version
 
 
 def create_tables(spark: SparkSession, database: str = "default", card_buckets: int = 0) -> None:
@@ -40,41 +85,47 @@ def save_cards(cards: DataFrame, table: str, buckets: int) -> None:
     cards.repartition(buckets, "id").write.format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table)
 
 
-def _has_files(spark, path):
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
-    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+def _files(spark, path):
+    """Data files of a table's folder as paths below it: those directly in it, and those of each generation."""
+    system, root = file_system(spark, path)
+    found = []
+    for pattern in ("*.parquet", "generation=*/*.parquet"):
+        for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
+            where = status.getPath()
+            parent = where.getParent().getName()
+            found.append(f"{parent}/{where.getName()}" if "/" in pattern else where.getName())
+    return sorted(found)
 
 
-def _load(spark, path, name):
-    """A table's folder: files written directly into it, and those of each generation."""
+def _read(spark, path, name, files):
+    """Some data files of a table's folder. Each is read with its own columns; a generation's files share theirs."""
     schema, defaults = TABLES[name], CARD_DEFAULTS if name == "cards" else None
-    folders = subfolders(spark, path)
-    parts = [f"{path}/{f}" for f in folders or [] if f.startswith("generation=")]
-    # One file tells the columns of all in its folder.
-    frames = [spark.read.parquet(part) for part in parts]
-    if folders is not None and _has_files(spark, path):
-        frames.append(spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/*.parquet"))
+    groups: dict[str, list[str]] = {}
+    for file in files:
+        groups.setdefault(file.rpartition("/")[0] or file, []).append(file)
+    by_columns: dict[tuple, tuple[StructType, list[str]]] = {}
+    for members in groups.values():
+        own = spark.read.parquet(f"{path}/{members[0]}").schema
+        by_columns.setdefault(tuple((f.name, f.dataType.simpleString()) for f in own), (own, []))[1].extend(members)
+    frames = [spark.read.schema(own).parquet(*[f"{path}/{m}" for m in members]) for own, members in by_columns.values()]
     if not frames:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, [with_defaults(f, schema, defaults) for f in frames])
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One study table, with its declared schema and old rows' gaps filled; the cards as of the last snapshot."""
+    """One study table, with its declared schema and old rows' gaps filled; the cards as of now."""
     if name == "recommendation_logs":
         return load_logs(spark, folder)
-    run_id = current_snapshot(spark, folder) if name == "cards" else None
-    if run_id is None:
-        return _load(spark, f"{folder}/{name}", name)
-    return load_snapshot(spark, folder, run_id).unionByName(_load(spark, _since(folder, run_id), name))
-
-
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: load_table(spark, folder, name) for name in TABLES}
+    if name == "cards":
+        return load_cards(spark, folder, card_version(spark, folder))
+    return _read(spark, f"{folder}/{name}", name, _files(spark, f"{folder}/{name}"))
 
 
-def _since(folder, run_id):
-    return f"{folder}/cards_since/run={run_id}"
+def load_tables(spark: SparkSession, folder: str) -> StudyTables:
+    version = card_version(spark, folder)
+    return StudyTables(
+        {name: load_cards(spark, folder, version) if name == "cards" else load_table(spark, folder, name) for name in TABLES}, version)
 
 
 def _generation(schema):
@@ -87,60 +138,130 @@ def append_rows(rows: DataFrame, folder: str, name: str) -> None:
     if name == "recommendation_logs":
         append_logs(rows, folder)
         return
-    spark, schema = rows.sparkSession, TABLES[name]
-    run_id = current_snapshot(spark, folder) if name == "cards" else None
-    path = f"{folder}/{name}" if run_id is None else _since(folder, run_id)
-    complete = with_defaults(rows, schema, CARD_DEFAULTS if name == "cards" else None)
-    complete.write.mode("append").parquet(f"{path}/generation={_generation(schema)}")
+    complete = with_defaults(rows, TABLES[name], CARD_DEFAULTS if name == "cards" else None)
+    complete.write.mode("append").parquet(f"{folder}/{name}/generation={_generation(TABLES[name])}")
+
+
+def log_day(text: Column) -> Column:
+    """The day that a log row's text names, as text; NULL for any other text."""
+    first = F.left(text, F.lit(10))
+    return F.when(first.rlike(r"^\d{4}-\d{2}-\d{2}\z") & first.try_cast("date").isNotNull(), first)
 
 
 def append_logs(rows: DataFrame, folder: str) -> None:
-    """Add recommendation log rows, partitioned by day for ``load_logs``."""
+    """Add recommendation log rows, partitioned by day for ``load_logs``; rows that name no day share a partition."""
     logs = with_defaults(rows, TABLES["recommendation_logs"])
-    day = F.left("recommended_at", F.lit(10)).alias("day")
+    day = log_day(F.col("recommended_at")).alias("day")
     logs.select("*", day).write.mode("append").partitionBy("day").parquet(f"{folder}/recommendation_logs")
 
 
 def load_logs(spark: SparkSession, folder: str, day: date | None = None) -> DataFrame:
     """Recommendation logs; with ``day``, only that day's partition is read.
 
-    New log rows need the largest id of all days: give ``load_logs(spark, folder)`` as
+    Whatever text a row holds, it comes back; a day's rows are those whose text begins with
+    the day. New log rows need the largest id of all days: give ``load_logs(spark, folder)`` as
     ``all_logs`` beside a single day's.
     """
     path, schema = f"{folder}/recommendation_logs", TABLES["recommendation_logs"]
     # A table of no rows has no day.
     if not any(f.startswith("day=") for f in subfolders(spark, path) or []):
         return spark.createDataFrame([], schema)
-    logs = spark.read.schema(StructType([*schema, StructField("day", DateType())])).parquet(path)
+    # Read as text, a partition of any name is readable.
+    logs = spark.read.schema(StructType([*schema, StructField("day", StringType())])).parquet(path)
     if day is not None:
-        logs = logs.where(F.col("day") == F.lit(day))
+        logs = logs.where(F.col("day") == F.lit(day.isoformat()))
     return with_defaults(logs, TABLES["recommendation_logs"])
 
 
-def write_snapshot(cards: DataFrame, folder: str, run_id: str) -> None:
-    """``cards`` as the snapshot of run ``run_id``, and from now on as the cards.
+def _published(spark, folder):
+    """Numbers of the published versions."""
+    system, path = file_system(spark, f"{folder}/card_versions")
+    if not system.exists(path):
+        return []
+    return sorted(int(s.getPath().getName()) for s in system.listStatus(path) if s.isFile() and s.getLen() > 0)
+
+
+def _version_path(folder, number):
+    return f"{folder}/card_versions/{number:0{VERSION_DIGITS}}"
 
-    ``cards`` may be what ``load_table`` gave, unless that is the snapshot of the same run.
-    """
-    spark = cards.sparkSession
-    cards.write.mode("overwrite").parquet(f"{folder}/card_snapshots/run={run_id}")
-    order = F.lit(_snapshots(spark, folder).count()).cast("long").alias("number")
-    spark.range(1).select(order, F.lit(run_id).alias("run_id")).write.mode("append").parquet(f"{folder}/card_snapshot_log")
 
+def card_version(spark: SparkSession, folder: str, number: int | None = None) -> CardVersion:
+    """The current version of the cards with the files appended so far; or an earlier version as it was written."""
+    numbers = _published(spark, folder)
+    wanted = number if number is not None else max(numbers, default=0)
+    version = CardVersion()
+    if wanted:
+        named = json.loads(spark.read.text(_version_path(folder, wanted), wholetext=True).first()[0])
+        held = spark.read.schema("path string").parquet(f"{folder}/card_snapshots/{named['snapshot']}/held").collect()
+        version = CardVersion(wanted, named["run_id"], named["snapshot"], frozenset(r["path"] for r in held))
+    if number is not None:
+        return version
+    appended = tuple(f for f in _files(spark, f"{folder}/cards") if f not in version.held)
+    return CardVersion(version.number, version.run_id, version.snapshot, version.held, appended)
 
-def _snapshots(spark, folder):
-    """The snapshots in the order they were written: (number, run_id)."""
-    path = f"{folder}/card_snapshot_log"
-    schema = "number long, run_id string"
-    return spark.createDataFrame([], schema) if subfolders(spark, path) is None else spark.read.schema(schema).parquet(path)
+
+def load_cards(spark: SparkSession, folder: str, version: CardVersion) -> DataFrame:
+    """The cards that ``version`` holds, whatever was written since."""
+    appended = _read(spark, f"{folder}/cards", "cards", version.appended)
+    if version.snapshot is None:
+        return appended
+    base = spark.read.schema(TABLES["cards"]).parquet(f"{folder}/card_snapshots/{version.snapshot}/cards")
+    return base.unionByName(appended) if version.appended else base
+
+
+def write_snapshot(cards: DataFrame, folder: str, run_id: str, read: CardVersion) -> CardVersion:
+    """``cards``, made of what ``read`` holds, as the cards from now on; gives the new version.
+
+    Files appended since the read stay beside it. Raises SnapshotConflict if another version was
+    published since: read again and make the cards anew. A run that is tried again with the
+    same ``read`` after it had been published changes nothing.
+    """
+    spark = cards.sparkSession
+    _check(spark, folder, run_id, read)
+    name = uuid.uuid4().hex
+    place = f"{folder}/card_snapshots/{name}"
+    with_defaults(cards, TABLES["cards"], CARD_DEFAULTS).write.parquet(f"{place}/cards")
+    held = sorted({*read.held, *read.appended})
+    spark.createDataFrame([(f,) for f in held], "path string").coalesce(1).write.parquet(f"{place}/held")
+    done = _check(spark, folder, run_id, read)
+    if done is None:
+        done = _publish(spark, folder, CardVersion(read.number + 1, run_id, name, frozenset(held)), read)
+    return done
+
+
+def _check(spark, folder, run_id, read):
+    """The version that this run published from ``read`` before, None if there is nothing newer than ``read``."""
+    newest = max(_published(spark, folder), default=0)
+    if newest == read.number:
+        return None
+    after = card_version(spark, folder, read.number + 1) if newest > read.number else CardVersion()
+    if after.run_id != run_id:
+        raise SnapshotConflict(f"run {run_id} read version {read.number}, the cards are at version {newest}")
+    return after
+
+
+def _publish(spark, folder, version, read):
+    system, path = file_system(spark, _version_path(folder, version.number))
+    try:
+        out = system.create(path, False)
+    except Py4JJavaError as error:
+        if not system.exists(path):
+            raise
+        raise SnapshotConflict(f"run {version.run_id} read version {read.number}, another run has published the next one") from error
+    out.write(bytearray(json.dumps({"run_id": version.run_id, "snapshot": version.snapshot, "read": read.number}).encode()))
+    out.close()
+    return version
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> str | None:
-    """The run that wrote the last snapshot, None before the first."""
-    return _snapshots(spark, folder).agg(F.max_by("run_id", "number")).first()[0]
+    """The run that wrote the current version, None before the first."""
+    return card_version(spark, folder).run_id
 
 
 def load_snapshot(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
-    """The cards as run ``run_id`` left them."""
-    stored = spark.read.parquet(f"{folder}/card_snapshots/run={run_id}")
-    return with_defaults(stored, TABLES["cards"], CARD_DEFAULTS)
+    """The cards as run ``run_id`` left them; the last time, if it wrote several versions."""
+    for number in reversed(_published(spark, folder)):
+        version = card_version(spark, folder, number)
+        if version.run_id == run_id:
+            return load_cards(spark, folder, version)
+    raise ValueError(f"no snapshot of run {run_id}")

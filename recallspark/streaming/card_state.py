@@ -1,146 +1,41 @@
 """Card state kept up to date from a stream of self-grades.
 
-Per card the state is one small tuple. Each task first thins its reviews to the
-few that can matter (see ``operators.reviews.review_deltas`` for why these are
-enough), so a card with a third of the stream still sends only a handful of rows
-per Arrow batch to the task that holds its state.
-
-Reviews are applied in the order they arrive; within a micro-batch, by
-(reviewed_at, review_id). A late review is therefore folded in when it comes, and no
-watermark is needed.
+Each micro-batch is reduced to its deltas: per card the last grade that sets mastery, the 1-grades
+since, the last flag, the count and the last time (``operators.reviews.review_deltas``). Deltas of
+consecutive batches combine to the deltas of both, whatever the cards were before, so a
+micro-batch is one shuffle of its own reviews: it reads neither the cards nor earlier batches, and
+no state store holds a row per card. The cards meet the combined deltas when someone asks.
+
+Reviews are applied in the order they arrive; within a micro-batch, by (reviewed_at, review_id). A
+late review is therefore folded in when it comes, and no watermark is needed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.clock import moment_text
+from ..operators.reviews import HOT_REVIEWS, apply_deltas, review_deltas
 from ..session import subfolders
-from ..settings import GRADE_AGAIN, GRADE_FORGOT, GRADE_IGNORE, GRADE_KNOWN, MAX_MASTERY
-
-THINNED = "card_id long, reviewed_at timestamp_ntz, review_id long, grade int, reviews long, raises long"
-CARD_STATE = "card_id long, mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
-WRITTEN = "card_id long, mastery_level int, ignored int, review_count long, last_reviewed_at string, batch long"
-STORED = "card_id long, mastery_level int, ignored int, review_count long, last_reviewed_at string"
-STATE = "mastery_level int, ignored int, review_count long, last_at timestamp_ntz"
-
-RESETS = [GRADE_FORGOT, GRADE_KNOWN]
-FLAGS = [GRADE_IGNORE, GRADE_FORGOT, GRADE_AGAIN, GRADE_KNOWN]
-
-
-def thin(rows: pd.DataFrame, max_mastery: int = MAX_MASTERY) -> pd.DataFrame:
-    """The reviews that decide each card's end state; the last one carries the counts.
-
-    Kept per card: the last review, the last reset, the last grade that sets the
-    ignored flag and the latest ``max_mastery`` 1-grades. Thinning a union of thinned
-    parts gives the same as thinning the whole.
-    """
-    rows = rows.sort_values(["card_id", "reviewed_at", "review_id"], kind="stable", ignore_index=True)
-    card = rows["card_id"]
-    last = ~card.duplicated(keep="last")
-    keep = last.copy()
-    for grades in (RESETS, FLAGS):
-        chosen = rows[rows["grade"].isin(grades)]
-        keep[chosen.index[~chosen["card_id"].duplicated(keep="last")]] = True
-    raising = rows[rows["grade"] == GRADE_AGAIN]
-    keep[raising.groupby("card_id", sort=False).tail(max_mastery).index] = True
-    for counted in ("reviews", "raises"):
-        rows[counted] = rows[counted].groupby(card).transform("sum").where(last, 0)
-    return rows[keep]
-
-
-def thinned(reviews: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
-    """``reviews`` thinned within each Arrow batch, before they are shuffled."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield thin(batch, max_mastery)
-
-    weighted = reviews.select(
-        F.col("card_id").cast("long"),
-        F.col("reviewed_at").cast("timestamp_ntz"),
-        F.col("review_id").cast("long"),
-        F.col("grade").cast("int"),
-        F.lit(1).cast("long").alias("reviews"),
-        (F.col("grade") == GRADE_AGAIN).cast("long").alias("raises"),
-    )
-    return weighted.mapInPandas(run, THINNED)
-
-
-def folded(start: tuple, rows: pd.DataFrame, max_mastery: int = MAX_MASTERY) -> tuple:
-    """(mastery, ignored) of one card after its thinned reviews."""
-    mastery, ignored = start
-    # Without a reset all 1-grades count, also those thinned away.
-    raises = int(rows["raises"].sum())
-    reset_yet = False
-    for _, _, grade in sorted(zip(rows["reviewed_at"], rows["review_id"], rows["grade"])):
-        if grade in RESETS:
-            mastery, raises, reset_yet = (max_mastery if grade == GRADE_KNOWN else 0), 0, True
-        elif grade == GRADE_AGAIN and reset_yet:
-            raises += 1
-        if grade in FLAGS:
-            ignored = int(grade == GRADE_IGNORE)
-    return min(max_mastery, mastery + raises) if raises else mastery, ignored
-
-
-def card_states(reviews: DataFrame, cards: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
-    """A stream of updated card states; reviews of unknown cards have no effect.
+from ..settings import MAX_MASTERY
 
-    A card enters with its row in ``cards`` and lives in the state store from then on.
-    """
-    start = cards.select(
-        F.col("id").alias("card_id"),
-        F.coalesce("mastery_level", F.lit(0)).alias("start_mastery"),
-        F.coalesce("ignored", F.lit(0)).alias("start_ignored"),
-        # -1 stands for an unknown count, which stays unknown.
-        F.coalesce("review_count", F.lit(-1)).alias("start_count"),
-    )
-
-    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, first = None, None
-        for chunk in chunks:
-            first = chunk.iloc[0] if first is None else first
-            rows = chunk if rows is None else thin(pd.concat([rows, chunk]), max_mastery)
-        if state.exists:
-            mastery, ignored, count, _ = state.get
-        else:
-            mastery, ignored, count = int(first["start_mastery"]), int(first["start_ignored"]), int(first["start_count"])
-        mastery, ignored = folded((mastery, ignored), rows, max_mastery)
-        count = count if count == -1 else count + int(rows["reviews"].sum())
-        last_at = rows["reviewed_at"].max().to_pydatetime()
-        state.update((mastery, ignored, count, last_at))
-        yield pd.DataFrame({
-            "card_id": [key[0]], "mastery_level": [mastery], "ignored": [ignored],
-            "review_count": [count], "last_at": [last_at],
-        })
-
-    states = (
-        thinned(reviews, max_mastery)
-        .join(start, "card_id")
-        .groupBy("card_id")
-        .applyInPandasWithState(update, CARD_STATE, STATE, "update", GroupStateTimeout.NoTimeout)
-    )
-    return states.select(
-        "card_id", "mastery_level", "ignored",
-        F.when(F.col("review_count") >= 0, F.col("review_count")).alias("review_count"),
-        moment_text(F.col("last_at")).alias("last_reviewed_at"),
-    )
+WRITTEN = "card_id long, reviews long, last_at timestamp_ntz, base int, raises long, flag int"
 
 
-def write_states(states: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each micro-batch's states to its own folder; a replayed batch replaces its own."""
+def write_deltas(reviews: DataFrame, out: str, checkpoint: str, max_mastery: int = MAX_MASTERY,
+                 hot_reviews: int | None = HOT_REVIEWS, **trigger) -> StreamingQuery:
+    """Write each micro-batch's deltas to its own folder; a replayed batch replaces its own."""
+    graded = reviews.select(
+        F.col("card_id").cast("long"), F.col("reviewed_at").cast("timestamp_ntz"),
+        F.col("review_id").cast("long"), F.col("grade").cast("int"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        deltas = review_deltas(batch, max_mastery, hot_reviews)
+        typed = deltas.select(*[F.col(c).cast(t).alias(c) for c, t in (f.strip().split(" ") for f in WRITTEN.split(","))])
+        typed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        states.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        graded.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(save).trigger(**(trigger or {"availableNow": True})).start()
     )
 
@@ -150,47 +45,61 @@ def _numbered_folders(spark, out, prefix):
 
 
 def _written(spark, out):
-    """The last compaction and the batches after it: (frame or None, last batch)."""
+    """The last compaction and the batches after it: (frame with the number of the batch, last number)."""
     upto = max(_numbered_folders(spark, out, "upto="), default=-1)
     batches = [b for b in _numbered_folders(spark, out, "batch=") if b > upto]
-    frames = [spark.read.schema(STORED).parquet(f"{out}/upto={upto}").withColumn("batch", F.lit(upto).cast("long"))] if upto >= 0 else []
+    numbered = f"{WRITTEN}, batch long"
+    frame = spark.createDataFrame([], numbered)
+    if upto >= 0:
+        frame = frame.unionByName(spark.read.schema(WRITTEN).parquet(f"{out}/upto={upto}").withColumn("batch", F.lit(upto).cast("long")))
     if batches:
-        paths = [f"{out}/batch={b}" for b in batches]
-        frames.append(spark.read.schema(WRITTEN).option("basePath", out).parquet(*paths))
-    return (reduce(DataFrame.unionByName, frames) if frames else None), max([upto, *batches])
+        frame = frame.unionByName(spark.read.schema(numbered).option("basePath", out).parquet(*[f"{out}/batch={b}" for b in batches]))
+    return frame, max([upto, *batches])
 
 
-def latest_states(spark: SparkSession, out: str) -> DataFrame:
-    """One row per card that has been reviewed: its state after the last batch it was in.
+def _combined(deltas: DataFrame) -> DataFrame:
+    """The deltas of all batches as those of one.
 
-    Reads the last compaction and the batches written since.
+    A card has one row per batch, so what is listed per card is bounded by the batches since
+    the last compaction.
     """
-    columns = ["mastery_level", "ignored", "review_count", "last_reviewed_at"]
-    written, _ = _written(spark, out)
-    if written is None:
-        written = spark.createDataFrame([], WRITTEN)
-    return (
-        written.groupBy("card_id").agg(F.max_by(F.struct(*columns), F.col("batch").cast("long")).alias("latest"))
-        .select("card_id", "latest.*")
+    resets, flags = F.col("base").isNotNull(), F.col("flag").isNotNull()
+    summed = deltas.groupBy("card_id").agg(
+        F.sum("reviews").alias("reviews"),
+        F.max_by("last_at", "batch").alias("last_at"),
+        F.max_by("base", F.when(resets, F.col("batch"))).alias("base"),
+        F.max(F.when(resets, F.col("batch"))).alias("reset_batch"),
+        F.max_by("flag", F.when(flags, F.col("batch"))).alias("flag"),
+        F.collect_list(F.when(F.col("raises") > 0, F.struct("batch", "raises"))).alias("raising"),
     )
+    since = F.filter("raising", lambda x: F.col("reset_batch").isNull() | (x["batch"] >= F.col("reset_batch")))
+    return summed.select(
+        "card_id", "reviews", "last_at", "base",
+        F.aggregate(since, F.lit(0).cast("long"), lambda total, x: total + x["raises"]).alias("raises"), "flag")
 
 
-def compact_states(spark: SparkSession, out: str) -> None:
-    """Writes the latest states of all batches so far as one table, which ``latest_states`` reads from then on.
+def merged_deltas(spark: SparkSession, out: str) -> DataFrame:
+    """What all batches so far do to each card: the last compaction and the batches since, combined."""
+    return _combined(_written(spark, out)[0])
+
+
+def compact_deltas(spark: SparkSession, out: str) -> None:
+    """Writes the combined deltas of all batches so far as one table, which is read instead from then on.
 
     Run it now and then, not while a batch is being written; the batches it covers may be deleted.
     """
-    _, last = _written(spark, out)
+    written, last = _written(spark, out)
     if last >= 0 and last not in _numbered_folders(spark, out, "upto="):
-        latest_states(spark, out).write.parquet(f"{out}/upto={last}")
-
-
-def updated_cards(cards: DataFrame, states: DataFrame) -> DataFrame:
-    """The card table with the streamed states in place of the old columns."""
-    latest = states.select(F.col("card_id").alias("id"), F.struct(
-        "mastery_level", "ignored", "review_count", "last_reviewed_at").alias("latest"))
-    names = ["mastery_level", "ignored", "review_count", "last_reviewed_at"]
-    return cards.join(latest, "id", "left").select(*[
-        F.when(F.col("latest").isNotNull(), F.col(f"latest.{c}")).otherwise(cards[c]).alias(c) if c in names else cards[c]
-        for c in cards.columns
-    ])
+        _combined(written).write.parquet(f"{out}/upto={last}")
+
+
+def updated_cards(spark: SparkSession, out: str, cards: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
+    """The card table after all batches so far. ``cards`` is the table as it was before the stream."""
+    return apply_deltas(cards, merged_deltas(spark, out), max_mastery)
+
+
+def latest_states(spark: SparkSession, out: str, cards: DataFrame, max_mastery: int = MAX_MASTERY) -> DataFrame:
+    """One row per card of ``cards`` that has been reviewed: its state after the last batch it was in."""
+    deltas = merged_deltas(spark, out)
+    start = cards.select("id", "mastery_level", "ignored", "review_count", "last_reviewed_at")
+    return apply_deltas(start, deltas, max_mastery, how="inner").withColumnRenamed("id", "card_id")

@@ -109,7 +109,7 @@ def test_progress_aggregates_before_it_joins(stored, capsys):
 
 
 def test_deltas_cut_hot_cards_before_the_shuffle(spark, capsys):
-    shown = plan(reviews.review_deltas(study.reviews(spark, FOLDER)), capsys)
+    shown = plan(reviews._gathered_deltas(study.reviews(spark, FOLDER)), capsys)
     assert re.search(r"WindowGroupLimit .*Final.*WindowGroupLimit .*Partial", shown, re.S)
 
 

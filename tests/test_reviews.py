@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 from itertools import product
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,46 +120,73 @@ def test_other_top_mastery(spark):
     assert R.review_history(cards, reviews, max_mastery=8).agg(F.max("mastery_level")).first()[0] == 8
 
 
-def test_thinning_keeps_what_matters():
-    for seed in range(20):
-        rows, reviews = random_case(seed, n=200, cards=5)
-        pdf = pd.DataFrame(reviews, columns=["review_id", "card_id", "reviewed_at", "grade"])
-        pdf["reviews"], pdf["raises"] = 1, (pdf["grade"] == 1).astype(int)
-        parts = pd.concat([S.thin(pdf.iloc[i::4].copy()) for i in range(4)])
-        assert len(parts) <= 4 * pdf["card_id"].nunique() * 8
-        whole = S.thin(parts.copy())
-        assert whole.reset_index(drop=True).equals(S.thin(pdf.copy()).reset_index(drop=True))
-        state, _ = fold(rows, reviews)
-        for c in rows:
-            mine = parts[parts["card_id"] == c[0]]
-            if len(mine):
-                assert S.folded((c[7] or 0, c[8] or 0), mine) == state[c[0]][:2]
-
-
-@pytest.mark.parametrize("batches", [1, 3])
-def test_stream_is_the_fold(spark, tmp_path, batches):
-    rows, reviews = random_case(5)
-    reviews.sort(key=lambda r: (r[2], r[0]))
-    cards = spark.createDataFrame(rows, CARDS)
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("hot_reviews", [None, 7, 60])
+def test_deltas_with_and_without_hot_cards(spark, seed, hot_reviews):
+    """Hot cards are gathered, others ordered; reviews without a card change nothing."""
+    rows, reviews = random_case(seed)
+    reviews += [(10_000 + i, None, START, 2) for i in range(100)]
+    cards = R.apply_reviews(spark.createDataFrame(rows, CARDS), spark.createDataFrame(reviews, REVIEWS), hot_reviews=hot_reviews)
+    got = {r.id: (r.mastery_level, r.ignored, r.review_count, r.last_reviewed_at) for r in cards.collect()}
+    assert got == fold(rows, reviews)[0]
+
+
+def drained(spark, tmp_path, rows, reviews, batches, between=lambda out: None, **options):
+    """``reviews`` in so many files, each streamed by a query of its own; gives the folder of deltas."""
     size = -(-len(reviews) // batches)
     source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(REVIEWS).option("maxFilesPerTrigger", 1).parquet(source)
     for i in range(batches):
         spark.createDataFrame(reviews[i * size:(i + 1) * size], REVIEWS).coalesce(1).write.mode("append").parquet(source)
-        # A stopped and restarted query goes on from its state.
-        S.write_states(S.card_states(stream, cards), out, checkpoint).awaitTermination()
-    before = sorted(tuple(r) for r in S.latest_states(spark, out).collect())
+        # A stopped and restarted query goes on where it was.
+        S.write_deltas(stream, out, checkpoint, **options).awaitTermination()
+        between(out)
+    return out
+
+
+def states(spark, out, cards):
+    return {r.card_id: tuple(r)[1:] for r in S.latest_states(spark, out, cards).select(
+        "card_id", "mastery_level", "ignored", "review_count", "last_reviewed_at").collect()}
+
+
+@pytest.mark.parametrize("batches,compacted,hot_reviews", [(1, False, None), (5, False, None), (5, True, 20)])
+def test_stream_is_the_fold(spark, tmp_path, batches, compacted, hot_reviews):
+    rows, reviews = random_case(5)
+    reviews.sort(key=lambda r: (r[2], r[0]))
+    cards = spark.createDataFrame(rows, CARDS)
+    out = drained(spark, tmp_path, rows, reviews, batches, (lambda o: S.compact_deltas(spark, o)) if compacted else (lambda o: None),
+                  hot_reviews=hot_reviews)
+    state, _ = fold(rows, reviews)
+    reviewed = {r[1] for r in reviews}
+    wanted = {i: x for i, x in state.items() if i in reviewed}
+    assert states(spark, out, cards) == wanted
     for _ in range(2):
-        S.compact_states(spark, out)
-        assert sorted(tuple(r) for r in S.latest_states(spark, out).collect()) == before
-    updated = S.updated_cards(cards, S.latest_states(spark, out))
-    got = {r.id: (r.mastery_level, r.ignored, r.review_count, r.last_reviewed_at) for r in updated.collect()}
-    assert got == fold(rows, reviews)[0]
+        S.compact_deltas(spark, out)
+        assert states(spark, out, cards) == wanted
+    updated = S.updated_cards(spark, out, cards)
+    assert {r.id: (r.mastery_level, r.ignored, r.review_count, r.last_reviewed_at) for r in updated.collect()} == state
+
+
+def test_late_reviews_count_when_they_come(spark, tmp_path):
+    """A batch of older reviews comes after; it is applied after, as by hand."""
+    rows = [card(1, mastery=3, count=0, last=None)]
+    batches = [[(1, 1, START + timedelta(days=2), 0), (2, 1, START + timedelta(days=3), 1)], [(3, 1, START, 2), (4, 1, START, -1)]]
+    out = drained(spark, tmp_path, rows, batches[0] + batches[1], 2)
+    assert states(spark, out, spark.createDataFrame(rows, CARDS)) == {1: (5, 1, 4, "2024-01-01 00:00:00")}
+
+
+def test_a_batch_reads_only_its_reviews(spark, tmp_path, capsys):
+    """No Python, no cards, no aggregation by sorting: one scan, one shuffle."""
+    spark.createDataFrame(random_case(1)[1], REVIEWS).write.parquet(f"{tmp_path}/r")
+    capsys.readouterr()
+    R.review_deltas(spark.read.parquet(f"{tmp_path}/r")).explain()
+    shown = capsys.readouterr().out
+    assert shown.count("FileScan") == shown.count("Exchange hashpartitioning") == 1
+    assert "SortAggregate" not in shown and "Python" not in shown and "Pandas" not in shown
 
 
 def test_stream_that_has_written_nothing(spark, tmp_path):
-    states = S.latest_states(spark, str(tmp_path / "none"))
-    assert states.isEmpty()
     cards = spark.createDataFrame([card(1)], CARDS)
-    assert [tuple(r) for r in S.updated_cards(cards, states).collect()] == [card(1)]
+    assert S.latest_states(spark, str(tmp_path / "none"), cards).isEmpty()
+    assert [tuple(r) for r in S.updated_cards(spark, str(tmp_path / "none"), cards).collect()] == [card(1)]

@@ -1,5 +1,6 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallspark.operators.imports import new_log_rows
@@ -70,13 +71,43 @@ def test_logs_have_one_layout(spark, tmp_path, as_of):
     assert sorted(r.id for r in new.collect()) == [8, 9]
 
 
+def test_logs_of_any_text(spark, tmp_path, as_of, capsys):
+    folder = str(tmp_path)
+    texts = ["never", "2024-1-5 09:00:00", None, "", "2024-02-30 08:00:00", "2024-01-15", "2024-01-15T09:00:00Z", "2024-01-15 25:00", "a/b=c%d",
+             "20240115", "2024-01-14 23:59:59"]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    storage.append_logs(spark.createDataFrame(rows, RECOMMENDATION_LOGS), folder)
+    assert sorted(tuple(r) for r in storage.load_logs(spark, folder).collect()) == rows
+    today = storage.load_logs(spark, folder, as_of.date())
+    assert sorted(r.id for r in today.collect()) == [5, 6, 7]
+    assert recommendations_on_day(today, as_of).first()[0] == recommendations_on_day(storage.load_logs(spark, folder), as_of).first()[0] == 2
+    # Folders of days that are none, as older appends left them, are readable too.
+    spark.createDataFrame([(90, 1, "never")], RECOMMENDATION_LOGS).write.parquet(f"{folder}/recommendation_logs/day=never")
+    assert storage.load_logs(spark, folder).count() == len(rows) + 1
+    capsys.readouterr()
+    today.explain()
+    assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
+
+
+def test_files_of_different_columns_in_one_folder(spark, tmp_path):
+    """Each file is read with its own columns, whichever comes first."""
+    folder = str(tmp_path)
+    frames = [spark.createDataFrame([card(1, ignored=1)], CARDS), spark.createDataFrame([card(2)], CARDS).drop("ignored"),
+              spark.createDataFrame([card(3, ignored=None)], CARDS), spark.createDataFrame([card(4)], CARDS).drop("ignored", "review_count")]
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/cards")
+    storage.append_rows(spark.createDataFrame([card(5, ignored=1)], CARDS), folder, "cards")
+    loaded = {r.id: (r.ignored, r.review_count) for r in storage.load_table(spark, folder, "cards").collect()}
+    assert {i: x[0] for i, x in loaded.items()} == {1: 1, 2: 0, 3: None, 4: 0, 5: 1} and loaded[4][1] == 0
+
+
 def test_the_last_snapshot_is_the_card_table(spark, tmp_path):
     folder = str(tmp_path)
     storage.append_rows(spark.createDataFrame([card(1), card(2)], CARDS), folder, "cards")
     assert storage.current_snapshot(spark, folder) is None
     for run, mastery in (("day1", 3), ("day2", 4)):
-        cards = storage.load_table(spark, folder, "cards").withColumn("mastery_level", F.lit(mastery))
-        storage.write_snapshot(cards, folder, run)
+        read = storage.load_tables(spark, folder)
+        storage.write_snapshot(read["cards"].withColumn("mastery_level", F.lit(mastery)), folder, run, read.card_version)
         storage.append_rows(spark.createDataFrame([card(mastery * 10, mastery=0)], CARDS), folder, "cards")
     assert storage.current_snapshot(spark, folder) == "day2"
     loaded = {r.id: r.mastery_level for r in storage.load_tables(spark, folder)["cards"].collect()}
@@ -84,6 +115,60 @@ def test_the_last_snapshot_is_the_card_table(spark, tmp_path):
     assert {r.id: r.mastery_level for r in storage.load_snapshot(spark, folder, "day1").collect()} == {1: 3, 2: 3}
 
 
+def _levels(spark, folder):
+    return {r.id: r.mastery_level for r in storage.load_table(spark, folder, "cards").collect()}
+
+
+def test_cards_appended_while_a_snapshot_is_made(spark, tmp_path):
+    folder = str(tmp_path)
+    storage.append_rows(spark.createDataFrame([card(1, mastery=1)], CARDS), folder, "cards")
+    for late, run in ((2, "a"), (3, "b")):
+        read = storage.load_tables(spark, folder)
+        storage.append_rows(spark.createDataFrame([card(late, mastery=1)], CARDS), folder, "cards")
+        storage.write_snapshot(read["cards"].withColumn("mastery_level", F.lit(5)), folder, run, read.card_version)
+    assert _levels(spark, folder) == {1: 5, 2: 5, 3: 1}
+
+
+def test_a_run_tried_again(spark, tmp_path):
+    """A retried job changes nothing; a run of the same name on what is there now is a new version."""
+    folder = str(tmp_path)
+    storage.append_rows(spark.createDataFrame([card(1, mastery=1)], CARDS), folder, "cards")
+    read = storage.load_tables(spark, folder)
+    raised = read["cards"].withColumn("mastery_level", F.col("mastery_level") + 1)
+    versions = [storage.write_snapshot(raised, folder, "day", read.card_version) for _ in range(2)]
+    assert versions[0] == versions[1] and _levels(spark, folder) == {1: 2}
+    for level in (3, 4):
+        again = storage.load_tables(spark, folder)
+        storage.write_snapshot(again["cards"].withColumn("mastery_level", F.col("mastery_level") + 1), folder, "day", again.card_version)
+        assert _levels(spark, folder) == {1: level}
+    assert {r.mastery_level for r in storage.load_snapshot(spark, folder, "day").collect()} == {4}
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two snapshots of the same read one is published, the other changes nothing; also if both pass the check."""
+    folder = str(tmp_path)
+    storage.append_rows(spark.createDataFrame([card(1, mastery=1)], CARDS), folder, "cards")
+    read = storage.load_tables(spark, folder)
+    cards = read["cards"]
+    storage.write_snapshot(cards.withColumn("mastery_level", F.lit(2)), folder, "first", read.card_version)
+    with pytest.raises(storage.SnapshotConflict):
+        storage.write_snapshot(cards.withColumn("mastery_level", F.lit(3)), folder, "second", read.card_version)
+    monkeypatch.setattr(storage, "_check", lambda *a: None)
+    with pytest.raises(storage.SnapshotConflict):
+        storage.write_snapshot(cards.withColumn("mastery_level", F.lit(4)), folder, "third", read.card_version)
+    assert _levels(spark, folder) == {1: 2} and storage.current_snapshot(spark, folder) == "first"
+    # What an earlier read holds can still be read.
+    assert {r.mastery_level for r in storage.load_cards(spark, folder, read.card_version).collect()} == {1}
+
+
+def test_a_version_without_content_is_none(spark, tmp_path):
+    folder = str(tmp_path)
+    storage.append_rows(spark.createDataFrame([card(1, mastery=1)], CARDS), folder, "cards")
+    (tmp_path / "card_versions").mkdir()
+    (tmp_path / "card_versions" / "000000000001").touch()
+    assert storage.card_version(spark, folder).number == 0 and _levels(spark, folder) == {1: 1}
+
+
 def test_a_day_on_storage(spark, tmp_path, as_of):
     """Queue, log, grade, snapshot; repeating a step changes nothing."""
     folder = str(tmp_path)
@@ -99,10 +184,10 @@ def test_a_day_on_storage(spark, tmp_path, as_of):
     more = plan_day(cards, subjects, storage.load_logs(spark, folder), as_of, daily_limit=4)
     assert [(r.position, r.id) for r in more.queue.collect()] == [(1, 2)]
 
-    cards = spark.createDataFrame(cards.collect(), CARDS)
+    read = storage.card_version(spark, folder)
     reviews = spark.createDataFrame([(i, c, START, g) for i, (c, g) in enumerate(zip(shown, (2, 1, -1)))], REVIEWS)
     for _ in range(2):
-        storage.write_snapshot(close_day(cards, reviews), folder, "2024-01-15")
+        storage.write_snapshot(close_day(cards, reviews), folder, "2024-01-15", read)
     after = {r.id: (r.mastery_level, r.ignored) for r in storage.load_snapshot(spark, folder, "2024-01-15").collect()}
     assert after[5] == (5, 0) and after[1] == (2, 0) and after[6] == (1, 1) and after[2] == (2, 0) and len(after) == 8
 
