@@ -4,8 +4,10 @@ Two codebooks, learned independently on the two halves of a bounded sample of un
 a grid of cells; every vector lives in the cell of its nearest codewords. A vector visits the
 cells of the grid in order of a lower bound on the distance to anything in them, merging the two
 halves' sorted lists (multi-sequence traversal), until the bound passes a radius. The radius is
-the one that reached the target recall for a sample of vectors compared with all others. Whatever
-shares a visited cell is verified by its cosine.
+the one that reached the target recall for a sample of vectors compared with all others, every
+vector with links counting alike and no cell of the grid supplying most of the sample; and at least
+the one that reaches it where the differences of linked vectors point in random directions, so
+that it does not rest on a few links. Whatever shares a visited cell is verified by its cosine.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from .components import components, forest
 
 COSINE = 0.93
 TARGET_RECALL = 0.9999
-# Vectors that train the codebooks, and vectors compared with all others for the radius.
-TRAINING_VECTORS, CALIBRATION_VECTORS = 4096, 256
-CODEWORDS_LEAST, CODEWORDS_MOST, VECTORS_PER_CELL = 8, 64, 1000
+# Vectors that train the codebooks (at least, and for each codeword), and vectors compared with all others for the radius.
+TRAINING_VECTORS, TRAINING_PER_CODEWORD, CALIBRATION_VECTORS = 4096, 16, 1024
+# Codewords of a half grow with the root of the number of vectors; the most are enough for 16 billion.
+CODEWORDS_LEAST, CODEWORDS_MOST, VECTORS_PER_CELL = 8, 4096, 1000
+# Sample vectors with links below which the radius misses none.
+LINKED_LEAST = 16
 TRAINING_ROUNDS = 8
 # Vectors on either side of one comparison.
 BLOCK = 2048
@@ -54,11 +59,13 @@ class MultiIndex:
         """Per half the squared lower bounds to every codeword's region, and the home cells."""
         found, home = [], []
         for half, book in zip(self.halves(units), self.books):
-            d = np.maximum((half * half).sum(1)[:, None] - 2 * half @ book.T + (book * book).sum(1)[None, :], 0)
+            squares = (book * book).sum(1)
+            d = np.maximum((half * half).sum(1)[:, None] - 2 * half @ book.T + squares[None, :], 0)
             near = d.argmin(1)
-            gaps = np.sqrt(np.maximum(((book[:, None] - book[None, :]) ** 2).sum(2), 1e-30))
+            own = book[near]
+            gaps = np.sqrt(np.maximum(squares[near][:, None] - 2 * own @ book.T + squares[None, :], 1e-30))
             # A point nearer to codeword i lies beyond the plane halfway between i and the nearest one.
-            low = (d - d[np.arange(len(d)), near][:, None]) / (2 * gaps[near])
+            low = (d - d[np.arange(len(d)), near][:, None]) / (2 * gaps)
             found.append(np.where(np.arange(len(book))[None, :] == near[:, None], 0, np.maximum(low, 0)) ** 2)
             home.append(near)
         return found, home[0] * len(self.books[1]) + home[1]
@@ -105,9 +112,9 @@ def _units(vectors: DataFrame) -> DataFrame:
 
         return row
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                           F.col("embedding").cast("array<double>").alias("embedding"))
-    return map_rows(rows, start, "vec_id long, label long, dimension int, hi long, lo long, unit binary")
+    return map_rows(rows, start, "vec_id long, label string, dimension int, hi long, lo long, unit binary")
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
@@ -120,58 +127,83 @@ def codebook(points: np.ndarray, size: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     book = points[rng.choice(len(points), size=min(size, len(points)), replace=False)]
     for _ in range(TRAINING_ROUNDS):
-        near = ((points[:, None] - book[None]) ** 2).sum(2).argmin(1) if len(points) * len(book) < 1 << 16 else (
-            (book * book).sum(1)[None, :] - 2 * points @ book.T).argmin(1)
+        squares = (book * book).sum(1)[None, :]
+        near = np.concatenate([(squares - 2 * points[at:at + 1024] @ book.T).argmin(1) for at in range(0, len(points), 1024)])
         book = np.stack([points[near == i].mean(0) if (near == i).any() else book[i] for i in range(len(book))])
     return np.unique(book, axis=0)
 
 
 def build(classes: DataFrame, dimension: int, count: int) -> MultiIndex:
-    """Codebooks from at most TRAINING_VECTORS of ``classes`` (vec_id, label, unit)."""
-    sample = bounded_sample(classes.withColumn("all", F.lit(1)), "all", TRAINING_VECTORS, key=("vec_id", "label"))
-    got = _matrix([bytes(r["unit"]) for r in sorted(sample.select("_pick", "unit").collect())])
+    """Codebooks from a sample of ``classes`` (vec_id, label, unit), whose size follows that of the codebooks."""
     size = int(np.clip((count / VECTORS_PER_CELL) ** 0.5, CODEWORDS_LEAST, CODEWORDS_MOST))
+    most = max(TRAINING_VECTORS, TRAINING_PER_CODEWORD * size)
+    sample = bounded_sample(classes.withColumn("all", F.lit(1)), "all", most, key=("vec_id", "label"))
+    got = _matrix([bytes(r["unit"]) for r in sorted(sample.select("_pick", "unit").collect())])
     cut = dimension // 2
     return MultiIndex(dimension, (codebook(got[:, :cut], size, 1), codebook(got[:, cut:], size, 2)))
 
 
+def _probes(index: MultiIndex, classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, ids, units) of at most CALIBRATION_VECTORS vectors, no more than two of one label's cell while others are left."""
+    sample = bounded_sample(classes.withColumn("all", F.lit(1)), "all", 4 * CALIBRATION_VECTORS, key=("label", "vec_id"))
+    got = sorted(sample.select("_pick", "label", "vec_id", "unit").collect())
+    labels, ids, units = np.array([r["label"] for r in got]), np.array([r["vec_id"] for r in got]), _matrix([bytes(r["unit"]) for r in got])
+    _, home = index.bounds(units)
+    turn, seen = [], {}
+    for place in zip(labels.tolist(), home.tolist()):
+        seen[place] = seen.get(place, 0) + 1
+        turn.append(seen[place])
+    first = np.argsort(np.maximum(turn, 2), kind="stable")[:CALIBRATION_VECTORS]
+    return labels[first], ids[first], units[first]
+
+
 def calibrate(index: MultiIndex, classes: DataFrame, cosine: float, recall: float) -> MultiIndex:
-    """Sets the radius at which a sample of vectors meets ``recall`` of its links among all vectors.
+    """Sets the radius at which sample vectors meet ``recall`` of their links among all vectors, on average over those with links.
 
     The sample has at most CALIBRATION_VECTORS vectors and is sent to every task, which answers
-    with counts per step of the radius. Without a link the radius is the one that misses none.
+    with counts per vector and step of the radius. If the differences of linked vectors point
+    anywhere, the squared part of one that crosses a cell's two planes is that of two out of
+    ``dimension`` normal components; a radius for these is the least taken. With fewer than
+    LINKED_LEAST linked vectors in the sample the radius is the one that misses none.
     """
     spark = classes.sparkSession
     # Unit vectors of that cosine are no farther apart than this, squared.
     most = 2 - 2 * cosine
-    sample = bounded_sample(classes.withColumn("all", F.lit(1)), "all", CALIBRATION_VECTORS, key=("label", "vec_id"))
-    got = sorted(sample.select("_pick", "label", "vec_id", "unit").collect())
-    probes = (np.array([r["label"] for r in got]), np.array([r["vec_id"] for r in got]), _matrix([bytes(r["unit"]) for r in got]))
+    probes = _probes(index, classes)
     shared = broadcast_object(spark, (index, probes))
-    schema = schema_of("step int, n long")
+    schema = schema_of("probe int, step int, n long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (labels, ids, units) = pickle.loads(shared.value)
         (first, second), _ = own.bounds(units)
-        counts = np.zeros(RADII + 1, dtype=np.int64)
+        counts = np.zeros((len(ids), RADII + 1), dtype=np.int64)
         for batch in batches:
             for part in slices(batch):
                 rows = part.to_pydict()
                 others = _matrix(rows["unit"])
+                p, q = np.nonzero(units @ others.T >= cosine)
+                same = (labels[p] == np.array(rows["label"])[q]) & (ids[p] != np.array(rows["vec_id"])[q])
+                p, q = p[same], q[same]
+                if not len(p):
+                    continue
                 _, home = own.bounds(others)
-                linked = (units @ others.T >= cosine) & (labels[:, None] == np.array(rows["label"])[None, :]) & (ids[:, None] != np.array(rows["vec_id"])[None, :])
-                p, q = np.nonzero(linked)
                 need = first[p, home[q] // len(own.books[1])] + second[p, home[q] % len(own.books[1])]
-                counts += np.bincount(np.minimum(np.ceil(need / most * RADII), RADII).astype(int), minlength=RADII + 1)
-        yield record_batch([(i, int(n)) for i, n in enumerate(counts) if n], arrow)
-
-    counts = np.zeros(RADII + 1)
-    for r in classes.select("label", "vec_id", "unit").mapInArrow(run, schema).groupBy("step").agg(F.sum("n").alias("n")).collect():
-        counts[r["step"]] = r["n"]
-    step = int(np.searchsorted(np.cumsum(counts), recall * counts.sum())) if counts.sum() else RADII
-    # One step more than the sample needed.
-    index.radius = most * min(RADII, step + 1) / RADII * (1 + 1e-9)
+                np.add.at(counts, (p, np.minimum(np.ceil(need / most * RADII), RADII).astype(int)), 1)
+        yield record_batch([(int(p), int(i), int(counts[p, i])) for p, i in zip(*np.nonzero(counts))], arrow)
+
+    counts = np.zeros((len(probes[1]), RADII + 1))
+    found = classes.select("label", "vec_id", "unit").mapInArrow(run, schema)
+    for r in found.groupBy("probe", "step").agg(F.sum("n").alias("n")).collect():
+        counts[r["probe"], r["step"]] = r["n"]
+    linked = counts[counts.sum(axis=1) > 0]
+    share = 1.0
+    if len(linked) >= LINKED_LEAST and recall < 1:
+        met = (np.cumsum(linked, axis=1) / linked.sum(axis=1)[:, None]).mean(axis=0)
+        # One step more than the sample needed.
+        sampled = (int(np.argmax(met >= recall)) + 1) / RADII
+        share = min(1.0, max(sampled, -2 * np.log(1 - recall) / index.dimension))
+    index.radius = most * share * (1 + 1e-9)
     return index
 
 
@@ -189,7 +221,7 @@ def _placed(index: MultiIndex, classes: DataFrame) -> DataFrame:
         return row
 
     return map_rows(classes.select("vec_id", "label", "size", "unit"), start,
-                    "vec_id long, label long, size long, unit binary, home int, cells array<int>")
+                    "vec_id long, label string, size long, unit binary, home int, cells array<int>")
 
 
 def _compared(placed: DataFrame, cosine: float) -> DataFrame:
@@ -229,7 +261,7 @@ def _compared(placed: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = TARGET_RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label).
 
-    Vectors of equal label are linked from ``cosine`` on. n_links counts the other vectors linked
+    Vectors of equal label (of any type that has a text form) are linked from ``cosine`` on. n_links counts the other vectors linked
     directly; component_id is the smallest vec_id that links reach. A row without vec_id or label,
     or whose vector is null, empty, zero or holds null or non-finite numbers, is linked with
     nothing (0 links, its own component); vectors of different lengths are not linked. Equal
