@@ -33,8 +33,9 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 # 30 bands of 5 coordinates: a pair of similarity 0.8 shares no band with probability 7 in a million.
 BANDS, BAND_ROWS = 30, 5
-# Documents a task of the last comparison holds: rows to settle, and columns to compare them with.
+# Documents a task of the last comparison holds: rows to settle, and columns to compare them with; and their shingles.
 ROW_BLOCK, COLUMN_BLOCK = 512, 4096
+ROW_SHINGLES, COLUMN_SHINGLES = 1 << 20, 1 << 22
 VOCABULARY_BLOCK = 2048
 
 
@@ -72,41 +73,59 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_name(items: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set of shingles."""
+    return struct.unpack("<qq", hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+
+
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
     def start():
         def row(doc_id, text):
             items = shingles(text, size)
             if not len(items):
                 return doc_id, 0, None, None, None
-            hi, lo = struct.unpack("<qq", hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-            return doc_id, len(items), hi, lo, band_keys(sketch(items, BANDS * BAND_ROWS)).tolist()
+            return doc_id, len(items), *set_name(items), band_keys(sketch(items, BANDS * BAND_ROWS)).tolist()
 
         return row
 
     return map_rows(texts(docs), start, "doc_id long, n_shingles long, hi long, lo long, bands array<long>")
 
 
+def _full(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(node, text): a text of every needed set (doc_id, hi, lo, node), found by an id that has it."""
+    def start():
+        def row(doc_id, text):
+            items = shingles(text, size)
+            return doc_id, text, *(set_name(items) if len(items) else (None, None))
+
+        return row
+
+    held = texts(docs).join(small_side(needed.select("doc_id").distinct()), "doc_id", "left_semi")
+    named = map_rows(held, start, "doc_id long, text binary, hi long, lo long")
+    return named.join(small_side(needed), ["doc_id", "hi", "lo"]).select("node", "text").dropDuplicates(["node"])
+
+
 def _led_pairs(rows: DataFrame) -> DataFrame:
-    """(leader, member): documents that share a band with a better connected one."""
-    bands = rows.select("doc_id", F.explode("bands").alias("band"))
+    """(leader, member): sets that share a band with a better connected one."""
+    bands = rows.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(bands.join(shared, "band"))
-    degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     leaders = (
-        met.join(degree, "doc_id").groupBy("band")
-        .agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("best"))
+        met.join(degree, "node").groupBy("band")
+        .agg(F.max(F.struct("degree", (-F.col("node")).alias("id"))).alias("best"))
         .select("band", (-F.col("best.id")).alias("leader"))
     )
     return (
-        met.join(leaders, "band").where("doc_id != leader")
-        .select("leader", F.col("doc_id").alias("member")).distinct()
+        met.join(leaders, "band").where("node != leader")
+        .select("leader", F.col("node").alias("member")).distinct()
     )
 
 
 def _verified(pairs: DataFrame, full: DataFrame, size: int) -> DataFrame:
     """The pairs with the sizes of their full sets' intersection and union."""
-    side = full.select(F.col("doc_id").alias("member"), F.col("text").alias("member_text"))
-    lead = full.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text"))
+    side = full.select(F.col("node").alias("member"), F.col("text").alias("member_text"))
+    lead = full.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
 
     def start():
         last: tuple = (None, None)
@@ -134,18 +153,21 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     """
     step = 100 - PERCENT
     ring = F.expr(f"int(greatest(((total - inter) * 100 + total * {step} - 1) div (total * {step}) - 1, 0))")
-    placed = pairs.select("leader", "member", ring.alias("ring"))
-    rows = placed.where("ring > 0").select("leader", "member", F.col("ring").alias("task"), F.lit(True).alias("is_row"), "ring")
+    # A member has at most as many shingles as the union with its leader.
+    placed = pairs.select("leader", "member", ring.alias("ring"), F.col("total").alias("weight"))
+    rows = placed.where("ring > 0").select("leader", "member", F.col("ring").alias("task"), F.lit(True).alias("is_row"), "ring", "weight")
     columns = rows.withColumn("is_row", F.lit(False))
-    inner = placed.select("leader", "member", (F.col("ring") + 1).alias("task"), F.lit(False).alias("is_row"), "ring")
+    inner = placed.select("leader", "member", (F.col("ring") + 1).alias("task"), F.lit(False).alias("is_row"), "ring", "weight")
     everyone = rows.unionAll(columns).unionAll(inner)
     counts = everyone.groupBy("leader", "task").agg(
         F.sum(F.col("is_row").cast("long")).alias("n_rows"),
-        F.sum((~F.col("is_row")).cast("long")).alias("n_columns")).where("n_rows > 0 AND n_columns > 1")
+        F.sum((~F.col("is_row")).cast("long")).alias("n_columns"),
+        F.sum(F.when(F.col("is_row"), F.col("weight"))).alias("row_weight"),
+        F.sum(F.when(~F.col("is_row"), F.col("weight"))).alias("column_weight")).where("n_rows > 0 AND n_columns > 1")
     # Written, so that the join is between two shuffles of which adaptive execution can split a hot leader's, or a broadcast.
     in_blocks = everyone.join(small_side(stored(counts)), ["leader", "task"])
-    row_blocks = F.ceil(F.col("n_rows") / ROW_BLOCK).cast("int")
-    column_blocks = F.ceil(F.col("n_columns") / COLUMN_BLOCK).cast("int")
+    row_blocks = F.greatest(F.ceil(F.col("n_rows") / ROW_BLOCK), F.ceil(F.col("row_weight") / ROW_SHINGLES)).cast("int")
+    column_blocks = F.greatest(F.ceil(F.col("n_columns") / COLUMN_BLOCK), F.ceil(F.col("column_weight") / COLUMN_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("member"), F.when(F.col("is_row"), row_blocks).otherwise(column_blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("is_row"), column_blocks).otherwise(row_blocks) - 1))
     return in_blocks.withColumn("own", own).withColumn("other", others).select(
@@ -181,7 +203,7 @@ def _block_edges(blocks: DataFrame, full: DataFrame, size: int) -> DataFrame:
     """(a, b): a forest of the links within each block."""
     schema = schema_of("a long, b long")
     arrow = to_arrow_schema(schema)
-    with_text = blocks.join(full.select(F.col("doc_id").alias("member"), "text"), "member")
+    with_text = blocks.join(full.select(F.col("node").alias("member"), "text"), "member")
 
     def run(table: pa.Table) -> pa.Table:
         sides: tuple[list, list] = ([], [])
@@ -208,24 +230,38 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     Documents are linked if 100 * intersection >= PERCENT * union of their sets of ``size``-word
     shingles; a component is what links reach, named by its smallest doc_id, which is kept. A
     text with fewer words is one shingle; one without words, or null, is linked with nothing.
-    Repeated rows give repeated results; rows that share a doc_id share what it is linked to; a
-    null doc_id takes part in no link of its own and keeps its class's component, or none.
-    Columns other than these two are not read.
+    Repeated rows give repeated results; rows that share a doc_id are one document to be reached,
+    whatever their texts (a row without words stays alone); a null doc_id takes part in no link of its own and keeps its set's
+    component, or none. Columns other than these two are not read.
     """
     ship(docs.sparkSession)
     rows = stored(_sketches(docs, size))
-    # Equal sets are one node, named by their smallest id.
-    classes = stored(rows.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id")))
-    nodes = rows.join(classes, ["hi", "lo", "doc_id"], "left_semi")
+    held = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Equal sets are one node; the numbers are fixed when they are written.
+    nodes = stored(held.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+                   .withColumn("node", F.monotonically_increasing_id()))
+    sets = nodes.drop("bands")
     pairs = stored(_led_pairs(nodes))
-    needed = pairs.select(F.explode(F.array("leader", "member")).alias("doc_id")).distinct()
-    full = stored(texts(docs).join(small_side(stored(needed)), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    needed = pairs.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
+    full = stored(_full(docs, stored(sets.join(small_side(stored(needed)), "node")), size))
     checked = stored(_verified(pairs, full, size))
-    first = checked.where(F.col("inter") * 100 >= F.col("total") * PERCENT).select(
+    links = checked.where(F.col("inter") * 100 >= F.col("total") * PERCENT).select(
         F.col("leader").alias("a"), F.col("member").alias("b"))
-    found = components(first.unionAll(_block_edges(_blocks(checked), full, size)))
-    named = classes.join(found, classes.doc_id == found.node, "left").select(
-        "hi", "lo", F.coalesce("component", "doc_id").alias("named"))
+    found = components(links.unionAll(_block_edges(_blocks(checked), full, size)).unionAll(_shared_ids(held, sets)))
+    members = sets.join(found, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    # A component is named by its smallest id; only those of several sets need looking at.
+    joined = stored(members.where("component IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("least")))
+    named = members.join(small_side(joined), "part", "left").select("hi", "lo", F.coalesce("least", "doc_id").alias("named"))
     component = F.coalesce("named", "doc_id")
     return rows.join(named, ["hi", "lo"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def _shared_ids(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): edges between the sets of ids that stand on several."""
+    several = stored(held.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("hi", "lo")])
+                     .where("min_hi <> max_hi OR min_lo <> max_lo").select("doc_id"))
+    texts_of = held.join(small_side(several), "doc_id", "left_semi").select("doc_id", "hi", "lo").distinct()
+    of_id = stored(texts_of.join(sets.select("hi", "lo", "node"), ["hi", "lo"]).select("doc_id", "node"))
+    first = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return of_id.join(first, "doc_id").select("a", F.col("node").alias("b"))

@@ -28,19 +28,22 @@ LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
 
 MINHASH_DEDUP = rf"""
 WITH RECURSIVE split AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
-    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM split
-), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+), items AS (SELECT r, len(s) AS n, unnest(s) AS item FROM sets),
 shared AS (
-    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS inter FROM items x
-    JOIN items y ON x.item = y.item AND x.doc_id <> y.doc_id AND x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80 GROUP BY ALL
-), links AS (SELECT a, b FROM shared WHERE inter * 100 >= (n + m - inter) * 80),
-nodes AS (SELECT doc_id AS id FROM documents),
+    SELECT x.r AS a, y.r AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS inter FROM items x
+    JOIN items y ON x.item = y.item AND x.r <> y.r AND x.n * 100 >= y.n * 80 AND y.n * 100 >= x.n * 80 GROUP BY ALL
+), links AS (
+    SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sets x ON x.r = a JOIN sets y ON y.r = b
+    WHERE inter * 100 >= (n + m - inter) * 80
+), nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
 {_LINKED}
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE component_id END AS component_id,
+    len(s) = 0 OR doc_id = component_id AS kept
 FROM sets JOIN named ON named.id = sets.doc_id
 """
 

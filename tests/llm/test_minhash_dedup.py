@@ -2,10 +2,12 @@ import random
 import re
 import string
 
+import duckdb
 import numpy as np
 
 import corpus
-from recallspark.llm import components, minhash_dedup
+from compare import difference
+from recallspark.llm import components, minhash_dedup, sql
 
 
 def exact(rows, size):
@@ -44,6 +46,34 @@ def test_like_brute_force(spark, monkeypatch):
             i: (len(sets[i]), component[i], component[i] == i) for i in sets}
 
 
+def test_one_id_on_several_texts(spark, tmp_path):
+    """Links are of sets: whichever text an id stands on beside, both its links hold, and SQL says the same."""
+    a, b, c = (corpus.prose(60, i) for i in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (5, c + " z"), (5, c + " z"), (6, ""), (6, a + " x w"), (7, None), (8, corpus.prose(9, 9))]
+    docs = corpus.documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = minhash_dedup.near_duplicates(docs, 2)
+    assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 1), (6, 6), (7, 7), (8, 8)}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(found, duck.sql(sql.MINHASH_DEDUP)) is None
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Large sets make more, smaller blocks; the links are the same."""
+    rng = random.Random(3)
+    base = corpus.prose(150, 1).split()
+    rows = list(enumerate([edited(base, 0.01 * (k % 14), rng) for k in range(60)], 1))
+    whole = sorted(minhash_dedup.near_duplicates(corpus.documents(spark, rows), 2).collect())
+    monkeypatch.setattr(minhash_dedup, "ROW_SHINGLES", 800)
+    monkeypatch.setattr(minhash_dedup, "COLUMN_SHINGLES", 1500)
+    seen = {}
+    edges = minhash_dedup._block_edges
+    monkeypatch.setattr(minhash_dedup, "_block_edges", lambda blocks, *rest: seen.setdefault("blocks", blocks) is None or edges(blocks, *rest))
+    assert sorted(minhash_dedup.near_duplicates(corpus.documents(spark, rows), 2).collect()) == whole
+    assert seen["blocks"].agg({"row_block": "max"}).first()[0] > 0 and seen["blocks"].agg({"column_block": "max"}).first()[0] > 0
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 50, 1000):
