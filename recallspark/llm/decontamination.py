@@ -1,36 +1,43 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
 Texts become templates: numbers, names and units are typed placeholders, everything else is a
-literal word. Runs of template words (windows) of the documents meet those of the benchmark in a
-hash join against bounded slices of the benchmark; so do runs of the words themselves, whatever
-their kind, so that a word-for-word copy is found also where most words are placeholders.
-Characters of scripts without spaces are words. Where windows of an item line up, each value
-in the item must stand for one value in the document and the other way round; windows that hold
-a value that breaks this do not count, unless they are word for word the item's.
+literal word. Characters of scripts without spaces are words. Runs of template words (windows) of
+the documents meet those of the benchmark in a hash join; so do runs of the words themselves,
+whatever their kind, so that a word-for-word copy is found also where most words are placeholders.
+Only document windows that pass a bit map of the benchmark's hashes, of bounded size, travel to
+the join. The windows of one document that lie along an item in one shift are an alignment, which
+is never larger than the item. In an alignment each value of the item must stand for one value of
+the document and the other way round; windows that hold a value that breaks this do not count,
+unless they are word for word the item's.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ROW, broadcast_object, map_rows, ship, texts
+from ..operators.sizing import small_side
+from .common import ROW, broadcast_object, map_rows, record_batch, schema_of, ship, slices, stored, texts
 from .words import ALNUM, HashSet, hashed_words, mix, windows
 
 WINDOW = 8
-# A shorter item is one window; items of fewer words than this match only word for word.
+# A shorter item is one window. Items of fewer words are reported apart: they stand in many clean texts.
 ITEM_LEAST = 4
 # Literal words a window must have to match with other values.
 LITERAL_SHARE = 0.5
 # An item is found if so many of its words, or this share of them, line up.
 WORDS_LEAST, SHARE_LEAST = 13, 0.5
-# Characters of benchmark text that are broadcast at a time.
-SLICE_CHARACTERS = 8_000_000
+# Bits of the map of window hashes: so many per window, within these powers of two.
+BITS_PER_WINDOW, BITS_LEAST, BITS_MOST = 64, 20, 27
+# Window rows a task writes at a time.
+ROWS_OUT = 4096
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # Units and number words.
@@ -116,11 +123,18 @@ class Canonical:
         return Template(words, kinds, values)
 
 
-def _window_keys(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of a template, and whether enough of each is literal."""
-    keys = windows(t.words, size)
+def window_keys(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per window of so many words: the hash of its template, whether that may be used, and the hash of its own words.
+
+    A template is used if enough of it is literal and something in it is not.
+    """
+    template, exact = windows(t.words, size), windows(t.values, size)
+    if not len(template):
+        return template, np.zeros(0, dtype=bool), exact
     literal = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
-    return keys, (literal[size:] - literal[:-size] >= size * LITERAL_SHARE) if len(keys) else np.zeros(0, dtype=bool)
+    usable = (literal[size:] - literal[:-size] >= size * LITERAL_SHARE) & (template != exact)
+    salt = mix(np.array([size], dtype=np.uint64))
+    return mix(template ^ salt), usable, mix(exact ^ salt)
 
 
 def _one_to_one(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
@@ -137,116 +151,209 @@ def _one_to_one(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
     return kept
 
 
-@dataclass
-class Index:
-    """Windows of benchmark items by size: the hashes, and where in which item they stand."""
+def covered(values: np.ndarray, kinds: np.ndarray, size: int, places: list[int], found: list[list[int]]) -> tuple[list[int], bool]:
+    """Words of an item that one alignment covers, and whether all of them have the item's values.
 
-    items: list[tuple[int, Template]]
-    sizes: dict[int, tuple[HashSet, np.ndarray, np.ndarray]]
+    ``places`` are starts of the item's windows that matched, ``found`` the document's values there.
+    """
+    theirs = dict(pair for p, own in zip(places, found) for pair in zip(range(p, p + size), own))
+    spots = sorted(theirs)
+    there = np.array(spots)
+    mine, other = values[there], np.array([theirs[s] for s in spots], dtype=np.int64)
+    if np.array_equal(mine, other):
+        return spots, True
+    slots = kinds[there] != LITERAL
+    pairs = list(zip(mine[slots].tolist(), other[slots].tolist()))
+    kept = _one_to_one(pairs)
+    broken = {s for s, pair in zip(there[slots].tolist(), pairs) if pair not in kept}
+    changed = set(there[mine != other].tolist())
+    stands = (range(p, p + size) for p in places)
+    return sorted({s for w in stands if broken.isdisjoint(w) or changed.isdisjoint(w) for s in w}), False
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The distinct texts of a benchmark: (text_no, size, values, kinds, windows of (key, place))."""
+    distinct = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("binary").alias("text")).distinct()
+    numbered = stored(distinct.withColumn("text_no", F.monotonically_increasing_id()))
 
-    @staticmethod
-    def build(rows: list[tuple[int, str]]) -> Index:
+    def start():
         canonical = Canonical()
-        items = [(item, t) for item, text in rows for t in [canonical.template(text.encode())] if len(t.words)]
-        found = defaultdict(list)
-        for i, (_, t) in enumerate(items):
+
+        def row(text_no, text):
+            t = canonical.template(text)
             size = min(WINDOW, len(t.words))
-            keys, usable = _window_keys(t, size)
-            exact = windows(t.values, size)
+            if not size:
+                return text_no, text, 0, [], [], []
+            keys, usable, exact = window_keys(t, size)
+            entries = [(int(k), i) for i, k in enumerate(exact.view(np.int64))]
             if len(t.words) >= ITEM_LEAST:
-                found[size] += [(int(keys[at]), i, int(at)) for at in np.flatnonzero(usable & (keys != exact))]
-            found[size] += [(int(key), i, at) for at, key in enumerate(exact)]
-        sizes = {}
-        for size, entries in found.items():
-            entries.sort()
-            keys = np.array([e[0] for e in entries], dtype=np.uint64)
-            known = HashSet(keys)
-            sizes[size] = (known, np.searchsorted(keys, np.append(known.keys, np.uint64(2**64 - 1)), side="left"),
-                           np.array([e[1:] for e in entries], dtype=np.int64).reshape(-1, 2))
-            sizes[size][1][-1] = len(entries)
-        return Index(items, sizes)
-
-    def matches(self, t: Template) -> list[tuple[int, int, int, bool]]:
-        """(item, words that line up, words of the item, with the same values) of every item found."""
-        lines: dict[tuple[int, int], list[int]] = defaultdict(list)
-        sizes = {}
-        for size, (known, offsets, places) in self.sizes.items():
-            keys, usable = _window_keys(t, size)
-            exact = windows(t.values, size)
-            for found in (known.index(exact), np.where(usable & (keys != exact), known.index(keys), -1)):
-                for i in np.flatnonzero(found >= 0):
-                    for item, place in places[offsets[found[i]]:offsets[found[i] + 1]]:
-                        lines[int(item), int(i - place)].append(int(place))
-                        sizes[int(item)] = size
-        covered: dict[int, set[int]] = defaultdict(set)
-        verbatim: dict[int, set[int]] = defaultdict(set)
-        for (item, shift), places in sorted(lines.items()):
-            own = self.items[item][1]
-            size = sizes[item]
-            spots = sorted({p + k for p in places for k in range(size)})
-            there = np.array(spots)
-            mine, theirs = own.values[there], t.values[there + shift]
-            if np.array_equal(mine, theirs):
-                verbatim[item].update(spots)
-            else:
-                slots = own.kinds[there] != LITERAL
-                pairs = list(zip(mine[slots].tolist(), theirs[slots].tolist()))
-                kept = _one_to_one(pairs)
-                broken = {p for p, pair in zip(there[slots].tolist(), pairs) if pair not in kept}
-                changed = set(there[mine != theirs].tolist())
-                spots = {p + k for p in places for k in range(size)
-                         if broken.isdisjoint(range(p, p + size)) or changed.isdisjoint(range(p, p + size))}
-            covered[item].update(spots)
-        out = []
-        for item, spots in covered.items():
-            name, own = self.items[item]
-            if len(spots) >= WORDS_LEAST or len(spots) >= SHARE_LEAST * len(own.words):
-                out.append((name, len(spots), len(own.words), spots <= verbatim[item]))
-        return sorted(out)
-
-
-def _slices(benchmark: DataFrame):
-    """The items (item_id, text) in lists of about SLICE_CHARACTERS characters."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // SLICE_CHARACTERS))
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct()
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+                entries += [(int(k), int(i)) for i, k in zip(np.flatnonzero(usable), keys.view(np.int64)[usable])]
+            return text_no, text, size, t.values.view(np.int64).tolist(), t.kinds.tolist(), entries
 
+        return row
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """Benchmark items in every whole text of ``docs`` (doc_id, text); ``benchmark`` has item_id and text.
+    return stored(map_rows(numbered.select("text_no", "text"), start, "text_no long, text binary, size int, values array<long>, "
+                           "kinds array<int>, windows array<struct<key: long, place: int>>"))
 
-    Returns doc_id, contaminated, n_items, n_exact (items found with the same values), items
-    (sorted item_ids) and share (the largest share of an item's words that lines up, 0 without
-    any). The benchmark goes out in slices of bounded size, all of them within one pass over
-    the documents. A null or empty text holds nothing; items that are null, repeated or
-    without a word add nothing, those of fewer than ITEM_LEAST words are found only whole and word
-    for word; an empty benchmark finds nothing. A null doc_id
-    stays null, repeated rows give repeated results, other columns are not read, but with
-    ``whole`` come back in the column ROW.
+
+@dataclass
+class Filter:
+    """Bits at the places of all window hashes of a benchmark, the window sizes there are, and the words of its longest item."""
+
+    bits: np.ndarray
+    sizes: list[int]
+    longest: int
+
+    @staticmethod
+    def of(items: DataFrame) -> Filter:
+        told = items.agg(F.sum(F.size("windows")).alias("n"), F.max(F.size("values")).alias("longest"), F.collect_set("size").alias("sizes")).first()
+        power = int(np.clip(np.ceil(np.log2(max(1, told["n"] or 0) * BITS_PER_WINDOW)), BITS_LEAST, BITS_MOST))
+        keys = items.select(F.explode("windows.key").alias("key"))
+        maps = keys.select((F.pmod("key", F.lit(1 << power)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        bits = np.zeros((1 << power) // 8, dtype=np.uint8)
+        for r in maps.collect():
+            part = np.frombuffer(r["bits"], dtype=np.uint8)
+            bits[(r["bucket"] - 1) * len(part):r["bucket"] * len(part)] = part
+        return Filter(bits, sorted(s for s in told["sizes"] if s), told["longest"] or 0)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(len(self.bits) * 8 - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    def hits(self, t: Template) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places, keys) of the windows of a text that may be the benchmark's."""
+        for size in self.sizes:
+            keys, usable, exact = window_keys(t, size)
+            for own, may in ((exact, self.has(exact)), (keys, usable & self.has(keys))):
+                at = np.flatnonzero(may)
+                if len(at):
+                    yield size, at, own[at]
+
+
+def repeating(values: np.ndarray, margin: int) -> np.ndarray:
+    """Words inside a stretch that repeats every few words, more than ``margin`` words from its ends.
+
+    What lines up there lines up with the same values nearer the stretch's ends.
     """
-    ship(docs.sparkSession)
-    found = texts(docs, F.expr("CAST(array() AS array<struct<item: long, words: int, size: int, same: boolean>>)").alias("found"), whole=whole)
-    for part in _slices(benchmark):
-        found = _join(found, broadcast_object(docs.sparkSession, Index.build(part)))
-    items = F.array_sort(F.array_distinct("found.item"))
-    return found.select(
-        "doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"),
-        F.size(F.array_distinct(F.filter("found", lambda x: x["same"])["item"])).cast("long").alias("n_exact"), items.alias("items"),
-        F.coalesce(F.array_max(F.transform("found", lambda x: x["words"] / x["size"])), F.lit(0.0)).alias("share"),
-        *([ROW] if whole else []))
-
-
-def _join(docs: DataFrame, shared) -> DataFrame:
+    out = np.zeros(len(values), dtype=bool)
+    for period in range(1, WINDOW + 1):
+        if len(values) <= 2 * margin + period:
+            break
+        same = np.concatenate([np.zeros(period, dtype=bool), values[period:] == values[:-period], [False]])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same]).astype(np.int8)))
+        for begin, end in zip(edges[::2], edges[1::2]):
+            out[begin + margin:max(begin + margin, end - margin)] = True
+    return out
+
+
+def _stretches(docs: DataFrame, shared) -> DataFrame:
+    """Per document the stretches of words in windows that may be the benchmark's, as bytes of arrays."""
     def start():
-        index, canonical = pickle.loads(shared.value), Canonical()
+        known, canonical = pickle.loads(shared.value), Canonical()
+
+        def row(doc_id, text):
+            t = canonical.template(text)
+            change = np.zeros(len(t.words) + 1, dtype=np.int64)
+            for size, at, _ in known.hits(t):
+                np.add.at(change, at, 1)
+                np.add.at(change, at + size, -1)
+            inside = np.cumsum(change)[:-1] > 0
+            if not inside.any():
+                return doc_id, []
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+            return doc_id, [(int(a), t.words[a:b].tobytes(), t.values[a:b].tobytes(), t.kinds[a:b].tobytes())
+                            for a, b in zip(edges[::2], edges[1::2])]
 
-        def row(doc_id, text, found):
-            before = [tuple(f.values()) for f in found]
-            return doc_id, text, before + index.matches(canonical.template(text))
+        return row
+
+    return map_rows(docs, start, "doc_id long, stretches array<struct<start: long, words: binary, values: binary, kinds: binary>>")
+
+
+def _windows(stretches: DataFrame, shared) -> DataFrame:
+    """(number, key, at, values): the windows of stretches (number, start, words, values, kinds) that may be the benchmark's."""
+    schema = schema_of("number long, key long, at long, values array<long>")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(shared.value)
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for number, start, words, values, kinds in zip(*(c.to_pylist() for c in part.columns)):
+                    t = Template(np.frombuffer(words, dtype=np.uint64), np.frombuffer(kinds, dtype=np.int8), np.frombuffer(values, dtype=np.uint64))
+                    own, skip = t.values.view(np.int64), repeating(t.values, 2 * (known.longest + WINDOW))
+                    for size, places, keys in known.hits(t):
+                        for at, key in zip(places[~skip[places]].tolist(), keys.view(np.int64)[~skip[places]].tolist()):
+                            out.append((number, key, start + at, own[at:at + size].tolist()))
+                            if len(out) >= ROWS_OUT:
+                                yield record_batch(out, arrow)
+                                out = []
+                yield record_batch(out, arrow)
+
+    return stretches.mapInArrow(run, schema)
+
+
+def _spots(aligned: DataFrame) -> DataFrame:
+    """(number, text_no, spots, same) of every alignment."""
+    def start():
+        def row(number, text_no, size, values, kinds, lines):
+            spots, same = covered(np.array(values, dtype=np.int64), np.array(kinds, dtype=np.int8), size,
+                                  [x["place"] for x in lines], [x["values"] for x in lines])
+            return number, text_no, spots, same
 
         return row
 
-    return map_rows(docs, start, "doc_id long, text binary, found array<struct<item: long, words: int, size: int, same: boolean>>")
+    return map_rows(aligned, start, "number long, text_no long, spots array<int>, same boolean")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+    """Benchmark items in every whole text of ``docs`` (doc_id, text); ``benchmark`` has item_id and text.
+
+    Returns doc_id, contaminated, n_items, n_exact (items found with the same values), items
+    (sorted item_ids), share (the largest share of an item's words that lines up, 0 without
+    any), and short_items: items of fewer than ITEM_LEAST words that stand in the text word for
+    word, which say nothing about a leak and do not contaminate.
+
+    No part of the benchmark but a bit map of at most 16 MB passes the driver. A null or empty text
+    holds nothing; items that are null or without a word add nothing, those with the same text
+    are looked for once; an empty benchmark finds nothing. A null doc_id stays null, repeated
+    rows give repeated results, other columns are not read, but with ``whole`` come back in the
+    column ROW. Words inside a long stretch of a document that repeats itself add nothing to what
+    its ends show, and are left out.
+    """
+    ship(docs.sparkSession)
+    items = _items(benchmark)
+    shared = broadcast_object(docs.sparkSession, Filter.of(items))
+    # The numbers of the rows are fixed when they are written.
+    held = stored(_stretches(texts(docs, whole=whole), shared).withColumn("number", F.monotonically_increasing_id()))
+    near = held.where(F.size("stretches") > 0).select("number", F.explode("stretches").alias("s")).select(
+        "number", "s.start", "s.words", "s.values", "s.kinds")
+    places = items.select("text_no", F.explode("windows").alias("w")).select("text_no", "w.key", "w.place")
+    met = _windows(near, shared).join(small_side(places), "key").select(
+        "number", "text_no", (F.col("at") - F.col("place")).alias("shift"), "place", "values")
+    # At most one window of each place and kind of key: no list is longer than the item.
+    lines = met.groupBy("number", "text_no", "shift").agg(F.array_sort(F.collect_set(F.struct("place", "values"))).alias("lines"))
+    known = items.select("text_no", "size", F.col("values").alias("item_values"), "kinds")
+    aligned = lines.join(small_side(known), "text_no").select("number", "text_no", "size", "item_values", "kinds", "lines")
+    spots = _spots(aligned).select("number", "text_no", "same", F.explode("spots").alias("spot"))
+    words = spots.groupBy("number", "text_no", "spot").agg(F.max("same").alias("same"))
+    counted = words.groupBy("number", "text_no").agg(F.count("*").alias("words"), F.min("same").alias("same"))
+    sized = items.select("text_no", F.size("values").alias("size"))
+    enough = counted.join(small_side(sized), "text_no").where(
+        (F.col("words") >= WORDS_LEAST) | (F.col("words") >= F.col("size") * SHARE_LEAST))
+    of_text = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+    named = items.select("text_no", "text").join(of_text, "text").select("text_no", "item_id")
+    long_enough = F.col("size") >= ITEM_LEAST
+    found = enough.join(small_side(stored(named)), "text_no").groupBy("number").agg(
+        F.array_sort(F.collect_set(F.when(long_enough, F.col("item_id")))).alias("items"),
+        F.array_sort(F.collect_set(F.when(long_enough & F.col("same"), F.col("item_id")))).alias("exact"),
+        F.array_sort(F.collect_set(F.when(~long_enough & F.col("same"), F.col("item_id")))).alias("short_items"),
+        F.max(F.when(long_enough, F.col("words") / F.col("size"))).alias("share"))
+    none = F.expr("CAST(array() AS array<long>)")
+    listed = {c: F.coalesce(c, none) for c in ("items", "exact", "short_items")}
+    return held.join(small_side(stored(found)), "number", "left").select(
+        "doc_id", (F.size(listed["items"]) > 0).alias("contaminated"), F.size(listed["items"]).cast("long").alias("n_items"),
+        F.size(listed["exact"]).cast("long").alias("n_exact"), listed["items"].alias("items"),
+        F.coalesce("share", F.lit(0.0)).alias("share"), listed["short_items"].alias("short_items"), *([ROW] if whole else []))

@@ -1,4 +1,4 @@
-"""Licences, secrets, benchmark passages."""
+"""Licences and secrets."""
 
 import random
 import re
@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import corpus
-from recallspark.llm import decontamination, license_scan, secret_scan
+from recallspark.llm import license_scan, secret_scan
 
 
 def test_automaton_like_brute_force():
@@ -81,69 +81,3 @@ def test_models_tell_random_strings(spark):
     text = f"é see {random_tokens[0]} now"
     row = secret_scan.find_secrets(corpus.documents(spark, [text]), table, redact=True).first()
     assert row["spans"] == "markov:6:42" and row["redacted"] == "é see [SECRET] now"
-
-
-def test_leaks(spark):
-    item = "Maria bought 12 apples for 3.50 dollars and gave Peter half of the apples before lunch. How many apples remain with Maria?"
-    other = "In the garden stood 7 old trees that carried sweet red fruit all summer long until the rain came."
-    changed = item.replace("12", "18").replace("Maria", "Sandra").replace("Peter", "Olaf").replace("dollars", "euros").replace("3.50", "4,75")
-    # One name of the item stands for two in the document.
-    broken = item.replace("with Maria", "with Paula").replace("Maria", "Sandra")
-    texts = [f"{corpus.prose(30, 1)} {item} {corpus.prose(30, 2)}", changed, item.upper(), corpus.prose(300, 3), "1 2 3 4 5 6 7 8 9 10", broken,
-             " ".join(other.split()[:5]), other + " " + item]
-    benchmark = spark.createDataFrame([(1, item), (2, other), (3, "1 2 3 4 5 6 7 8 9"), (4, None)], "item_id long, text string")
-    found = sorted(decontamination.find_leaks(corpus.documents(spark, texts), benchmark).collect())
-    assert [r["items"] for r in found] == [[1], [1], [1], [], [], [1], [], [1, 2]]
-    assert [r["n_exact"] for r in found][:3] == [1, 0, 1]
-
-
-def test_slices_do_not_matter(spark, monkeypatch):
-    items = [(i, corpus.prose(20, i)) for i in range(30)]
-    texts = [corpus.prose(20, 500 + i) + " " + items[i % 30][1] for i in range(40)]
-    docs, benchmark = corpus.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(decontamination.find_leaks(docs, benchmark).collect())
-    assert all(r["contaminated"] for r in whole)
-    monkeypatch.setattr(decontamination, "SLICE_CHARACTERS", 900)
-    assert sorted(decontamination.find_leaks(docs, benchmark).collect()) == whole
-
-
-def test_slot_consistency():
-    index = decontamination.Index.build([(1, "the sum of 5 and 5 is taken from the sum of 7 and 9 today")])
-    canonical = decontamination.Canonical()
-    same = canonical.template(b"the sum of 6 and 6 is taken from the sum of 2 and 4 today")
-    other = canonical.template(b"the sum of 6 and 8 is taken from the sum of 2 and 4 today")
-    assert index.matches(same)[0][3] is False and index.matches(other) == []
-    assert np.count_nonzero(same.kinds == decontamination.NUMBER) == 4
-
-
-def test_word_for_word():
-    """Copies of items of few literal words, few words or no spaces."""
-    items = ["What is 12 + 7 * 3?", "Sort 9 km 4 cm 8 mm 2 inches 7 feet 5 yards by length", "Name Peter", "\u73a9\u5177\u6bcf\u4e2a\u4e09\u5143\uff0c\u4e70\u4e94\u4e2a\u8981\u591a\u5c11\u94b1\uff1f", "3 5 8"]
-    index = decontamination.Index.build(list(enumerate(items)))
-    canonical = decontamination.Canonical()
-    for i, item in enumerate(items):
-        around = ("\u4eca\u5929", "\u6211\u4eec\u56de\u5bb6") if i == 3 else ("So it goes, ", " and on")
-        text = f"{around[0]}{item}{around[1]}"
-        assert [(m[0], m[3]) for m in index.matches(canonical.template(text.encode()))] == [(i, True)]
-    others = ["What is 13 + 8 * 4?", "Name Paul", "3 5 9", "Sort 9 km 5 cm 8 mm 3 inches 7 feet 6 yards by length", "\u4eca\u5929\u6211\u4eec\u56de\u5bb6"]
-    assert all(index.matches(canonical.template(text.encode())) == [] for text in others)
-
-
-def test_broken_slots_cost_only_their_windows():
-    words = corpus.prose(50, 7).split()
-    item = " ".join(words[:3] + ["5"] + words[3:25] + ["5"] + words[25:])
-    coinciding = " ".join(words[:3] + ["3"] + words[3:25] + ["4"] + words[25:])
-    index = decontamination.Index.build([(1, item), (2, coinciding.upper())])
-    canonical = decontamination.Canonical()
-
-    def found(a, b):
-        text = " ".join(words[:3] + [a] + words[3:25] + [b] + words[25:])
-        return {m[0]: m[1:] for m in index.matches(canonical.template(text.encode()))}
-
-    # The first of two pairs that share a value stands, the second costs the windows that hold it.
-    assert found("5", "7") == {1: (51, 52, False), 2: (52, 52, False)}
-    assert found("6", "6") == {1: (52, 52, False), 2: (51, 52, False)}
-    assert found("5", "5")[1] == (52, 52, True)
-    short = decontamination.Index.build([(1, "the sum of 5 and 5 is taken from the sum of 7 and 9 today")])
-    partly = canonical.template(b"the sum of 6 and 8 is taken from the sum of 2 and 4 today")
-    assert short.matches(partly) == [(1, 10, 16, False)]
