@@ -1,10 +1,14 @@
-"""Licence notices in texts: a suffix automaton of each template's words, matching statistics, chains.
+"""Licence texts in documents: one suffix automaton of all templates' words, matching statistics, chains.
 
-An automaton holds every run of words of its template. Streaming a text's words through it
-gives, after each word, the longest run ending there that the template holds, and where. A run
-that several templates share counts in each of them. Long runs are chained in template order into covered spans; a template covered well enough labels
-the text. Words outside all templates and places without any three template words in a row
-cannot be part of a long run and are skipped over byte arrays.
+The automaton holds every run of words of every template, and knows for each run in which
+templates it stands, and where. Streaming a text's words through it gives, after each word, the
+longest run ending there; the templates of that run, and along the suffix links those of its
+ends, have their own longest runs from the same state. Long runs of a template are chained in its
+order into covered spans; a template covered well enough labels the text. Of spans that lie in
+one another the one that covers more stands for the place.
+
+Words outside all templates and places without any three template words in a row cannot be part
+of a long run and are skipped over byte arrays.
 """
 
 from __future__ import annotations
@@ -16,29 +20,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import broadcast_object, map_rows, ship, texts
+from .license_texts import TEMPLATES
 from .words import ALNUM, HashSet, hashed_words, windows
 
-# The phrases that always label a text, and openings and notices of public licences.
+# The phrases that always label a text.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = [
-    ("mit", "released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the Software), to deal in the Software without restriction, including without limitation "
-            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-            "to permit persons to whom the Software is furnished to do so"),
-    ("apache", "licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-               "distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("gpl", "this work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-            "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-            "option) any later version"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-            "the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-]
 
 # Words a run must have to count, and how far apart runs of one chain may lie in the text.
 RUN_LEAST, GAP_MOST = 4, 12
@@ -50,22 +36,28 @@ PHRASE_SCORE = 0.5
 
 @dataclass
 class Automaton:
-    """A generalised suffix automaton over words; per state the first place of its runs."""
+    """A generalised suffix automaton over words.
+
+    ``held[state]`` tells, for every template that holds an end of the state's runs, how long the
+    longest such end is and after how many words of the template it ends (ascending). Only
+    ends of RUN_LEAST words or more are told.
+    """
 
     follow: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    place: list[tuple[int, int]] = field(default_factory=lambda: [(-1, -1)])
+    ends: list[dict[int, set[int]]] = field(default_factory=lambda: [{}])
+    held: list[dict[int, tuple[int, list[int]]]] = field(default_factory=list)
 
-    def _state(self, follow, link, length, place) -> int:
+    def _state(self, follow, link, length) -> int:
         self.follow.append(follow)
         self.link.append(link)
         self.length.append(length)
-        self.place.append(place)
+        self.ends.append({})
         return len(self.link) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
-        clone = self._state(dict(self.follow[q]), self.link[q], self.length[p] + 1, self.place[q])
+        clone = self._state(dict(self.follow[q]), self.link[q], self.length[p] + 1)
         self.link[q] = clone
         while p >= 0 and self.follow[p].get(word) == q:
             self.follow[p][word] = clone
@@ -78,21 +70,37 @@ class Automaton:
             known = self.follow[last].get(word)
             if known is not None:
                 last = known if self.length[known] == self.length[last] + 1 else self._split(last, known, word)
-                continue
-            new = self._state({}, 0, self.length[last] + 1, (template, end))
-            p, last = last, new
-            while p >= 0 and word not in self.follow[p]:
-                self.follow[p][word] = new
-                p = self.link[p]
-            if p >= 0:
-                q = self.follow[p][word]
-                self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
-
-    def runs(self, words, offset: int = 0) -> list[tuple[int, int, int, int]]:
-        """Maximal runs (start, end, template, template end) of at least RUN_LEAST words in ``words``."""
+            else:
+                new = self._state({}, 0, self.length[last] + 1)
+                p, last = last, new
+                while p >= 0 and word not in self.follow[p]:
+                    self.follow[p][word] = new
+                    p = self.link[p]
+                if p >= 0:
+                    q = self.follow[p][word]
+                    self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, word)
+            self.ends[last].setdefault(template, set()).add(end)
+
+    def close(self) -> Automaton:
+        """After the last template: ends of longer runs are ends of their suffixes, and short suffixes have templates of their own."""
+        by_length = sorted(range(1, len(self.link)), key=lambda v: -self.length[v])
+        for v in by_length:
+            if self.link[v] > 0 and self.length[self.link[v]] >= RUN_LEAST:
+                for template, places in self.ends[v].items():
+                    self.ends[self.link[v]].setdefault(template, set()).update(places)
+        self.held = [{} for _ in self.link]
+        for v in reversed(by_length):
+            if self.length[v] >= RUN_LEAST:
+                self.held[v] = dict(self.held[self.link[v]])
+                self.held[v].update({t: (self.length[v], sorted(places)) for t, places in self.ends[v].items()})
+        self.ends = []
+        return self
+
+    def runs(self, words, offset: int = 0) -> list[tuple[int, int, int, list[int]]]:
+        """Maximal runs of each template (template, start, end, ends in the template) of at least RUN_LEAST words, by end."""
         found, state, length = [], 0, 0
-        for i, word in enumerate(words):
-            before = (state, length)
+        before: dict[int, tuple[int, list[int]]] = {}
+        for i, word in enumerate([*words, -2]):
             while state and word not in self.follow[state]:
                 state = self.link[state]
                 length = self.length[state]
@@ -100,11 +108,10 @@ class Automaton:
                 state, length = self.follow[state][word], length + 1
             else:
                 state = length = 0
+            now = {t: (min(n, length), places) for t, (n, places) in self.held[state].items()} if length >= RUN_LEAST else {}
             # The run that ended at the previous word could not be prolonged.
-            if length <= before[1] and before[1] >= RUN_LEAST:
-                found.append((offset + i - before[1], offset + i, *self.place[before[0]]))
-        if length >= RUN_LEAST:
-            found.append((offset + len(words) - length, offset + len(words), *self.place[state]))
+            found += [(t, offset + i - n, offset + i, places) for t, (n, places) in before.items() if now.get(t, (0,))[0] <= n]
+            before = now
         return found
 
 
@@ -112,7 +119,7 @@ class Automaton:
 class Scanner:
     labels: list[str]
     sizes: list[int]
-    automata: list[Automaton]
+    automaton: Automaton
     vocabulary: HashSet
     triples: HashSet
     phrases: list[tuple[list[int], str]]
@@ -140,37 +147,60 @@ class Scanner:
             begin, end = int(hits[a]), int(hits[b]) + 3
             if end - begin >= RUN_LEAST:
                 segments.append((begin, self.vocabulary.index(h[begin:end]).tolist()))
-        done = []
-        for automaton in self.automata:
-            chain: list[int] = []
-            template = -1
-            for start, end, template, place in [run for begin, words in segments for run in automaton.runs(words, begin)]:
-                first = place - (end - start)
-                if chain and 0 <= start - chain[1] <= GAP_MOST and first >= chain[3]:
-                    chain[1], chain[2], chain[3] = end, chain[2] + end - start, place
-                elif chain and start < chain[1] and place > chain[3]:
-                    # Runs that overlap in the text: only the words beyond the first one's end are new.
-                    chain[2] += end - chain[1]
-                    chain[1], chain[3] = end, place
-                else:
-                    if chain:
-                        done.append((template, chain[0], chain[1], chain[2]))
-                    chain = [start, end, end - start, place]
-            if chain:
-                done.append((template, chain[0], chain[1], chain[2]))
-        return done
+        runs: dict[int, list[tuple[int, int, list[int]]]] = {}
+        for begin, words in segments:
+            for template, start, end, places in self.automaton.runs(words, begin):
+                runs.setdefault(template, []).append((start, end, places))
+        return [chain for template, own in sorted(runs.items()) for chain in chained(template, own)]
+
+    def labelled(self, chains: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, int]]:
+        """(label, start, end, covered) of the chains that label.
+
+        A chain that lies by more than half in one that covers more words is left out; of equal
+        ones the larger share of its template counts, then the earlier template.
+        """
+        share = {c: c[3] / self.sizes[c[0]] for c in chains}
+        good = sorted((c for c in chains if share[c] >= SHARE_LEAST or c[3] >= WORDS_LEAST), key=lambda c: (-c[3], -share[c], c[0], c[1]))
+        kept: list[tuple[int, int, int, int]] = []
+        for c in good:
+            if not any(2 * (min(c[2], k[2]) - max(c[1], k[1])) > c[2] - c[1] for k in kept):
+                kept.append(c)
+        return sorted((self.labels[t], start, end, covered) for t, start, end, covered in kept)
+
+
+def chained(template: int, runs: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int]]:
+    """(template, start, end, covered) of chains of runs (start, end, places), in the order of the text.
+
+    A run goes on where a chain ended, up to GAP_MOST words later, at its first place behind the
+    chain's in the template; where it overlaps the chain only its further words count.
+    """
+    done, chain = [], []
+    for start, end, places in sorted(runs, key=lambda r: (r[0], r[1])):
+        if chain:
+            new = min(end - start, end - chain[1])
+            place = next((p for p in places if p - new >= chain[3]), None)
+            if new > 0 and start - chain[1] <= GAP_MOST and place is not None:
+                chain[1], chain[2], chain[3] = end, chain[2] + new, place
+                continue
+            if new <= 0:
+                continue
+            done.append((template, chain[0], chain[1], chain[2]))
+        chain = [start, end, end - start, places[0]]
+    if chain:
+        done.append((template, chain[0], chain[1], chain[2]))
+    return done
 
 
 def scanner(templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> Scanner:
     hashed = [hashed_words(text.encode(), ALNUM)[0] for _, text in templates]
     vocabulary = HashSet(np.concatenate(hashed), bits=16)
-    automata = []
+    automaton = Automaton()
     for i, h in enumerate(hashed):
-        automata.append(Automaton())
-        automata[-1].add(i, vocabulary.index(h).tolist())
-    triples = HashSet(np.concatenate([windows(h, 3) for h in hashed]), bits=16)
+        automaton.add(i, vocabulary.index(h).tolist())
+    automaton.close()
+    triples = HashSet(np.concatenate([windows(h, 3) for h in hashed]))
     phrase_words = [(hashed_words(p.encode(), ALNUM)[0].tolist(), label) for p, label in phrases.items()]
-    return Scanner([label for label, _ in templates], [len(h) for h in hashed], automata, vocabulary, triples, phrase_words)
+    return Scanner([label for label, _ in templates], [len(h) for h in hashed], automaton, vocabulary, triples, phrase_words)
 
 
 def scan(docs: DataFrame, built: Scanner | None = None) -> DataFrame:
@@ -194,11 +224,11 @@ def scan(docs: DataFrame, built: Scanner | None = None) -> DataFrame:
             base = tool.base(h)
             chains = tool.chains(h)
             shares = [covered / tool.sizes[t] for t, _, _, covered in chains]
-            spans = [(tool.labels[c[0]], c[1], c[2], c[3]) for c, share in zip(chains, shares) if share >= SHARE_LEAST or c[3] >= WORDS_LEAST]
+            spans = tool.labelled(chains)
             base_labels = {label for _, label in base}
             score = min(1.0, max([0.0, *shares, *([PHRASE_SCORE] if base else [])]))
             return (doc_id, len(h), len(base), min(base)[0] if base else None, max(base)[0] if base else None,
-                    ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {s[0] for s in spans})), score, sorted(spans))
+                    ",".join(sorted(base_labels)), ",".join(sorted(base_labels | {s[0] for s in spans})), score, spans)
 
         return row
 

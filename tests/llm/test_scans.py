@@ -10,33 +10,66 @@ from recallspark.llm import license_scan, secret_scan
 
 
 def test_automaton_like_brute_force():
+    """Every template's own longest runs, whatever other templates hold, with all their places."""
     rng = random.Random(1)
-    for _ in range(300):
-        templates = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+    for _ in range(400):
+        templates = [[rng.randrange(3) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 5))]
         automaton = license_scan.Automaton()
         for i, t in enumerate(templates):
             automaton.add(i, t)
-        words = [rng.randrange(5) for _ in range(15)]
-        known = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-        longest = [max([0] + [k for k in range(1, e + 1) if tuple(words[e - k:e]) in known]) for e in range(1, len(words) + 1)]
-        expected = [(e - n, e) for e, n in enumerate(longest, 1)
-                    if n >= license_scan.RUN_LEAST and (e == len(words) or longest[e] <= n)]
-        runs = automaton.runs(words)
-        assert [r[:2] for r in runs] == expected
-        assert all(templates[t][place - (b - a):place] == words[a:b] for a, b, t, place in runs)
+        automaton.close()
+        words = [rng.randrange(4) for _ in range(18)]
+        expected = []
+        for i, t in enumerate(templates):
+            places = {}
+            for a in range(len(t)):
+                for b in range(a + 1, len(t) + 1):
+                    places.setdefault(tuple(t[a:b]), []).append(b)
+            longest = [max([0] + [k for k in range(1, e + 1) if tuple(words[e - k:e]) in places]) for e in range(1, len(words) + 1)]
+            expected += [(i, e - n, e, places[tuple(words[e - n:e])]) for e, n in enumerate(longest, 1)
+                         if n >= license_scan.RUN_LEAST and (e == len(words) or longest[e] <= n)]
+        assert sorted(automaton.runs(words)) == sorted(expected)
+
+
+def texts_of(label):
+    return [t for name, t in license_scan.TEMPLATES if name == label]
 
 
 def test_licenses(spark):
-    bsd = next(t for label, t in license_scan.TEMPLATES if label == "bsd")
-    half = " ".join(bsd.split()[:-6])
-    texts = [f"{corpus.prose(20, 1)} {bsd} {corpus.prose(20, 2)}", half + " and more", "The MIT  license, the Apache-License; mit\nlicense",
-             "use in source", corpus.prose(100, 3)]
+    opening = " ".join(texts_of("bsd")[0].split()[:24])
+    texts = [f"{corpus.prose(20, 1)} {opening} {corpus.prose(20, 2)}", "The MIT  license, the Apache-License; mit\nlicense", "use in source", corpus.prose(100, 3)]
     found = [r for r in sorted(license_scan.scan(corpus.documents(spark, texts)).collect())]
-    assert [r["labels"] for r in found] == ["bsd", "bsd", "apache,mit", "", ""]
-    assert [r["base_labels"] for r in found] == ["", "", "apache,mit", "", ""]
-    assert (found[0]["score"], [tuple(s) for s in found[0]["spans"]]) == (1.0, [("bsd", 20, 41, 21)])
-    assert tuple(found[2][c] for c in ("n_words", "n_base", "first_word", "last_word", "score")) == (8, 3, 1, 6, 0.5)
-    assert found[3]["score"] < 0.3 and found[4]["score"] == 0
+    assert [r["labels"] for r in found] == ["bsd", "apache,mit", "", ""]
+    assert [r["base_labels"] for r in found] == ["", "apache,mit", "", ""]
+    assert [tuple(s) for s in found[0]["spans"]] == [("bsd", 20, 44, 24)] and 0.1 < found[0]["score"] < 0.2
+    assert tuple(found[1][c] for c in ("n_words", "n_base", "first_word", "last_word", "score")) == (8, 3, 1, 6, 0.5)
+    assert found[2]["score"] < 0.3 and found[3]["score"] == 0
+
+
+def test_planted_texts_are_labelled(spark):
+    """Whole licences, long parts of them and edited ones inside other text; each gets its own label, not its neighbours'."""
+    rng = random.Random(5)
+    texts, labels = [], []
+    for label, text in license_scan.TEMPLATES:
+        words = text.split()
+        edited = [corpus.prose(1, rng.randrange(10**6)) if len(words) > 30 and rng.random() < 0.02 else w for w in words]
+        part = words[len(words) // 4:] if len(words) > 60 else words
+        for n, own in enumerate((words, edited, part)):
+            texts.append(f"{corpus.prose(30, n)} {' '.join(own)} {corpus.prose(30, n + 5)}")
+            labels.append(label)
+    texts += [corpus.prose(200, 900 + i) + " you may not use this file without a key, in whole or in part" for i in range(10)]
+    found = license_scan.scan(corpus.documents(spark, texts)).orderBy("doc_id").collect()
+    got = [{s["label"] for s in r["spans"]} for r in found]
+    assert got[:len(labels)] == [{label} for label in labels] and not any(got[len(labels):])
+    # The words of the phrases stand in some of the other licences' texts too.
+    assert all(label in r["labels"].split(",") for label, r in zip(labels, found))
+
+
+def test_several_licences_in_one_text(spark):
+    mit, zlib = texts_of("mit")[1], texts_of("zlib")[0]
+    text = f"{corpus.prose(10, 1)} {mit} {corpus.prose(40, 2)} {zlib} {corpus.prose(5, 3)} {mit}"
+    row = license_scan.scan(corpus.documents(spark, [text])).first()
+    assert [tuple(s) for s in row["spans"]] == [("mit", 10, 173, 163), ("mit", 351, 514, 163), ("zlib", 213, 346, 133)]
 
 
 def test_shared_runs_count_in_every_template():
@@ -50,9 +83,24 @@ def test_shared_runs_count_in_every_template():
             best[license_scan.TEMPLATES[template][0]] = max(best.get(license_scan.TEMPLATES[template][0], (0, 0, 0)), (n, start, end))
         return best
 
-    assert covered(usual) == {"cc-by": (12, 0, 13), "gpl": (6, 0, 6)}
+    found = covered(usual)
+    assert found["cc-by"] == (12, 0, 13) and found["gpl"] == (6, 0, 6) and found["cc-by-sa"][0] < 12
     # A part in the middle of another template's run.
-    assert covered(longer)["mpl"] == (4, 10, 14)
+    assert covered(longer)["gpl"][0] == covered(longer)["lgpl"][0] + len("General Public License".split()) and covered(longer)["agpl"] == covered(longer)["lgpl"]
+
+
+def test_base_fields_like_the_pattern(spark):
+    rng = random.Random(6)
+    pieces = ["MIT", "mit", "License", "license", "apache", "general", "public", "GENERAL public License", "-", "\n", " ", ".", "é", "x", "LICENſE", "中", "\x00"]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", ", "]) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    phrases = [(p.split(), label) for p, label in license_scan.PHRASES.items()]
+    for row, text in zip(license_scan.scan(corpus.documents(spark, texts)).orderBy("doc_id").collect(), texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+        places = [(i, label) for p, label in phrases for i in range(len(words)) if words[i:i + len(p)] == p]
+        starts = [i for i, _ in places]
+        expected = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places})))
+        assert tuple(row[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == expected
 
 
 def test_base_spans_like_the_patterns():
