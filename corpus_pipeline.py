@@ -18,32 +18,36 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a missing ``lang`` becomes the recognised one.
+    """Documents whose language is known; a missing ``lang`` becomes the recognised one.
 
-    Texts without a letter go. The model learns from the documents that have a language; if
-    none has, nothing can be recognised, and nothing is rejected.
+    Texts without a letter go, and texts without ``lang`` whose language cannot be told from
+    another's. The model learns from the documents that have a language; if none has, nothing
+    can be recognised, and nothing is rejected.
     """
     model = language_id.train(docs)
     if model is None:
         return docs
-    found = language_id.identify(docs, model, whole=True).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return _rows(found, docs, lang=F.coalesce(F.col(f"{ROW}.lang"), F.col("lang_pred")))
+    lang = F.col(f"{ROW}.lang")
+    found = language_id.identify(docs, model, whole=True).where(
+        (F.col("lang_pred") != language_id.UNKNOWN) & (lang.isNotNull() | ~F.col("ambiguous")))
+    return _rows(found, docs, lang=F.coalesce(lang, F.col("lang_pred")))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: of the smallest doc_id, a null one last, then by a hash of the text.
 
-    Rows are numbered, so that null and repeated ids are rows like others. Texts without words
-    are in no group.
+    Rows are numbered, so that null and repeated ids are rows like others, and carried whole,
+    so that a column of any name comes out as it went in. Texts without words are in no group.
     """
-    ranked = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
-    rows = stored(docs.withColumn("_rank", ranked).withColumn("_number", F.monotonically_increasing_id()))
-    found = minhash_dedup.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"))
-    groups = stored(found.select(F.col("doc_id").alias("_number"), "component_id")
-                    .join(rows.select("_number", F.struct("_rank", "_number").alias("_place")), "_number"))
-    first = groups.groupBy("component_id").agg(F.min("_place").alias("_first"), F.count("*").alias("n")).where("n > 1")
-    gone = stored(groups.join(small_side(stored(first)), "component_id").where("_place != _first").select("_number"))
-    return rows.join(small_side(gone), "_number", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first_of = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(docs.select(first_of.alias("place"), F.monotonically_increasing_id().alias("number"), whole.alias(ROW)))
+    found = minhash_dedup.near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col(f"{ROW}.text").alias("text")))
+    groups = stored(found.select(F.col("doc_id").alias("number"), "component_id")
+                    .join(rows.select("number", F.struct("place", "number").alias("place")), "number"))
+    first = groups.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = stored(groups.join(small_side(stored(first)), "component_id").where("place != first").select("number"))
+    return _rows(rows.join(small_side(gone), "number", "left_anti"), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in the text replaced by a mark; n_chars follows the text."""
     found = secret_scan.find_secrets(docs, secret_scan.train(docs), redact=True, whole=True)
-    more = {"n_chars": F.length("redacted").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    more = {"n_chars": F.coalesce(F.length("redacted").cast(docs.schema["n_chars"].dataType), F.col(f"{ROW}.n_chars"))} if "n_chars" in docs.columns else {}
     return _rows(found, docs, text=F.col("redacted"), **more)
 
 
