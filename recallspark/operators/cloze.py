@@ -2,7 +2,8 @@
 
 Same output contract as the model steps: ``q`` holds the blank, ``a`` what was
 removed. Rarity is the number of documents a word occurs in; ties go to the
-longer word, then to the first in the alphabet.
+longer word, then to the first in the alphabet. Words stand between spaces; statements with
+scripts that set none are cut into words first (``segmentation``).
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
 from ..settings import BLANK
-from . import sizing
-from .sizing import measured_bytes, spread_over_cores
+from . import segmentation, sizing
+from .sizing import measured_bytes, small_side, spread_over_cores
 
 # Where statements end, and what a word's key leaves out.
 STATEMENT_END = r"[.!?]+[ ]+|[。！？]+|\n+"
 NOT_IN_KEY = r"[^\p{L} ]"
 MIN_LETTERS = 3
+MIN_UNSPACED = 2
 
 # So many of the most frequent words are sent to every task when the vocabulary is too large for that.
 HEAD_WORDS = 100_000
@@ -82,14 +84,52 @@ def rarest_words(points: DataFrame, ranks: DataFrame, head_words: int = HEAD_WOR
     return _rarest(frequent.unionAll(rare)).join(ranks, "rank").drop("rank")
 
 
+def unspaced_cards(points: DataFrame) -> DataFrame:
+    """(doc_id, pos, q, a) of the statements (doc_id, pos, point) with scripts without spaces.
+
+    The blank is a word of two characters or more of such a script; every place where the cut has
+    that word becomes blank, everything else stays. A statement of nothing but the blank gives no
+    card.
+    """
+    several = settled(segmentation.parts(points))
+    cut = settled(segmentation.segments(several))
+    words = cut.select("doc_id", "pos", F.explode(F.array_distinct(F.filter("words", lambda w: F.char_length(w) >= MIN_UNSPACED))).alias("key"))
+    counted = words.select("doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("documents"))
+    ranked = counted.orderBy("documents", F.desc(F.char_length("key")), "key")
+    ranks = small_side(settled(ranked.select("key", F.monotonically_increasing_id().alias("rank"))))
+    best = _rarest(words.join(ranks, "key")).join(ranks, "rank").select("doc_id", "pos", F.col("key").alias("blanked"))
+    spoken = several.where("NOT unspaced").select("doc_id", "pos", "part", F.array("text").alias("words"), F.lit(False).alias("cut"))
+    tokens = cut.select("doc_id", "pos", "part", "words", F.lit(True).alias("cut")).unionAll(spoken).groupBy("doc_id", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("part", "words", "cut"))).alias("parts"))
+    flat = tokens.select("doc_id", "pos", F.flatten(F.transform("parts", lambda p: F.transform(
+        p["words"], lambda w: F.struct(w.alias("w"), p["cut"].alias("cut"))))).alias("tokens"))
+
+    def out(token):
+        return token["cut"] & (token["w"] == F.col("blanked"))
+
+    whole = flat.join(best, ["doc_id", "pos"]).where(F.exists("tokens", lambda t: ~out(t) & t["w"].rlike(r"\p{L}")))
+    return whole.select(
+        "doc_id", "pos",
+        F.array_join(F.transform("tokens", lambda t: F.when(out(t), F.lit(BLANK)).otherwise(t["w"])), "").alias("q"),
+        F.col("blanked").alias("a"))
+
+
 def cloze_cards(documents: DataFrame, head_words: int = HEAD_WORDS, max_bytes: int | None = None) -> DataFrame:
     """(doc_id, pos, q, a): one card per statement with a word of three letters or more and another word beside it.
 
     Statement keys are unique, so one huge document spreads over all tasks. A statement
-    that would be nothing but the blank gives no card; so does a text without spaces.
+    that would be nothing but the blank gives no card. Statements with scripts without
+    spaces are those of ``unspaced_cards``; whether there are any is looked up first.
     """
     documents = spread_over_cores(documents)
     points = statements(documents)
+    spaced = _spaced_cards(documents, points.where(~F.col("point").rlike(segmentation.UNSPACED)), head_words, max_bytes)
+    if documents.where(F.col("text").rlike(segmentation.UNSPACED)).isEmpty():
+        return spaced
+    return spaced.unionByName(unspaced_cards(points))
+
+
+def _spaced_cards(documents, points, head_words, max_bytes):
     best = rarest_words(points, word_ranks(documents), head_words, max_bytes)
     whole = points.join(best, ["doc_id", "pos"]).select(
         "doc_id", "pos", F.split("point", " ").alias("_words"), _keys(F.col("point")).alias("_keys"),

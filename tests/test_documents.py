@@ -1,4 +1,7 @@
 import json
+import math
+import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions.completions import resolved_pairs, resolved_points
 from recallspark.functions.text import decode_utf8, document_kind, float_text, strip_blanks, unfence
-from recallspark.operators import cloze, documents, imports, prompts
+from recallspark.operators import cloze, documents, imports, prompts, segmentation
 from recallspark.operators.ids import last_id, numbered
 from recallspark.plans.document_import import document_texts, import_documents
 from recallspark.schemas import CARDS, IMPORTED_FILES, SUBJECTS
@@ -335,6 +338,91 @@ def test_cloze(spark, parts, head, max_bytes):
     assert len(rows) == len(set(rows)) and set(rows) == expected_cloze(TEXTS)
 
 
+# -- scripts without spaces ----------------------------------------------------------------------------------------
+
+HAN = "学习 记忆 卡片 复习 数据 引擎 计算 系统 的 是 和 在 老师 学生 每天 重点 知识点 考试 方法 时间".split()
+THAI = "เรียน จำ บัตร ครู วัน สอบ คน มา ไป ดี บ้าน น้ำ".split()
+
+
+def unspaced_texts(words, n, seed):
+    rng = random.Random(seed)
+    return ["。".join("".join(rng.choice(words) for _ in range(rng.randint(2, 9))) for _ in range(15)) for _ in range(n)]
+
+
+def expected_segments(pieces):
+    """Cuts of every piece: entropies by counting neighbours, the best of all cuts by recursion over its ends."""
+    most, beside = segmentation.WORD_MOST, {}
+    for piece in pieces:
+        for i in range(len(piece)):
+            for j in range(i + 1, min(len(piece), i + most) + 1):
+                left, right = beside.setdefault(piece[i:j], ([], []))
+                left.append(piece[i - 1] if i else object())
+                right.append(piece[j] if j < len(piece) else object())
+
+    def entropy(seen):
+        return -sum(n / len(seen) * math.log(n / len(seen)) for n in Counter(seen).values())
+
+    h = {g: (entropy(left), entropy(right)) for g, (left, right) in beside.items()}
+    rise = {g: h[g][1] - (h[g[:-1]][1] if g[:-1] else 0) + h[g][0] - (h[g[1:]][0] if g[1:] else 0) for g in h}
+    usual = {n: sum(r for g, r in rise.items() if len(g) == n) / sum(len(g) == n for g in rise) for n in range(1, most + 1) if any(len(g) == n for g in rise)}
+    score = {g: round((r - usual[len(g)]) * len(g), segmentation.DIGITS) for g, r in rise.items()}
+
+    def cut(piece):
+        best = [(0.0, [])]
+        for j in range(1, len(piece) + 1):
+            best.append(max(((best[j - n][0] + score[piece[j - n:j]], n, best[j - n][1] + [piece[j - n:j]]) for n in range(1, min(j, most) + 1)),
+                            key=lambda x: (x[0], x[1]))[::2])
+        return best[-1][1]
+
+    return {piece: cut(piece) for piece in pieces}
+
+
+@pytest.mark.parametrize("words", [HAN, THAI])
+def test_words_of_scripts_without_spaces(spark, words):
+    """Equal to a cut by hand, and nearly all of it real words."""
+    texts = unspaced_texts(words, 40, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    several = segmentation.parts(cloze.statements(docs))
+    found = segmentation.segments(several).collect()
+    pieces = [s for t in texts for s in t.split("。")]
+    expected = expected_segments(pieces)
+    assert sorted(r.words for r in found) == sorted(expected[p] for p in pieces)
+    if words is HAN:
+        cuts = [w for r in found for w in r.words]
+        assert sum(w in words for w in cuts) > 0.95 * len(cuts)
+
+
+def test_cards_of_scripts_without_spaces(spark):
+    """Every statement of two words or more gives a card that can be undone; mixed text keeps what is between."""
+    texts = unspaced_texts(HAN, 30, 2) + ["Spark 是计算引擎, fast. 数据", "plain words here. and there", "学生每天学习abc记忆 12", "学"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    cards = cloze.cloze_cards(docs).collect()
+    points = {(r.doc_id, r.pos): r.point for r in cloze.statements(docs).collect()}
+    assert all(r.q.replace("____", r.a) == points[r.doc_id, r.pos] and "____" in r.q for r in cards)
+    of = {(r.doc_id, r.pos): (r.q, r.a) for r in cards}
+    assert len(of) == len(cards) and sum(i < 30 for i, _ in of) > 0.97 * sum(i < 30 for i, _ in points)
+    # Rarity: of the words of a statement the one in the fewest documents, then the longest, then the first.
+    cut = segmentation.segments(segmentation.parts(cloze.statements(docs))).collect()
+    spread = {w: len({r.doc_id for r in cut if w in r.words}) for r in cut for w in r.words}
+    words = {}
+    for r in cut:
+        words.setdefault((r.doc_id, r.pos), []).extend(w for w in r.words if len(w) >= 2)
+    assert all(of[k][1] == min(words[k], key=lambda w: (spread[w], -len(w), w)) for k in of if k in words)
+    assert of[30, 0][0].startswith("Spark ") and of[31, 0] == ("____ words here", "plain") and (33, 0) not in of
+
+
+def test_long_runs_are_cut_in_pieces(spark):
+    rng = random.Random(3)
+    run = "".join(rng.choice(HAN) for _ in range(300))
+    docs = spark.createDataFrame([(1, run)], "doc_id long, text string")
+    several = segmentation.parts(cloze.statements(docs)).orderBy("part").collect()
+    assert [len(r.text) for r in several[:-1]] == [segmentation.PIECE] * (len(several) - 1) and "".join(r.text for r in several) == run
+    cut = segmentation.segments(segmentation.parts(cloze.statements(docs))).orderBy("part").collect()
+    assert "".join(w for r in cut for w in r.words) == run
+    card = cloze.cloze_cards(docs).first()
+    assert card.q.replace("____", card.a) == run
+
+
 def test_cloze_can_be_undone(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     points = {(r.doc_id, r.pos): r.point for r in cloze.statements(docs).collect()}
