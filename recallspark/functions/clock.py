@@ -69,3 +69,9 @@ def on_day(text: Column, day: date) -> Column:
 def on_day_filter(text: Column, day: date) -> Column:
     """``on_day`` for use in ``where``, without the NULL guard that would block pushdown."""
     return text.startswith(day.isoformat()) & text.rlike(REST_OF_DAY_FORM)
+
+
+def named_day(text: Column) -> Column:
+    """The day on which timestamp text falls, as ISO text; NULL if on none. Equal to ``on_day`` for every day."""
+    first = F.left(text, F.lit(10))
+    return F.when(text.rlike(REST_OF_DAY_FORM) & first.rlike(r"^\d{4}-\d{2}-\d{2}\z"), first)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import clock, scoring
 from ..functions.predicates import is_learning, is_live
 from ..settings import LABELS, LIMITS, MAX_MASTERY, WEIGHTS, ReasonLabels, ReasonLimits, ScoreWeights
-from .sizing import small_side, small_sides
+from . import sizing
+from .idsets import without_ids
+from .sizing import measured_bytes, side_width
 
 CARD_COLUMNS = [
     "id", "subject_id", "question", "answer", "created_at", "last_reviewed_at", "review_count", "mastery_level",
@@ -36,17 +38,17 @@ def logged_cards(logs: DataFrame, as_of: datetime) -> DataFrame:
 
 def eligible_cards(cards: DataFrame, logs: DataFrame, as_of: datetime, max_mastery: int = MAX_MASTERY) -> DataFrame:
     """Learning cards not yet recommended today."""
-    logged = small_side(logged_cards(logs, as_of), _logged_today(logs, as_of))
-    return learning_cards(cards, max_mastery).join(logged, "id", "left_anti")
+    logged = _logged_today(logs, as_of)
+    return without_ids(learning_cards(cards, max_mastery), logged, measured_bytes(logged)[0])
 
 
 def _eligible_with_subject(cards, subjects, subject_side, logs, as_of, max_mastery):
     """Eligible cards joined with ``subject_side``, one row per subject."""
-    logged, side = small_sides(
-        (logged_cards(logs, as_of), _logged_today(logs, as_of)),
-        (subject_side, subjects),
-    )
-    return learning_cards(cards, max_mastery).join(logged, "id", "left_anti").join(side, "subject_id")
+    logged = _logged_today(logs, as_of)
+    width = side_width(subject_side, subjects)
+    logged_bytes, subject_bytes = measured_bytes(logged, subjects, widths=[1, width])
+    side = F.broadcast(subject_side) if subject_bytes <= sizing.BROADCAST_BYTES else subject_side
+    return without_ids(learning_cards(cards, max_mastery), logged, logged_bytes).join(side, "subject_id")
 
 
 def review_candidates(cards: DataFrame, subjects: DataFrame, logs: DataFrame, as_of: datetime,

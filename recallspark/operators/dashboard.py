@@ -52,6 +52,47 @@ def subject_progress(cards: DataFrame, subjects: DataFrame, count_missing: bool
     )
 
 
+# Partial sums of cards, which add up to the numbers above whatever parts the cards come in.
+SUMMARY = "subject_id long, day string, cards long, live long, mastery_sum long, mastery_count long"
+
+
+def card_summary(cards: DataFrame, *by: str) -> DataFrame:
+    """Per subject and day of the last review (and ``by``): cards, live cards, sum and count of their masteries."""
+    live = F.coalesce(is_live(), F.lit(False))
+    mastery = F.when(live, F.col("mastery_level").cast("long"))
+    return cards.groupBy(*by, "subject_id", clock.named_day(F.col("last_reviewed_at")).alias("day")).agg(
+        F.count("*").alias("cards"), F.count_if(live).alias("live"), F.coalesce(F.sum(mastery), F.lit(0)).alias("mastery_sum"),
+        F.count(mastery).alias("mastery_count"))
+
+
+def totals_of(summary: DataFrame, as_of: datetime) -> DataFrame:
+    """``dashboard_totals`` from summaries of parts of the cards."""
+    return summary.agg(
+        F.coalesce(F.sum("live"), F.lit(0)).alias("total_cards"),
+        F.coalesce(F.sum(F.when(F.col("day") == as_of.date().isoformat(), F.col("live"))), F.lit(0)).alias("today_reviews"),
+        (F.sum("mastery_sum") / F.nullif(F.sum("mastery_count"), F.lit(0))).alias("mean_mastery"),
+    ).select(
+        "total_cards", "today_reviews",
+        F.coalesce(round_to_cents(F.col("mean_mastery")), F.lit(0.0)).alias("avg_mastery"),
+        "mean_mastery",
+    )
+
+
+def progress_of(summary: DataFrame, subjects: DataFrame, count_missing: bool = True, max_mastery: int = MAX_MASTERY) -> DataFrame:
+    """``subject_progress`` from summaries of parts of the cards."""
+    per_subject = summary.groupBy(F.col("subject_id").alias("id")).agg(
+        (F.sum("mastery_sum") / F.nullif(F.sum("mastery_count"), F.lit(0))).alias("mean"),
+        F.sum("live").alias("live"), F.sum("cards").alias("cards")).where("cards > 0")
+    mean = F.coalesce(F.col("mean"), F.lit(0.0))
+    return subjects.select("id", "name").join(per_subject, "id", "left").select(
+        F.col("id").alias("subject_id"),
+        "name",
+        mean.alias("avg_mastery"),
+        F.coalesce(F.col("live"), F.lit(1 if count_missing else 0)).cast("long").alias("card_count"),
+        (mean / F.lit(float(max_mastery))).alias("progress"),
+    )
+
+
 def progress_lines(progress: DataFrame) -> DataFrame:
     """Display form: the heading of each subject and its bar, never past 1."""
     return progress.select(

@@ -15,10 +15,15 @@ def _typed(df, schema):
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def new_subjects(entries: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
+def _after(table, after):
+    """The id before the first new one: reserved (see ``sources.ledger``), or the table's largest."""
+    return last_id(table) if after is None else after
+
+
+def new_subjects(entries: DataFrame, subjects: DataFrame, key: str, after: int | None = None) -> DataFrame:
     """Rows to append to ``subjects``; entries without a name are refused."""
     named = entries.where(F.col("name") != "")
-    return _typed(numbered(named, key, last_id(subjects)), SUBJECTS)
+    return _typed(numbered(named, key, _after(subjects, after)), SUBJECTS)
 
 
 def _fresh_cards(rows, as_of):
@@ -29,13 +34,14 @@ def _fresh_cards(rows, as_of):
     return _typed(rows.withColumns(fresh), CARDS)
 
 
-def new_cards(pairs: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
+def new_cards(pairs: DataFrame, cards: DataFrame, as_of: datetime, after: int | None = None) -> DataFrame:
     """Rows to append to ``cards`` from (doc_id, subject_id, pairs).
 
     Ids are claimed per document before its pairs become rows, so they run on within
-    a document. A document without pairs claims none.
+    a document. A document without pairs claims none. Imports planned at the same time need
+    an ``after`` of their own each.
     """
-    first = numbered(pairs, "doc_id", last_id(cards), F.size("pairs"), into="_first")
+    first = numbered(pairs, "doc_id", _after(cards, after), F.size("pairs"), into="_first")
     rows = first.select("subject_id", "_first", F.posexplode("pairs").alias("_pos", "_pair")).select(
         (F.col("_first") + F.col("_pos")).alias("id"), "subject_id",
         F.col("_pair.q").alias("question"), F.col("_pair.a").alias("answer"),
@@ -43,7 +49,7 @@ def new_cards(pairs: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
     return _fresh_cards(rows, as_of)
 
 
-def new_cards_from_rows(rows: DataFrame, cards: DataFrame, as_of: datetime) -> DataFrame:
+def new_cards_from_rows(rows: DataFrame, cards: DataFrame, as_of: datetime, after: int | None = None) -> DataFrame:
     """As ``new_cards``, from one row (doc_id, pos, subject_id, q, a) per card.
 
     Each row is numbered on its own, so a document of any number of cards is never
@@ -53,14 +59,14 @@ def new_cards_from_rows(rows: DataFrame, cards: DataFrame, as_of: datetime) -> D
         F.concat_ws(":", "doc_id", "pos").alias("_key"), "subject_id",
         F.col("q").alias("question"), F.col("a").alias("answer"),
     )
-    return _fresh_cards(numbered(keyed, "_key", last_id(cards)), as_of)
+    return _fresh_cards(numbered(keyed, "_key", _after(cards, after)), as_of)
 
 
-def new_import_rows(documents: DataFrame, imported_files: DataFrame, as_of: datetime) -> DataFrame:
+def new_import_rows(documents: DataFrame, imported_files: DataFrame, as_of: datetime, after: int | None = None) -> DataFrame:
     """Rows to append to ``imported_files`` for (doc_id, subject_id, file_name) that gave cards."""
     rows = documents.select("doc_id", "subject_id", "file_name")
     now = F.lit(as_of_text(as_of))
-    return _typed(numbered(rows, "doc_id", last_id(imported_files)).withColumn("imported_at", now), IMPORTED_FILES)
+    return _typed(numbered(rows, "doc_id", _after(imported_files, after)).withColumn("imported_at", now), IMPORTED_FILES)
 
 
 def new_log_rows(queue: DataFrame, logs: DataFrame, as_of: datetime, all_logs: DataFrame | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.completions import resolved_pairs, resolved_points
+from ..session import settled, subfolders
 from ..settings import PROMPT_CHARS
 
 POINTS_INSTRUCTION = (
@@ -82,12 +85,13 @@ def cards_json(pairs: DataFrame) -> DataFrame:
 Model = Callable[[list[dict], bool], str]
 
 
-def complete(prompts: DataFrame, open_model: Callable[[], Model]) -> DataFrame:
+def complete(prompts: DataFrame, open_model: Callable[[], Model], concurrency: int = 1) -> DataFrame:
     """Model answers for (doc_id, part, system, user) prompts: (doc_id, part, raw, error).
 
-    ``open_model`` is called once per task and returns ``model(messages, json_mode)``.
-    A call that fails in JSON mode is tried once more without it; a second failure
-    leaves the answer NULL, which later steps read as no result, and says why in ``error``.
+    ``open_model`` is called once per task and returns ``model(messages, json_mode)``; up to
+    ``concurrency`` calls of a task run at a time. A call that fails in JSON mode is tried once
+    more without it; a second failure leaves the answer NULL, which later steps read as no
+    result, and says why in ``error``.
     """
 
     def answer(model, system, user):
@@ -102,9 +106,45 @@ def complete(prompts: DataFrame, open_model: Callable[[], Model]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = open_model()
-        for batch in batches:
-            answers = [answer(model, s, u) for s, u in zip(batch["system"], batch["user"])]
-            texts = {name: pd.Series([a[i] for a in answers], dtype="object", index=batch.index) for i, name in enumerate(("raw", "error"))}
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "part": batch["part"], **texts})
+        with ThreadPoolExecutor(max_workers=concurrency) as calls:
+            for batch in batches:
+                answers = list(calls.map(lambda asked: answer(model, *asked), zip(batch["system"], batch["user"])))
+                texts = {name: pd.Series([a[i] for a in answers], dtype="object", index=batch.index) for i, name in enumerate(("raw", "error"))}
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "part": batch["part"], **texts})
 
     return prompts.select("doc_id", "part", "system", "user").mapInPandas(run, "doc_id long, part int, raw string, error string")
+
+
+ANSWERS = "key string, raw string"
+
+
+def prompt_key() -> Column:
+    """What an answer is kept by: a hash of both texts of the prompt."""
+    return F.sha2(F.to_json(F.struct("system", "user")), 256)
+
+
+def kept_answers(spark: SparkSession, store: str) -> DataFrame:
+    """(key, raw) of the answers in a store; one for each key, whatever runs at the same time wrote."""
+    if not subfolders(spark, store):
+        return spark.createDataFrame([], ANSWERS)
+    written = spark.read.schema(ANSWERS).option("recursiveFileLookup", "true").parquet(store)
+    return written.groupBy("key").agg(F.min("raw").alias("raw"))
+
+
+def complete_kept(prompts: DataFrame, open_model: Callable[[], Model], store: str, concurrency: int = 1) -> DataFrame:
+    """As ``complete``, asking only for what the folder ``store`` does not hold, and keeping every answer there.
+
+    Equal prompts are asked once. Answers outlive the application: a second run over the
+    same prompts makes no call, one after failures asks for those alone.
+    """
+    spark = prompts.sparkSession
+    keyed = settled(prompts.select("doc_id", "part", "system", "user", prompt_key().alias("key")))
+    missing = keyed.select("key", "system", "user").dropDuplicates(["key"]).join(kept_answers(spark, store).select("key"), "key", "left_anti")
+    # Numbers stand for the prompts while they are asked; written, so that every use sees the same.
+    asked = settled(missing.select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("part"), "key", "system", "user"))
+    answers = settled(complete(asked, open_model, concurrency)).join(asked.select("doc_id", "key"), "doc_id")
+    # A folder per run: files of a run that broke off are never read as part of another's.
+    answers.where(F.col("raw").isNotNull()).select("key", "raw").write.parquet(f"{store}/run={uuid.uuid4().hex}")
+    failed = answers.where(F.col("raw").isNull()).select("key", "error")
+    return keyed.select("doc_id", "part", "key").join(kept_answers(spark, store), "key", "left").join(failed, "key", "left").select(
+        "doc_id", "part", "raw", "error")

@@ -27,6 +27,12 @@ def measured_bytes(*dfs: DataFrame, widths: list[int] | None = None) -> list[int
     return [row["bytes"] for row in sorted(sizes.collect())]
 
 
+def side_width(side: DataFrame, basis: DataFrame) -> int:
+    """Fields of a side; a text column that the basis lacks counts as so many fields more."""
+    made = [f for f in side.schema if isinstance(f.dataType, StringType) and f.name not in basis.columns]
+    return len(side.columns) + TEXT_FIELDS * len(made)
+
+
 def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int | None = None) -> list[DataFrame]:
     """Join sides, each marked for broadcast if it measures small.
 
@@ -35,11 +41,7 @@ def small_sides(*sides: tuple[DataFrame, DataFrame], max_bytes: int | None = Non
     join is then shuffled, and adaptive execution splits the partitions of hot keys.
     """
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    # A text column of the side that the basis lacks counts as so many fields more.
-    widths = [
-        len(side.columns) + sum(TEXT_FIELDS for f in side.schema if isinstance(f.dataType, StringType) and f.name not in basis.columns)
-        for side, basis in sides
-    ]
+    widths = [side_width(side, basis) for side, basis in sides]
     sizes = measured_bytes(*[basis for _, basis in sides], widths=widths)
     return [F.broadcast(side) if size <= max_bytes else side for (side, _), size in zip(sides, sizes)]
 

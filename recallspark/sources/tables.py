@@ -14,28 +14,23 @@ Whoever reads the cards notes the version and the appended files that the read h
 (``CardVersion``); the cards are the snapshot's rows and every appended file that it does not
 hold. Whoever writes a snapshot hands that note in: files appended meanwhile stay appended, and if
 another snapshot was written meanwhile, the write fails (``SnapshotConflict``) and nothing
-changes. A version is published by creating its file, which fails if the file exists; that needs a
-store whose "create unless it exists" is atomic, as HDFS's is. An empty version file is one whose
-writer died at that moment: delete it.
+changes. A version is published by creating its file, which fails if the file exists (``ledger``).
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 from hashlib import md5
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import CARD_DEFAULTS, TABLES, with_defaults
 from ..session import file_system, subfolders
-
-VERSION_DIGITS = 12
+from . import ledger
 
 
 class SnapshotConflict(RuntimeError):
@@ -97,8 +92,11 @@ def _files(spark, path):
     return sorted(found)
 
 
-def _read(spark, path, name, files):
-    """Some data files of a table's folder. Each is read with its own columns; a generation's files share theirs."""
+def _read(spark, path, name, files, path_column=None):
+    """Some data files of a table's folder. Each is read with its own columns; a generation's files share theirs.
+
+    ``path_column`` names a further column with the path of each row's file.
+    """
     schema, defaults = TABLES[name], CARD_DEFAULTS if name == "cards" else None
     groups: dict[str, list[str]] = {}
     for file in files:
@@ -110,7 +108,10 @@ def _read(spark, path, name, files):
     frames = [spark.read.schema(own).parquet(*[f"{path}/{m}" for m in members]) for own, members in by_columns.values()]
     if not frames:
         return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, [with_defaults(f, schema, defaults) for f in frames])
+    if path_column is None:
+        return reduce(DataFrame.unionByName, [with_defaults(f, schema, defaults) for f in frames])
+    more = StructType([*schema, StructField(path_column, StringType())])
+    return reduce(DataFrame.unionByName, [with_defaults(f.withColumn(path_column, F.col("_metadata.file_path")), more, defaults) for f in frames])
 
 
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -173,25 +174,17 @@ def load_logs(spark: SparkSession, folder: str, day: date | None = None) -> Data
     return with_defaults(logs, TABLES["recommendation_logs"])
 
 
-def _published(spark, folder):
-    """Numbers of the published versions."""
-    system, path = file_system(spark, f"{folder}/card_versions")
-    if not system.exists(path):
-        return []
-    return sorted(int(s.getPath().getName()) for s in system.listStatus(path) if s.isFile() and s.getLen() > 0)
-
-
-def _version_path(folder, number):
-    return f"{folder}/card_versions/{number:0{VERSION_DIGITS}}"
+def _versions(folder):
+    return f"{folder}/card_versions"
 
 
 def card_version(spark: SparkSession, folder: str, number: int | None = None) -> CardVersion:
     """The current version of the cards with the files appended so far; or an earlier version as it was written."""
-    numbers = _published(spark, folder)
+    numbers = ledger.entries(spark, _versions(folder))
     wanted = number if number is not None else max(numbers, default=0)
     version = CardVersion()
     if wanted:
-        named = json.loads(spark.read.text(_version_path(folder, wanted), wholetext=True).first()[0])
+        named = ledger.entry(spark, _versions(folder), wanted)
         held = spark.read.schema("path string").parquet(f"{folder}/card_snapshots/{named['snapshot']}/held").collect()
         version = CardVersion(wanted, named["run_id"], named["snapshot"], frozenset(r["path"] for r in held))
     if number is not None:
@@ -200,9 +193,9 @@ def card_version(spark: SparkSession, folder: str, number: int | None = None) ->
     return CardVersion(version.number, version.run_id, version.snapshot, version.held, appended)
 
 
-def load_cards(spark: SparkSession, folder: str, version: CardVersion) -> DataFrame:
-    """The cards that ``version`` holds, whatever was written since."""
-    appended = _read(spark, f"{folder}/cards", "cards", version.appended)
+def load_cards(spark: SparkSession, folder: str, version: CardVersion, path_column: str | None = None) -> DataFrame:
+    """The cards that ``version`` holds, whatever was written since; of appended files alone also their paths."""
+    appended = _read(spark, f"{folder}/cards", "cards", version.appended, path_column)
     if version.snapshot is None:
         return appended
     base = spark.read.schema(TABLES["cards"]).parquet(f"{folder}/card_snapshots/{version.snapshot}/cards")
@@ -224,14 +217,16 @@ def write_snapshot(cards: DataFrame, folder: str, run_id: str, read: CardVersion
     held = sorted({*read.held, *read.appended})
     spark.createDataFrame([(f,) for f in held], "path string").coalesce(1).write.parquet(f"{place}/held")
     done = _check(spark, folder, run_id, read)
-    if done is None:
-        done = _publish(spark, folder, CardVersion(read.number + 1, run_id, name, frozenset(held)), read)
-    return done
+    if done is not None:
+        return done
+    if not ledger.create_entry(spark, _versions(folder), read.number + 1, {"run_id": run_id, "snapshot": name, "read": read.number}):
+        raise SnapshotConflict(f"run {run_id} read version {read.number}, another run has published the next one")
+    return CardVersion(read.number + 1, run_id, name, frozenset(held))
 
 
 def _check(spark, folder, run_id, read):
     """The version that this run published from ``read`` before, None if there is nothing newer than ``read``."""
-    newest = max(_published(spark, folder), default=0)
+    newest = max(ledger.entries(spark, _versions(folder)), default=0)
     if newest == read.number:
         return None
     after = card_version(spark, folder, read.number + 1) if newest > read.number else CardVersion()
@@ -240,19 +235,6 @@ def _check(spark, folder, run_id, read):
     return after
 
 
-def _publish(spark, folder, version, read):
-    system, path = file_system(spark, _version_path(folder, version.number))
-    try:
-        out = system.create(path, False)
-    except Py4JJavaError as error:
-        if not system.exists(path):
-            raise
-        raise SnapshotConflict(f"run {version.run_id} read version {read.number}, another run has published the next one") from error
-    out.write(bytearray(json.dumps({"run_id": version.run_id, "snapshot": version.snapshot, "read": read.number}).encode()))
-    out.close()
-    return version
-
-
 def current_snapshot(spark: SparkSession, folder: str) -> str | None:
     """The run that wrote the current version, None before the first."""
     return card_version(spark, folder).run_id
@@ -260,7 +242,7 @@ def current_snapshot(spark: SparkSession, folder: str) -> str | None:
 
 def load_snapshot(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
     """The cards as run ``run_id`` left them; the last time, if it wrote several versions."""
-    for number in reversed(_published(spark, folder)):
+    for number in reversed(ledger.entries(spark, _versions(folder))):
         version = card_version(spark, folder, number)
         if version.run_id == run_id:
             return load_cards(spark, folder, version)
