@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from recallspark.functions import clock  # noqa: E402
-from recallspark.operators import candidates, cloze, dashboard, documents, imports, prompts, queue, reviews  # noqa: E402
+from recallspark.operators import candidates, cloze, dashboard, documents, idsets, imports, prompts, queue, reviews, sizing  # noqa: E402
 from recallspark.plans import document_import, study_day  # noqa: E402
 from recallspark.schemas import CARDS, CARD_DEFAULTS, with_defaults  # noqa: E402
 from recallspark.session import settled, work_dir  # noqa: E402
-from recallspark.sources import star_schema as study, tables  # noqa: E402
+from recallspark.sources import ledger, star_schema as study, summaries, tables  # noqa: E402
 from recallspark.streaming import card_state  # noqa: E402
 
 # The corpus operators may be taken away; everything else works without them.
@@ -128,6 +128,15 @@ def _completed_prompts(spark, d):
     return prompts.complete(prompts.point_prompts(study.documents(spark, d)), open_stand_in)
 
 
+def _kept_prompts(spark, d):
+    """The answers of a second run, which finds those of the first in the store."""
+    _ship_package(spark)
+    store = f"{work_dir(spark)}/answers-{uuid.uuid4().hex}"
+    asked = prompts.point_prompts(study.documents(spark, d))
+    prompts.complete_kept(asked.where("doc_id % 2 = 0"), open_stand_in, store)
+    return prompts.complete_kept(asked, open_stand_in, store)
+
+
 def _import(spark, d, model=None):
     """Uploaded files and PDF pages to cards, import rows and a report."""
     _ship_package(spark)
@@ -185,6 +194,38 @@ def _stored_tables(spark, d):
     return kept.unionAll(stored["recommendation_logs"].select(F.lit("log"), "id", *empty, "recommended_at")).unionAll(of_day)
 
 
+def _summed_parts(spark, d):
+    """The dashboard from sums per stored part: looked at before and after an append and a snapshot."""
+    folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
+    cards = study.cards(spark, d)
+    tables.append_rows(cards.where("id % 3 = 0"), folder, "cards")
+    summaries.summarise_new(spark, folder, tables.card_version(spark, folder))
+    tables.append_rows(cards.where("id % 3 = 1"), folder, "cards")
+    read = tables.load_tables(spark, folder)
+    tables.write_snapshot(study_day.close_day(read["cards"], study.reviews(spark, d)), folder, "day", read.card_version)
+    tables.append_rows(cards.where("id % 3 = 2"), folder, "cards")
+    return summaries.stored_summary(spark, folder)
+
+
+def _reserved_subjects(spark, d):
+    """Two batches of subjects planned before either is written, each with ids of its own."""
+    folder = f"{work_dir(spark)}/study-{uuid.uuid4().hex}"
+    subjects, offered = study.subjects(spark, d), study.offered_subjects(spark, d)
+    made = []
+    for part in (0, 1):
+        entries = offered.where(f"form_id % 2 = {part}")
+        after = ledger.reserve_ids(subjects, folder, "subjects", ledger.id_count(entries.where("name <> ''")))
+        made.append(imports.new_subjects(entries, subjects, "form_id", after))
+    return made[0].unionAll(made[1])
+
+
+def _unlogged_cards(spark, d):
+    """Learning cards that the logs of all days do not name, filtered by bit maps."""
+    logged = study.recommendation_logs(spark, d).select(F.col("card_id").alias("id"))
+    learning = candidates.learning_cards(study.cards(spark, d))
+    return idsets.without_ids(learning, logged, sizing.BROADCAST_BYTES + 1).select("id", "mastery_level")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The top cards to review, on the smallest data set."""
     return queries()["top_priority_cards"](spark, FLAGSHIP_DIR)
@@ -260,6 +301,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "added_subjects": lambda spark, d: imports.new_subjects(
             study.offered_subjects(spark, d), study.subjects(spark, d), "form_id"),
         "completed_prompts": _completed_prompts,
+        "completed_prompts_kept": _kept_prompts,
+        "unlogged_cards_by_bit_map": _unlogged_cards,
+        "summed_totals": lambda spark, d: dashboard.totals_of(_summed_parts(spark, d), AS_OF),
+        "summed_progress": lambda spark, d: dashboard.progress_of(_summed_parts(spark, d), study.subjects(spark, d)),
+        "reserved_subjects": _reserved_subjects,
         "model_import_cards": lambda spark, d: _import(spark, d, open_stand_in).card_rows,
         "model_import_report": _model_import_report,
         "stored_tables": _stored_tables,

@@ -205,6 +205,14 @@ WHERE len(list_filter(list_transform(string_split(point, ' '), lambda w: lower(r
 """
 
 
+# The cards after the day's grades; every third card was appended after they had been read.
+REGRADED = """, regraded AS (
+  SELECT c.id, c.subject_id, CASE WHEN f.card_id IS NULL THEN c.last_reviewed_at ELSE f.last_reviewed_at END AS last_reviewed_at,
+         CASE WHEN f.card_id IS NULL THEN c.mastery_level ELSE f.mastery_level END AS mastery_level,
+         CASE WHEN f.card_id IS NULL THEN c.ignored ELSE f.ignored END AS ignored
+  FROM cards c LEFT JOIN final f ON f.card_id = c.id AND c.id % 3 <> 2)"""
+
+
 def _numbered(key: str) -> str:
     return f"row_number() OVER (ORDER BY substr(md5(CAST({key} AS VARCHAR)), 1, 4), {key})"
 
@@ -314,6 +322,21 @@ SQL = {
         CAST(DATE '2024-01-15' + CAST(c_custkey % 45 AS INTEGER) AS VARCHAR) AS ddl
         FROM customer WHERE c_custkey % 10 <> 0""",
     "completed_prompts": f"{STUDY} {_model('files')} SELECT doc_id, CAST(part AS INTEGER) AS part, raw, error FROM answered",
+    "completed_prompts_kept": f"{STUDY} {_model('files')} SELECT doc_id, CAST(part AS INTEGER) AS part, raw, error FROM answered",
+    "unlogged_cards_by_bit_map": f"""{STUDY} SELECT id, mastery_level FROM live
+        WHERE mastery_level < 5 AND id NOT IN (SELECT card_id FROM logs)""",
+    "summed_totals": f"""{STUDY}{REGRADED} SELECT count(*) AS total_cards,
+        count(*) FILTER (WHERE try_cast(last_reviewed_at AS TIMESTAMP)::DATE = DATE '2024-01-15') AS today_reviews,
+        round(avg(mastery_level), 2) AS avg_mastery, avg(mastery_level) AS mean_mastery FROM regraded WHERE coalesce(ignored, 0) = 0""",
+    "summed_progress": f"""{STUDY}{REGRADED} SELECT s.id AS subject_id, s.name, coalesce(m.mean, 0.0::DOUBLE) AS avg_mastery,
+        coalesce(m.n, 1) AS card_count, coalesce(m.mean, 0.0::DOUBLE) / 5.0::DOUBLE AS progress FROM subjects s LEFT JOIN (
+        SELECT subject_id, avg(mastery_level) FILTER (WHERE coalesce(ignored, 0) = 0) AS mean, count(*) FILTER (WHERE coalesce(ignored, 0) = 0) AS n
+        FROM regraded GROUP BY subject_id) m ON m.subject_id = s.id""",
+    "reserved_subjects": f"""{STUDY} SELECT (SELECT max(id) FROM subjects)
+        + row_number() OVER (ORDER BY c_custkey % 2, substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4), c_custkey) AS id, c_name AS name,
+        1 + (c_custkey % 41) / CAST(10 AS DOUBLE) AS difficulty, CAST((c_nationkey % 9) * 0.5 AS DOUBLE) AS credits,
+        CAST(DATE '2024-01-15' + CAST(c_custkey % 45 AS INTEGER) AS VARCHAR) AS ddl
+        FROM customer WHERE c_custkey % 10 <> 0""",
     "model_import_report": f"""{STUDY} {_model('texts')} SELECT t.doc_id, length(t.text) AS text_chars, count(*) FILTER (WHERE error IS NULL)
         AS card_count, string_agg('1:' || part || ':' || error, ',' ORDER BY part) AS errors
         FROM texts t JOIN answered USING (doc_id) GROUP BY ALL""",
