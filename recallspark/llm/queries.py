@@ -18,8 +18,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = language_id.train(docs.where(fold(3) != 1))
-    found = language_id.identify(docs, model)
-    return found.withColumn("held_out", fold(3) == 1)
+    return language_id.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +34,8 @@ def op10_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return secret_scan.find_secrets(docs, secret_scan.train(docs))
+    found = secret_scan.find_secrets(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov")
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +45,9 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     network = toxicity.train(docs, labels.where(fold(5) != 0))
-    return toxicity.score_documents(docs, network).withColumn("held_out", fold(5) == 0)
+    found = toxicity.score_documents(docs, network)
+    more = [c for c in found.columns if c not in ("doc_id", "score", "predicted")]
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted", *more)
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,8 +29,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 TOKEN_LEAST = 20
 # So many texts with a pattern's match, and so many without, teach the models.
 TRAINING_TEXTS = 400
-# Words learned from each text without a match.
-WORDS_PER_TEXT = 200
+# What a text teaches: so many strings of each kind it holds, up to so many characters of each; or so many of its
+# words, evenly spread over the whole text, up to so many characters of each.
+STRINGS_PER_TEXT, STRING_CHARACTERS = 20, 256
+WORDS_PER_TEXT, WORD_CHARACTERS = 200, 64
 # Added strings of the random kind, so that the model knows every alphabet.
 DRAWN = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
          "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
@@ -88,8 +90,12 @@ def ratio(table: np.ndarray, token: bytes) -> float:
     return float(table[np.concatenate([[0], c[:-1]]), c].mean())
 
 
-def train(docs: DataFrame, texts_per_class: int = TRAINING_TEXTS) -> np.ndarray:
-    """The ratios, learned from at most ``texts_per_class`` texts with and without a base match."""
+def train(docs: DataFrame, texts_per_class: int = TRAINING_TEXTS, strings_per_text: int = STRINGS_PER_TEXT,
+          words_per_text: int = WORDS_PER_TEXT) -> np.ndarray:
+    """The ratios, learned from at most ``texts_per_class`` texts with and without a base match.
+
+    Each text teaches at most ``strings_per_text`` strings of each kind, or ``words_per_text`` words.
+    """
     ship(docs.sparkSession)
     with_match = F.col("text").rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|(?-i)[0-9a-f]{24}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").withColumn("matched", with_match)
@@ -98,15 +104,15 @@ def train(docs: DataFrame, texts_per_class: int = TRAINING_TEXTS) -> np.ndarray:
     def start():
         def row(matched, pick, text):
             if matched:
-                found = [m[2].encode() for m in ASSIGN.finditer(text) if len(m[2]) >= TOKEN_LEAST][:20]
-                found += [m[0].encode() for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST][:20]
-                found += [m[0].encode() for m in HEX.finditer(text)][:20]
+                found = [m[2].encode() for m in ASSIGN.finditer(text) if len(m[2]) >= TOKEN_LEAST][:strings_per_text]
+                found += [m[0].encode() for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST][:strings_per_text]
+                found += [m[0].encode() for m in HEX.finditer(text)][:strings_per_text]
             else:
                 data = text.encode()
                 _, s, e = hashed_words(data, _TOKEN)
-                step = max(1, len(s) // WORDS_PER_TEXT)
-                found = [data[a:b][:64] for a, b in zip(s[::step], e[::step])][:WORDS_PER_TEXT]
-            return matched, pick, [f[:256] for f in found]
+                step = max(1, len(s) // words_per_text)
+                found = [data[a:b][:WORD_CHARACTERS] for a, b in zip(s[::step], e[::step])][:words_per_text]
+            return matched, pick, [f[:STRING_CHARACTERS] for f in found]
 
         return row
 
