@@ -35,9 +35,10 @@ from ..operators.sizing import small_side
 from .common import broadcast_object, bounded_sample, ship, stored
 
 NEIGHBOURS = 20
-# Codes searched together, and queries that search them in one task.
+# Codes searched together, and queries that search them in one task; and bytes of the vectors of either.
 BLOCK = 16_384
 SHARE = 8_192
+SIDE_BYTES = 16 << 20
 # Cells: one for so many vectors; as many as so many at most, learned from so many vectors of each.
 CELL = 16_384
 CELLS_MOST = 16_384
@@ -319,8 +320,9 @@ def search(embeddings: DataFrame, queries: Column, k: int = NEIGHBOURS, recall:
     asking = stored(indexed.join(small_side(wanted.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi"))
     visiting = stored(visits(asking, shared, calibrate(asking, indexed, spaces, shared, k + 1, recall)))
     # Blocks of a cell and shares of its visitors, from two small tables of counts.
-    sizes = stored(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(
-        visiting.groupBy("cell").agg(F.ceil(F.count("*") / SHARE).alias("shares")), "cell"))
+    vector_bytes = F.sum(F.size("v").cast("long") * 8)
+    sizes = stored(indexed.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / BLOCK, vector_bytes / SIDE_BYTES)).alias("blocks")).join(
+        visiting.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / SHARE, vector_bytes / SIDE_BYTES)).alias("shares")), "cell"))
     sizes = small_side(sizes)
     spread = F.pmod(F.xxhash64("k2", "k1"), F.col("blocks"))
     holders = indexed.join(sizes, "cell").select(

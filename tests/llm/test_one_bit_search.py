@@ -71,6 +71,7 @@ def test_cells_blocks_and_shares(spark, monkeypatch):
     monkeypatch.setattr(search, "CELL", 60)
     monkeypatch.setattr(search, "BLOCK", 100)
     monkeypatch.setattr(search, "SHARE", 10)
+    monkeypatch.setattr(search, "SIDE_BYTES", 90 * 64 * 8)
     rng = np.random.default_rng(2)
     centres = unit(rng, 30)
     v = centres[rng.integers(0, 30, 3000)] + 0.05 * rng.standard_normal((3000, 64))
