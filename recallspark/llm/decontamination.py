@@ -34,8 +34,9 @@ ITEM_LEAST = 4
 LITERAL_SHARE = 0.5
 # An item is found if so many of its words, or this share of them, line up.
 WORDS_LEAST, SHARE_LEAST = 13, 0.5
-# Bits of the map of window hashes: so many per window, within these powers of two.
+# Bits of the map of window hashes: so many per window, within these powers of two; and bits that stand for one hash.
 BITS_PER_WINDOW, BITS_LEAST, BITS_MOST = 64, 20, 27
+PROBES = 4
 # Window rows a task writes at a time.
 ROWS_OUT = 4096
 
@@ -133,8 +134,11 @@ def window_keys(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         return template, np.zeros(0, dtype=bool), exact
     literal = np.concatenate([[0], np.cumsum(t.kinds == LITERAL)])
     usable = (literal[size:] - literal[:-size] >= size * LITERAL_SHARE) & (template != exact)
-    salt = mix(np.array([size], dtype=np.uint64))
-    return mix(template ^ salt), usable, mix(exact ^ salt)
+    return template ^ _SALTS[size], usable, exact ^ _SALTS[size]
+
+
+# Windows of different sizes have different hashes.
+_SALTS = mix(np.arange(1, WINDOW + 2, dtype=np.uint64))
 
 
 def _one_to_one(pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
@@ -198,7 +202,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """Bits at the places of all window hashes of a benchmark, the window sizes there are, and the words of its longest item."""
+    """Bits at PROBES places of every window hash of a benchmark, the window sizes there are, and the words of its longest item."""
 
     bits: np.ndarray
     sizes: list[int]
@@ -208,8 +212,11 @@ class Filter:
     def of(items: DataFrame) -> Filter:
         told = items.agg(F.sum(F.size("windows")).alias("n"), F.max(F.size("values")).alias("longest"), F.collect_set("size").alias("sizes")).first()
         power = int(np.clip(np.ceil(np.log2(max(1, told["n"] or 0) * BITS_PER_WINDOW)), BITS_LEAST, BITS_MOST))
+        size = F.lit(1 << power)
+        step = F.pmod(F.shiftrightunsigned("key", 32), size).bitwiseOR(F.lit(1))
         keys = items.select(F.explode("windows.key").alias("key"))
-        maps = keys.select((F.pmod("key", F.lit(1 << power)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        places = keys.select(F.explode(F.array(*[F.pmod(F.pmod("key", size) + step * i, size) + 1 for i in range(PROBES)])).alias("at"))
+        maps = places.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
         bits = np.zeros((1 << power) // 8, dtype=np.uint8)
         for r in maps.collect():
@@ -218,8 +225,20 @@ class Filter:
         return Filter(bits, sorted(s for s in told["sizes"] if s), told["longest"] or 0)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(len(self.bits) * 8 - 1)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        mask = np.uint64(len(self.bits) * 8 - 1)
+        at = (keys & mask).astype(np.int64)
+        out = self._bits(at) > 0
+        may = np.flatnonzero(out)
+        if len(may):
+            step = ((keys[may] >> np.uint64(32)) & mask).astype(np.int64) | 1
+            good = np.ones(len(may), dtype=bool)
+            for i in range(1, PROBES):
+                good &= self._bits((at[may] + step * i) & int(mask)) > 0
+            out[may] = good
+        return out
+
+    def _bits(self, at: np.ndarray) -> np.ndarray:
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
     def hits(self, t: Template) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, places, keys) of the windows of a text that may be the benchmark's."""
@@ -254,13 +273,14 @@ def _stretches(docs: DataFrame, shared) -> DataFrame:
 
         def row(doc_id, text):
             t = canonical.template(text)
+            found = [(size, at) for size, at, _ in known.hits(t)]
+            if not found:
+                return doc_id, []
             change = np.zeros(len(t.words) + 1, dtype=np.int64)
-            for size, at, _ in known.hits(t):
-                np.add.at(change, at, 1)
-                np.add.at(change, at + size, -1)
+            for size, at in found:
+                change[at] += 1
+                np.subtract.at(change, at + size, 1)
             inside = np.cumsum(change)[:-1] > 0
-            if not inside.any():
-                return doc_id, []
             edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
             return doc_id, [(int(a), t.words[a:b].tobytes(), t.values[a:b].tobytes(), t.kinds[a:b].tobytes())
                             for a, b in zip(edges[::2], edges[1::2])]
