@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.completions import resolved_pairs, resolved_points
-from ..session import settled, subfolders
+from ..session import subfolders, written
 from ..settings import PROMPT_CHARS
 
 POINTS_INSTRUCTION = (
@@ -138,11 +138,11 @@ def complete_kept(prompts: DataFrame, open_model: Callable[[], Model], store: st
     same prompts makes no call, one after failures asks for those alone.
     """
     spark = prompts.sparkSession
-    keyed = settled(prompts.select("doc_id", "part", "system", "user", prompt_key().alias("key")))
+    keyed = written(prompts.select("doc_id", "part", "system", "user", prompt_key().alias("key")))
     missing = keyed.select("key", "system", "user").dropDuplicates(["key"]).join(kept_answers(spark, store).select("key"), "key", "left_anti")
     # Numbers stand for the prompts while they are asked; written, so that every use sees the same.
-    asked = settled(missing.select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("part"), "key", "system", "user"))
-    answers = settled(complete(asked, open_model, concurrency)).join(asked.select("doc_id", "key"), "doc_id")
+    asked = written(missing.select(F.monotonically_increasing_id().alias("doc_id"), F.lit(0).alias("part"), "key", "system", "user"))
+    answers = written(complete(asked, open_model, concurrency)).join(asked.select("doc_id", "key"), "doc_id")
     # A folder per run: files of a run that broke off are never read as part of another's.
     answers.where(F.col("raw").isNotNull()).select("key", "raw").write.parquet(f"{store}/run={uuid.uuid4().hex}")
     failed = answers.where(F.col("raw").isNull()).select("key", "error")

@@ -15,7 +15,7 @@ from ..operators.imports import card_counts, import_report, new_cards, new_cards
 from ..operators.prompts import (
     Model, card_prompts, complete, complete_kept, completion_cards, completion_points, document_points, point_prompts,
 )
-from ..session import settled
+from ..session import written
 from ..sources.ledger import id_count, reserve_ids
 
 
@@ -42,13 +42,13 @@ def extracted_pairs(documents: DataFrame, open_model: Callable[[], Model], answe
     folder ``answers`` they outlive the application.
     """
     ask = complete if answers is None else partial(complete_kept, store=answers)
-    first = settled(ask(point_prompts(documents), open_model))
-    second = settled(ask(card_prompts(document_points(completion_points(first))), open_model))
+    first = written(ask(point_prompts(documents), open_model))
+    second = written(ask(card_prompts(document_points(completion_points(first))), open_model))
     failed = first.select("doc_id", F.lit(1).alias("step"), "part", "error").unionAll(
         second.select("doc_id", F.lit(2), "part", "error")).where(F.col("error").isNotNull())
     errors = failed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("step", "part", "error"))).alias("errors"))
     # The answers are parsed once: numbering the cards reads the pairs twice.
-    return settled(completion_cards(second)), errors
+    return written(completion_cards(second)), errors
 
 
 def import_documents(documents: DataFrame, cards: DataFrame, imported_files: DataFrame, as_of: datetime,
@@ -64,7 +64,7 @@ def import_documents(documents: DataFrame, cards: DataFrame, imported_files: Dat
     owners = documents.select("doc_id", "subject_id", "file_name")
     errors = None
     if open_model is None:
-        made = settled(cloze_cards(documents.select("doc_id", "text")))
+        made = written(cloze_cards(documents.select("doc_id", "text")))
         card_rows = new_cards_from_rows(made.join(owners, "doc_id"), cards, as_of, _reserved(cards, reserve_in, "cards", made))
         counts = made.groupBy("doc_id").agg(F.count("*").alias("card_count"))
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +69,17 @@ def settled(df):
     return df.checkpoint()
 
 
+def written(df):
+    """``df`` as Parquet in the shared folder, read back: as ``settled``, but later steps read only the columns they need.
+
+    The files lie under ``recallspark-<application id>`` and may be deleted when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/recallspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system that holds ``path``, and the path for it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
