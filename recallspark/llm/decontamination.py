@@ -37,6 +37,8 @@ WORDS_LEAST, SHARE_LEAST = 13, 0.5
 # Bits of the map of window hashes: so many per window, within these powers of two; and bits that stand for one hash.
 BITS_PER_WINDOW, BITS_LEAST, BITS_MOST = 64, 20, 27
 PROBES = 4
+# A map of fewer bits than this is looked up in bytes.
+SPREAD_BYTES = 1 << 22
 # Window rows a task writes at a time.
 ROWS_OUT = 4096
 
@@ -113,7 +115,8 @@ class Canonical:
         # Digits around a point or comma are one number.
         tied = np.zeros(len(h), dtype=bool)
         at = np.flatnonzero(number[1:] & number[:-1] & (starts[1:] - ends[:-1] == 1))
-        tied[at[np.isin(b[ends[at]], (44, 46))] + 1] = True
+        between = b[ends[at]]
+        tied[at[(between == 44) | (between == 46)] + 1] = True
         values = h
         if tied.any():
             heads = np.flatnonzero(~tied)
@@ -207,6 +210,8 @@ class Filter:
     bits: np.ndarray
     sizes: list[int]
     longest: int
+    # A small map with a byte for each bit, made where it is used.
+    spread: np.ndarray | None = None
 
     @staticmethod
     def of(items: DataFrame) -> Filter:
@@ -238,7 +243,11 @@ class Filter:
         return out
 
     def _bits(self, at: np.ndarray) -> np.ndarray:
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        if len(self.bits) > SPREAD_BYTES // 8:
+            return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        if self.spread is None:
+            self.spread = np.unpackbits(self.bits, bitorder="little")
+        return self.spread[at]
 
     def hits(self, t: Template) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(size, places, keys) of the windows of a text that may be the benchmark's."""
