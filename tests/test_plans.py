@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from recallspark.operators import candidates, cloze, dashboard, queue, reviews, sizing
+from recallspark.operators import candidates, cloze, dashboard, idsets, queue, reviews, sizing
 from recallspark.schemas import CARDS, RECOMMENDATION_LOGS, SUBJECTS
 from recallspark.session import work_dir
 from recallspark.sources import star_schema as study, tables as storage
@@ -70,12 +70,15 @@ def test_filters_and_columns_reach_the_scan(stored, as_of, capsys):
     assert shown.count("FileScan") == 1
 
 
-def test_large_sides_are_shuffled_with_the_same_result(stored, as_of, capsys, spark, monkeypatch):
+@pytest.mark.parametrize("map_bytes,shuffled", [(idsets.BITMAP_BYTES, 1), (0, 2)])
+def test_large_sides_are_shuffled_with_the_same_result(stored, as_of, capsys, spark, monkeypatch, map_bytes, shuffled):
+    """Subjects above the limit are shuffled; logged ids only if their bit maps are above theirs too."""
     small = candidates.priority_scores(*stored, as_of).collect()
     monkeypatch.setattr(sizing, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(idsets, "BITMAP_BYTES", map_bytes)
     with settings_of(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
         frame = candidates.priority_scores(*stored, as_of)
-        assert plan(frame, capsys).count("SortMergeJoin") == 2
+        assert plan(frame, capsys).count("SortMergeJoin") == shuffled
         assert sorted(frame.collect()) == sorted(small)
 
 
